@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, langid, pii, secrets
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.op2_pii,
+        "op3_secrets": secrets.op3_secrets,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
