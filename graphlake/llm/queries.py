@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, pii, secrets
+from . import bpe, exact_dedup, langid, near_vectors, pii, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_secrets": secrets.op3_secrets,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op9_near_vectors": near_vectors.op9_near_vectors,
         "op10_language_id": langid.op10_language_id,
     }
 
