@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, near_vectors, pii, secrets
+from . import bpe, exact_dedup, langid, mixing, near_vectors, pii, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "op1_mix_sources": mixing.op1_mix_sources,
         "op2_pii": pii.op2_pii,
         "op3_secrets": secrets.op3_secrets,
+        "op4_merkle_audit": warc.op4_merkle_audit,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_near_vectors": near_vectors.op9_near_vectors,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_merkle_audit": warc.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
