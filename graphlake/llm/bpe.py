@@ -93,7 +93,7 @@ class MergeTransducer:
     #: Keys of a state besides bytes: its readings, and the token that the whole piece is.
     READINGS, WHOLE = -1, -2
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pairs: int = 1_500_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_pairs: int = 400_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -223,7 +223,7 @@ class MergeTransducer:
 class _Pieces(dict):
     """Tokens of pieces met before; long pieces are not kept, and a full table starts anew."""
 
-    def __init__(self, transducer: MergeTransducer, most: int = 400_000):
+    def __init__(self, transducer: MergeTransducer, most: int = 250_000):
         super().__init__()
         self.transducer, self.most = transducer, most
 
