@@ -63,6 +63,33 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iter
         yield batch.slice(a, b - a)
 
 
+#: Bits of one bitmap made by ``bitmap_construct_agg``.
+BITMAP_BITS = 32768
+#: Bits of a hashed set of keys: 1 MB, whatever the number of keys.
+FILTER_BITS = 1 << 23
+
+
+def key_filter(keys: DataFrame, *columns: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A hashed set of keys as at most ``bits / 32768`` bitmaps of 4 kB (bucket, bitmap), fit to be broadcast."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits)).cast("long") + 1
+    bucketed = keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    return bucketed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def marked(df: DataFrame, name: str, filters: DataFrame, *columns: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with boolean ``name``: true for every key in the set, and for others by chance; no exchange.
+
+    Only ever saves work: what it marks is decided exactly later.  As keys
+    outnumber the bits it marks nearly all, and results stay the same.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits)).cast("long") + 1
+    tested = df.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_bit": F.bitmap_bit_position(slot)})
+    found = F.broadcast(filters.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
+    return tested.join(found, "_bucket", "left").withColumn(name, bit).drop("_bucket", "_bit", "_bitmap")
+
+
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, near_vectors, pii, secrets, warc
+from . import bpe, exact_dedup, langid, mixing, near_vectors, pii, secrets, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_pii": pii.op2_pii,
         "op3_secrets": secrets.op3_secrets,
         "op4_merkle_audit": warc.op4_merkle_audit,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_near_vectors": near_vectors.op9_near_vectors,
