@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, near_vectors, pii, secrets, substring_dedup, warc
+from . import bpe, exact_dedup, jaccard_join, langid, mixing, near_vectors, pii, secrets, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_near_vectors": near_vectors.op9_near_vectors,
         "op10_language_id": langid.op10_language_id,
     }
