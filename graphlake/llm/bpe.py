@@ -11,6 +11,8 @@ token, which bounds the lookahead.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -93,7 +95,7 @@ class MergeTransducer:
     #: Keys of a state besides bytes: its readings, and the token that the whole piece is.
     READINGS, WHOLE = -1, -2
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 160_000, max_pairs: int = 500_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -113,6 +115,8 @@ class MergeTransducer:
         self._forget()
 
     def _forget(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states refer to each other in circles
         self.start = {self.READINGS: ((-1, 0),), self.WHOLE: -1}
         self.states = {self.start[self.READINGS]: self.start}
 
@@ -223,7 +227,7 @@ class MergeTransducer:
 class _Pieces(dict):
     """Tokens of pieces met before; long pieces are not kept, and a full table starts anew."""
 
-    def __init__(self, transducer: MergeTransducer, most: int = 250_000):
+    def __init__(self, transducer: MergeTransducer, most: int = 320_000):
         super().__init__()
         self.transducer, self.most = transducer, most
 
@@ -294,6 +298,25 @@ def decode_stream(chunks: Iterable[Iterable[int]], vocabulary) -> Iterator[str]:
 
 
 _LOADED: dict[tuple[str, str], Tokenizer] = {}
+_VOCABULARIES: dict[str, dict[int, bytes]] = {}
+
+
+def _vocabulary_of(path: str) -> dict[int, bytes]:
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = {rank: token for token, rank in read_ranks(path).items()}
+    return _VOCABULARIES[path]
+
+
+@contextlib.contextmanager
+def _without_collector():
+    """The caches hold millions of objects and no garbage in circles: the cycle collector only costs time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def _tokenizer(path: str, pattern: str) -> Tokenizer:
@@ -314,7 +337,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         tokenizer = _tokenizer(path, pattern)
         for batch in batches:
             for part in slices(batch, 1):
-                ids = [tokenizer.encode(t) if t else [] for t in part.column(1).to_pylist()]
+                with _without_collector():
+                    ids = [tokenizer.encode(t) if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -325,7 +349,7 @@ def decode(encoded: DataFrame, path: str, chunk: int = 4096) -> DataFrame:
     """``encoded`` (doc_id, ids, ...) with its text decoded in chunks of ``chunk`` ids; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = {rank: token for token, rank in read_ranks(path).items()}
+        vocabulary = _vocabulary_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -348,17 +372,16 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digest_columns() -> list:
     """The digest columns of decoded rows (doc_id, ids, text)."""
-    return encoded.select(
-        "doc_id",
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    ]
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     path, pattern = _vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(decode(encode(docs, path, pattern), path))
+    return decode(encode(docs, path, pattern), path).select("doc_id", *digest_columns())
