@@ -152,7 +152,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, hub_rounds: int = 3, frequent: int = 65_536
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, hub_rounds: int = 2, frequent: int = 65_536
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
