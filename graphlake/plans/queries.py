@@ -72,11 +72,11 @@ def left_parent(t):
     return t.customer.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("app"), F.col("n_name").alias("space"), F.col("r_name").alias("top"))
 
 
-@query("uncalled_parts", f"with {USES} select p_partkey as part from part where p_partkey not in (select part from uses where type = 'CONSUMES') and p_partkey not in (select part from uses where type = 'WRITES_TO' and quantity > 40)")
+@query("uncalled_parts", f"with {USES} select p_partkey as part from part where p_partkey not in (select part from uses where type = 'CONSUMES' and quantity > 30) and p_partkey not in (select part from uses where type = 'WRITES_TO' and quantity > 40)")
 def uncalled_parts(t):
     u = model.uses(t)
     parts = t.part.select(F.col("p_partkey").alias("part"))
-    return parts.join(u.where("type = 'CONSUMES'").select("part"), "part", "left_anti").join(u.where("type = 'WRITES_TO' and quantity > 40").select("part"), "part", "left_anti")
+    return parts.join(u.where("type = 'CONSUMES' and quantity > 30").select("part"), "part", "left_anti").join(u.where("type = 'WRITES_TO' and quantity > 40").select("part"), "part", "left_anti")
 
 
 @query("semi_flows", "select o_orderkey as flow, o_totalprice as price from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -377,10 +377,10 @@ def union_distinct(t):
     return model.uses(t).where("type in ('PRODUCES', 'CONSUMES')").select(F.col("part").alias("channel"), F.col("supplier").alias("app")).distinct()
 
 
-@query("set_diff", "with x as (select user_id, event_type from events where event_id % 2 = 0), y as (select user_id, event_type from events where event_id % 2 = 1) select * from x except select * from y")
+@query("set_diff", "with x as (select user_id, event_type from events where event_id % 97 = 0), y as (select user_id, event_type from events where event_id % 89 = 1) select * from x except select * from y")
 def set_diff(t):
-    pick = lambda r: t.events.where(f"event_id % 2 = {r}").select("user_id", "event_type")
-    return pick(0).exceptAll(pick(1).intersect(pick(0))).distinct().subtract(pick(1))
+    pick = lambda where: t.events.where(where).select("user_id", "event_type")
+    return pick("event_id % 97 = 0").subtract(pick("event_id % 89 = 1"))
 
 
 @query("trace_changes", """with x as (select user_id as flow, event_type as item, max(event_id % 5) as b from events where event_id % 2 = 0 group by 1, 2), y as (select user_id as flow, event_type as item, max(event_id % 5) as b from events where event_id % 3 = 0 group by 1, 2),
@@ -392,9 +392,9 @@ def trace_changes(t):
     return out.select("flow", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "modified")])
 
 
-@query("orphans", f"with {CHANNELS} select p_partkey as id from part where p_partkey not in (select channel from ch where role = 'produces') and p_partkey not in (select channel from ch where role = 'consumes')")
+@query("orphans", f"with {CHANNELS} select p_partkey as id from part where p_partkey not in (select channel from ch where role = 'produces' and flow % 4 = 0) and p_partkey not in (select channel from ch where role = 'consumes' and flow % 4 = 0)")
 def orphans(t):
-    u = model.channel_uses(t)
+    u = model.channel_uses(t).where("flow % 4 = 0")
     edges = u.select(F.when(F.col("role") == "produces", F.col("channel")).alias("src"), F.when(F.col("role") == "consumes", F.col("channel")).alias("dst"))
     return state.orphans(t.part.select(F.col("p_partkey").alias("id")), edges)
 
@@ -525,16 +525,16 @@ def mounted_paths(t):
 # ------------------------------------------------------------ search, coverage, traces
 
 
-@query("search_tier", f"""with tok as (select distinct p_partkey as id, unnest({_WORDS_SQL}) as token from part), m as (select id, max(case when token = 'part' then 4 when starts_with(token, 'part') then 1 end) as w0, max(case when token = '12' then 4 when starts_with(token, '12') then 1 end) as w1 from tok group by id),
+@query("search_tier", f"""with tok as (select distinct p_partkey as id, unnest({_WORDS_SQL}) as token from part), m as (select id, max(case when token = 'ring' then 4 when starts_with(token, 'ring') then 1 end) as w0, max(case when token = 'small' then 4 when starts_with(token, 'small') then 1 end) as w1 from tok group by id),
   s as (select id, (w0 is not null)::int + (w1 is not null)::int as k, coalesce(w0, 0) + coalesce(w1, 0) as score from m) select id, cast(2 - k as integer) as tier, cast(score as integer) as score from s where k = (select max(k) from s) and k >= 1""")
 def search_tier(t):
-    return search.tiered(search.index(t.part, "p_partkey", "p_name"), ["part", "12"])
+    return search.tiered(search.index(t.part, "p_partkey", "p_name"), ["ring", "small"])
 
 
-@query("function_search", "with g as (select p_brand as id, list_distinct(list('com.x.' || p_type || '#run' || p_size)) as symbols from part group by 1), f as (select id, list_filter(symbols, lambda s: contains(lower(s), 'steel') and contains(lower(s), 'run1')) as found from g) select id, len(found) as n from f where len(found) > 0")
+@query("function_search", "with g as (select p_brand as id, list_distinct(list('com.x.' || p_type || '#run' || p_size)) as symbols from part group by 1), f as (select id, list_filter(symbols, lambda s: contains(lower(s), 'small') and contains(lower(s), 'run1')) as found from g) select id, len(found) as n from f where len(found) > 0")
 def function_search(t):
     g = t.part.groupBy(F.col("p_brand").alias("id")).agg(F.collect_set(F.concat(F.lit("com.x."), "p_type", F.lit("#run"), "p_size")).alias("symbols"))
-    return search.functions_named(g, "symbols", ["steel", "run1"]).select("id", F.size("found").cast("bigint").alias("n"))
+    return search.functions_named(g, "symbols", ["small", "run1"]).select("id", F.size("found").cast("bigint").alias("n"))
 
 
 @query("vocabulary", f"select distinct part from (select unnest({_WORDS_SQL}) as part from part) where not regexp_matches(part, '[0-9]')")
