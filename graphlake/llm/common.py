@@ -1,55 +1,16 @@
-"""What the operators share: written intermediate tables, batch slicing, connected components."""
+"""What the operators share: batch slicing, hashed key sets, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-class Scratch:
-    """Intermediate tables in the shared folder named by ``spark.checkpoint.dir``.
-
-    A written table cuts lineage as a checkpoint does, but is compressed, can be
-    read by column and survives the loss of any executor.  ``drop`` deletes a
-    table that no later plan reads.  A local folder is used only where the
-    setting is absent, as in tests.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="graphlake-")
-        self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:02d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a DataFrame that reads it."""
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def narrow_to(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under the operator's own names; extra columns, however named, play no part."""
-    return df.select(*[df[source].alias(name) for name, source in columns.items()])
+from ..scratch import Scratch
 
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -63,8 +24,6 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iter
         yield batch.slice(a, b - a)
 
 
-#: Bits of one bitmap made by ``bitmap_construct_agg``.
-BITMAP_BITS = 32768
 #: Bits of a hashed set of keys: 1 MB, whatever the number of keys.
 FILTER_BITS = 1 << 23
 

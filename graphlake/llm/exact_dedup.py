@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
-#: Bits of one bitmap made by ``bitmap_construct_agg``.
-BITMAP_BITS = 32768
+from .common import FILTER_BITS, Scratch, key_filter, marked
 
 
 def normalised(text: Column) -> Column:
@@ -20,17 +17,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _slot(n: Column, p: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(n, p), F.lit(bits)).cast("long") + 1
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: dict[str, Column] | None = None,
     prefix_chars: int = 64,
-    filter_bits: int = 1 << 23,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, *carry): one row for every row of ``docs``.
 
@@ -58,19 +51,11 @@ def exact_dedup(
     by_length = scratch.keep(docs.select(n.alias("n"), p.alias("p")).groupBy("n", "p").agg(F.count("*").alias("rows")), "prefixes")
     lengths = by_length.groupBy("n").agg(F.sum("rows").alias("of_length")).where("of_length > 1")
     survive = by_length.where("rows > 1").join(lengths, "n", "left_semi")
-    slot = _slot(F.col("n"), F.col("p"), filter_bits)
-    marks = (
-        survive.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-        .groupBy("bucket")
-        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    )
-
-    slot = _slot(n, p, filter_bits)
-    bit = F.bitmap_bit_position(slot)
-    scanned = docs.select(docs[id_col].alias("doc_id"), text.alias("_text"), F.bitmap_bucket_number(slot).alias("bucket"), bit.alias("_bit"), *[c.alias(k) for k, c in carry.items()])
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    marked = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
-    hashed = scanned.join(F.broadcast(marks), "bucket", "left").select("doc_id", F.when(marked, F.sha2("_text", 256)).alias("full"), *carry)
+    filters = key_filter(survive, "n", "p", bits=filter_bits)
+
+    scanned = docs.select(docs[id_col].alias("doc_id"), text.alias("_text"), n.alias("n"), p.alias("p"), *[c.alias(k) for k, c in carry.items()])
+    tested = marked(scanned, "_some", filters, "n", "p", bits=filter_bits)
+    hashed = tested.select("doc_id", F.when(F.col("_some"), F.sha2("_text", 256)).alias("full"), *carry)
     hashed = scratch.keep(hashed, "hashed")
 
     groups = hashed.where("full is not null").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")

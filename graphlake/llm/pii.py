@@ -101,10 +101,13 @@ TEMPLATES = (
     "Deliver to {name}, {address}.",
     "His social security number is {national_id} according to the form.",
     "SSN: {national_id}",
+    "Employee SSN {national_id} ok",
+    "The id of the holder, {national_id}, was checked.",
     "Her national id {national_id} was on file.",
     "Call me on {local_phone} after six.",
     "Phone: {local_phone}",
     "Tel. {local_phone} or write to the office.",
+    "Please call {local_phone} now",
     "You can reach me on {local_phone} any time.",
     "Je m'appelle {name} et j'habite au {address} depuis mai.",
     "Mein Name ist {name} und meine Nummer ist {local_phone} hier.",
@@ -209,7 +212,7 @@ _PLAIN_SHAPES = 18
 def _digit_shape(word: bytes) -> str:
     """Word shape of a word with digits: each digit d, letter runs x, other characters themselves."""
     text = word.decode("utf-8", "replace").strip(".,;:!?\"'")
-    return re.sub(r"[^\W\d_]+", "x", re.sub(r"[0-9]", "d", text))[:24]
+    return re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]+", "x", text))[:24]
 
 
 class Features:
@@ -271,7 +274,7 @@ class Field:
 
     OFFSETS = (-2, -1, 0, 1)
 
-    def __init__(self, rows: list[list[tuple[str, str]]], steps: int = 110, decay: float = 5e-5):
+    def __init__(self, rows: list[list[tuple[str, str]]], steps: int = 120, decay: float = 5e-5):
         self.tags = ["O", *(f"{p}-{k}" for k in FIELD_KINDS for p in "BI")]
         place = {t: i for i, t in enumerate(self.tags)}
         self.features = Features([w for row in rows for w, _ in row])
