@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from graphlake.plans import more_queries  # noqa: F401
 from graphlake.plans.queries import QUERIES, SQL
 
 FOLDER = os.environ.get("GRAPHLAKE_TABLES", "/root/testdata/sf0.001")
