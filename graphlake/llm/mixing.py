@@ -82,7 +82,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_docs: int = 16,
-    max_sources: int = 512,
+    max_sources: int = 256,
     max_slots: int = 200_000,
     bucket_docs: int = 1024,
 ) -> DataFrame:
@@ -91,7 +91,7 @@ def mix(
     The order (slot, place) is the mixture: slots count blocks from 0, places count
     documents inside a block.  ``weights`` gives positive integers per source, the
     null source included; the default is the square root of the sources' sizes,
-    in thousandths of the largest.  When a source ends, the others keep their ratio, and
+    scaled to a period of about a thousand slots.  When a source ends, the others keep their ratio, and
     each phase between two ends deviates by less than one block.
 
     Documents of a source are taken in order of a hash of their id.  A document's
@@ -115,8 +115,9 @@ def mix(
     if not names:
         return base.select("row", "source", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("place"))
     if weights is None:
-        top = max(sizes.values())
-        weights = {s: max(1, round(1000 * math.sqrt(sizes[s] / top))) for s in names}
+        # a period of about a thousand slots, fewer if the periods of many sources would pass max_slots
+        total, roots = max(2 * len(names), min(1000, max_slots // (2 * len(names)))), {s: math.sqrt(sizes[s]) for s in names}
+        weights = {s: max(1, round(total * roots[s] / sum(roots.values()))) for s in names}
     if any(int(weights.get(s, 0)) < 1 for s in names):
         raise ValueError("each source needs a positive integer weight")
     blocks = [-(-sizes[s] // block_docs) for s in names]
