@@ -7,7 +7,8 @@ shingle among their prefixes, and sizes within the threshold's ratio.
 1. Documents of equal sets are one node; nodes of equal prefix and size form one
    group, and only groups post their prefix.
 2. Shingles posted by one group alone are dropped.  Groups are expanded to nodes.
-3. Candidates are verified on whole sets.  Instead of all pairs of a posting,
+3. Candidates pass a bound from counts of shingles per bucket of the hash space, then
+   are verified on whole sets.  Instead of all pairs of a posting,
    each round ties its nodes to one hub, so a round is linear in the postings;
    linked nodes merge into components, and postings whose nodes are all in one
    component are done.  After a few rounds what is left, pairs between different
@@ -84,6 +85,23 @@ def _digest(d: np.ndarray, x: np.ndarray, n: int, salt: int) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.uint64(salt))
 
 
+#: Buckets of the hash space in a set's sketch; counts are of two bytes.
+BUCKETS = 256
+
+
+def sketches(d: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles of each document fall into each bucket; 65535 stands for that many or more."""
+    counts = np.bincount(d * BUCKETS + (x >> np.uint64(56)).astype(np.int64), minlength=n * BUCKETS)
+    return np.minimum(counts, 65535).astype(np.uint16).reshape(n, BUCKETS)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Rows whose sets can link: no intersection is larger than the sum of the buckets' smaller counts."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    most, total = np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
+    return (100 * most >= percent * (total - most)) | (a == 65535).any(axis=1) | (b == 65535).any(axis=1)
+
+
 class _Posting:
     """Scans of the texts; one per step, so that no set is written for documents that have no candidate."""
 
@@ -92,7 +110,7 @@ class _Posting:
         self.k, self.percent, self.frequent, self.sorted_frequent = k, percent, frequent, (frequent[order], order)
 
     def prefixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, size, set1, set2, grp) for documents (h null) and (h, grp, size, pos) for distinct groups of a batch."""
+        """Rows (doc_id, size, set1, set2, grp, sketch) for documents (h null) and (h, grp, size, pos) for distinct groups of a batch."""
         for batch in batches:
             for part in slices(batch, 1):
                 w = Words(part.column(1), lower=True)
@@ -110,6 +128,7 @@ class _Posting:
                 m = len(px)
                 ids = pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)])
                 cat = lambda a, b: pa.concat_arrays([a, b])
+                sketch = pa.array([row.tobytes() for row in sketches(d, x, n)], pa.binary())
                 signed = lambda a: pa.array(a.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -117,9 +136,9 @@ class _Posting:
                         cat(signed(set1), pa.nulls(m, pa.int64())), cat(signed(set2), pa.nulls(m, pa.int64())),
                         signed(np.concatenate([grp, grp[pd_]])),
                         cat(pa.nulls(n, pa.int64()), signed(px)), cat(pa.nulls(n, pa.int32()), pa.array(pos.astype(np.int32))),
-                        pa.array(np.concatenate([np.zeros(n, bool), np.ones(m, bool)])),
+                        pa.array(np.concatenate([np.zeros(n, bool), np.ones(m, bool)])), cat(sketch, pa.nulls(m, pa.binary())),
                     ],
-                    ["doc_id", "size", "set1", "set2", "grp", "h", "pos", "posted"],
+                    ["doc_id", "size", "set1", "set2", "grp", "h", "pos", "posted", "sketch"],
                 )
 
     def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +150,32 @@ class _Posting:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], ["node", "items"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for candidate pairs, by intersection of whole sets."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+def _beside(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): ``pairs`` with a column of ``values`` (node, column) for both ends; values of no pair cross no exchange."""
+    ends = lambda end: key_filter(pairs.select(F.col(end).alias("node")), "node")
+    for end, name in (("a", "x"), ("b", "y")):
+        some = marked(values, "some", ends(end), "node").where("some")
+        pairs = pairs.join(some.select(F.col("node").alias(end), F.col(column).alias(name)), end)
+    return pairs.select("a", "b", "x", "y")
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, documents: DataFrame, source: DataFrame, posting: _Posting) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of all candidate pairs that were tested, and of those that link.
+
+    Sketches rule out most pairs; whole sets are made, by another scan of the texts, only
+    for what is left.
+    """
+    percent = posting.percent
+    pairs = scratch.keep(pairs, "pairs")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)  # noqa: B023, E731
+            keep = pa.array(may_link(read(2), read(3), percent)) if batch.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    left = _beside(pairs, documents.select(F.col("doc_id").alias("node"), "sketch"), "sketch").mapInArrow(bound, "a bigint, b bigint").distinct()
+    left = scratch.keep(left, "candidates")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +187,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.searchsorted(v, u)
                 shared = int((v[np.minimum(at, len(v) - 1)] == u).sum()) if len(v) else 0
                 linked.append(bool(len(u)) and 100 * shared >= percent * (len(u) + len(v) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(check, "a bigint, b bigint, linked boolean")
+    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node")))
+    texts = marked(source, "some", key_filter(ends, "node"), "doc_id").where("some").select("doc_id", "text")
+    sets = texts.mapInArrow(posting.sets, "node bigint, items binary")
+    linked = _beside(left, sets, "items").mapInArrow(check, "a bigint, b bigint")
+    return pairs.select("a", "b"), scratch.keep(linked, "linked")
 
 
 def jaccard_components(
@@ -171,9 +217,9 @@ def jaccard_components(
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     posting = _Posting(k, percent, frequent_shingles(source, k, frequent))
 
-    scanned = source.mapInArrow(posting.prefixes, "doc_id bigint, size int, set1 bigint, set2 bigint, grp bigint, h bigint, pos int, posted boolean")
+    scanned = source.mapInArrow(posting.prefixes, "doc_id bigint, size int, set1 bigint, set2 bigint, grp bigint, h bigint, pos int, posted boolean, sketch binary")
     # one scan feeds both tables: documents are few bytes each and go along with the postings' exchange key
-    rows = scratch.keep(scanned.where("not posted").select("doc_id", "size", "set1", "set2", "grp"), "documents")
+    rows = scratch.keep(scanned.where("not posted").select("doc_id", "size", "set1", "set2", "grp", "sketch"), "documents")
     nodes = rows.where("size > 0").groupBy("size", "set1", "set2", "grp").agg(F.min("doc_id").alias("node"), F.count("*").alias("mult")).where("node is not null")
     nodes = scratch.keep(nodes, "nodes")
 
@@ -189,12 +235,6 @@ def jaccard_components(
     inner = members.join(crowd, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("h"), "node", "mult", "size", F.lit(0).alias("pos"))
     posts = scratch.keep(expanded.unionByName(inner), "posts")
 
-    wanted = scratch.keep(posts.select("node").distinct(), "wanted")
-    texts = marked(source, "some", key_filter(wanted, "node"), "doc_id").where("some").select("doc_id", "text")
-    # rows that repeat an id: the set must be the node's own, so it is matched by digest as well
-    sets = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(posting.sets, "node bigint, items binary")
-    sets = scratch.keep(sets, "sets")
-
     need = F.ceil((F.col("size") + F.col("hub_size")) * percent / (100.0 + percent) - 1e-9)
     fits = (F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent) & (F.least(F.col("size") - F.col("pos"), F.col("hub_size") - F.col("hub_pos")) >= need)
     comp = None
@@ -208,9 +248,8 @@ def jaccard_components(
         pairs = open_posts.join(hubs, "h").where("component <> hub_component").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = scratch.keep(_verified(pairs, sets, percent), "checked")
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        found = checked.where("linked").select("a", "b")
+        checked, found = _verified(scratch, pairs, rows, source, posting)
+        tested = checked if tested is None else tested.unionByName(checked)
         edges = scratch.keep(found if edges is None else edges.unionByName(found), "links")
         comp = scratch.keep(components(scratch, edges), "components")
         labelled = posts.join(comp, "node", "left").select("h", "node", "mult", "size", "pos", F.coalesce("component", "node").alias("component"))
@@ -228,8 +267,8 @@ def jaccard_components(
         rest = x.join(y, (x["h"] == y["h"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
         # at its first shared shingle, which both prefixes hold, a linking pair passes the position filter
         rest = rest.where(most >= need).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        checked = scratch.keep(_verified(rest, sets, percent), "checked")
-        edges = scratch.keep(edges.unionByName(checked.where("linked").select("a", "b")), "links")
+        _, found = _verified(scratch, rest, rows, source, posting)
+        edges = scratch.keep(edges.unionByName(found), "links")
         comp = scratch.keep(components(scratch, edges), "components")
 
     labels = nodes.join(comp, "node", "left").select("size", "set1", "set2", F.coalesce("component", "node").alias("component"))
