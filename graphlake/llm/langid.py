@@ -215,7 +215,8 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a document may teach nothing; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -301,3 +301,23 @@ def test_no_rows_of_pages_and_vectors(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.audit(warc.index(pages), warc.index(pages)).count() == 0
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_components(spark, tmp_path):
+    from graphlake.llm.common import Scratch, components
+
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(7, 7), (300, 301), (301, 300)]
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = dict(components(Scratch(spark, "test"), spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert got == {n: find(n) for e in edges for n in e if e[0] != e[1]}
+    assert components(Scratch(spark, "test"), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
