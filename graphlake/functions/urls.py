@@ -96,3 +96,16 @@ def database_of(url: Column) -> Column:
         .when(text.startswith("h2:"), make(F.lit("h2"), F.lit("embedded"), F.substring_index(F.substring_index(text, ":", -1), ";", 1)))
         .when(text.contains("://"), make(vendor, F.regexp_replace(F.substring_index(general, "/", 1), "^.*@", ""), F.coalesce(F.get(F.split(general, "/"), F.lit(1)), F.lit(""))))
     )
+
+
+def join_path(base: Column, path: Column) -> Column:
+    """Two parts of a path with one slash between them."""
+    joined = F.concat(F.rtrim(F.coalesce(base, F.lit("")), F.lit("/")), F.lit("/"), F.ltrim(F.coalesce(path, F.lit("")), F.lit("/")))
+    shorter = F.rtrim(joined, F.lit("/"))
+    return F.when(shorter == "", "/").otherwise(shorter)
+
+
+def host_of(text: Column) -> Column:
+    """The authority of a URL or of ``host:port``, with its user; null if there is none."""
+    rest = F.when(text.contains("://"), F.split(text, "://", 2)[1]).otherwise(text)
+    return F.nullif(F.regexp_extract(rest, r"^([^/?#]*)", 1), F.lit(""))

@@ -109,3 +109,23 @@ def test_ids(spark):
     assert one(spark, ids.table(F.lit("db"), F.lit(None).cast("string"), F.lit("t"))) == "table:db::t"
     assert one(spark, ids.channel(F.lit("Topic"), F.lit("x"))) == "topic:x"
     assert one(spark, ids.endpoint(F.lit("a"), F.lit("get"), F.lit("/x"))) == "endpoint:a:GET:/x"
+
+
+def test_times_and_sizes(spark):
+    from graphlake.functions import times
+
+    at = lambda s: F.lit(s).cast("timestamp")
+    assert str(one(spark, times.last_slot(at("2026-03-02 01:30:00"), 2))) == "2026-03-01 02:00:00"
+    assert str(one(spark, times.last_slot(at("2026-03-02 02:00:00"), 2))) == "2026-03-02 02:00:00"
+    assert one(spark, times.is_due(at("2026-03-02 03:00:00"), at("2026-03-01 23:00:00"), 2)) is True
+    assert [one(spark, times.size_mb(F.lit(s))) for s in ("2g", "512m", "2048k", "x")] == [2048, 512, 2, None]
+
+
+def test_fill_names_and_joins(spark):
+    props = F.create_map(F.lit("a"), F.lit("1/${b}"), F.lit("b"), F.lit("2"))
+    assert one(spark, text.filled(F.lit("x/${a}/${c:9}/${d}"), props)) == "x/1/2/9/${d}"
+    names = F.array(F.lit("orders"), F.lit("order"), F.lit("c++"))
+    assert one(spark, text.names_in(F.lit("the Orders in c++ code"), names)) == ["orders", "c++"]
+    assert one(spark, urls.join_path(F.lit("/a/"), F.lit("/b/"))) == "/a/b" and one(spark, urls.join_path(F.lit(""), F.lit(""))) == "/"
+    assert one(spark, urls.host_of(F.lit("https://u@api.example.com:1/v1"))) == "u@api.example.com:1" and one(spark, urls.host_of(F.lit("localhost:11434"))) == "localhost:11434"
+    assert tuple(one(spark, text.flow_heading(F.lit("topic"), F.lit("orders"), F.lit(None).cast("string"), F.lit(None).cast("string")))) == ("TOPIC", "orders")
