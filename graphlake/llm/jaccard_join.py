@@ -40,21 +40,31 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - least + 1, 0)
 
 
-def frequent_shingles(docs: DataFrame, k: int, most: int) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, k: int, most: int, window: int = 4_000_000, least: int = 4) -> np.ndarray:
     """Up to ``most`` shingles that many documents share, most frequent first.
 
-    Counts come from all documents: within each slice of about 1 MB those met in two
-    or more documents are reported, and reports are added up.  The list only
-    shapes the order of the prefixes; any list gives the same links.
+    Counts come from all documents: of each ``window`` shingles that a task reads, those
+    that ``least`` documents or more hold are reported, and reports are added up.  The
+    list only shapes the order of the prefixes; any list gives the same links.
     """
 
+    def report(parts: list[np.ndarray]) -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(parts), return_counts=True)
+        x, n = x[n >= least], n[n >= least]
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, 1):
                 _, x = shingle_sets(Words(part.column(1), lower=True), k)
-                x, n = np.unique(x, return_counts=True)
-                x, n = x[n > 1], n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+                held.append(x)
+                size += len(x)
+                if size >= window:
+                    yield report(held)
+                    held, size = [], 0
+        if held:
+            yield report(held)
 
     counted = docs.mapInArrow(scan, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16")
     top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toPandas()["h"]
