@@ -61,8 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of the text decoded from them."""
     path, pattern = bpe._vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path)
-    return coded.select("doc_id", "ids", *[c for c in bpe.digest_columns()])
+    return bpe.encode(docs, path, pattern, decoded=True).select("doc_id", "ids", *bpe.digest_columns())
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("tokens", tokens)]

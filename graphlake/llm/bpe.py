@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 #: Characters with the White_Space property; a fixed value of Unicode.
 WHITE_SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0                　"
@@ -95,7 +95,7 @@ class MergeTransducer:
     #: Keys of a state besides bytes: its readings, and the token that the whole piece is.
     READINGS, WHOLE = -1, -2
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 160_000, max_pairs: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 300_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -227,7 +227,7 @@ class MergeTransducer:
 class _Pieces(dict):
     """Tokens of pieces met before; long pieces are not kept, and a full table starts anew."""
 
-    def __init__(self, transducer: MergeTransducer, most: int = 320_000):
+    def __init__(self, transducer: MergeTransducer, most: int = 200_000):
         super().__init__()
         self.transducer, self.most = transducer, most
 
@@ -325,24 +325,34 @@ def _tokenizer(path: str, pattern: str) -> Tokenizer:
     return _LOADED[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, chunk: int = 4096) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; no exchange.
 
+    With ``decoded`` also text, the ids decoded again in chunks by ``decode_stream`` in
+    the same pass: one Python worker per task holds the caches instead of two.
+
     ``path`` is a file that each machine of the cluster has.  Null and empty texts
     have no tokens; repeated rows are encoded each; no rows give no rows; other
     columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tokenizer = _tokenizer(path, pattern)
         for batch in batches:
             for part in slices(batch, 1):
                 with _without_collector():
                     ids = [tokenizer.encode(t) if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                columns, names = [part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
+                if decoded:
+                    vocabulary = tokenizer.transducer.bytes_of
+                    texts = ["".join(decode_stream((x[i : i + chunk] for i in range(0, len(x), chunk)), vocabulary)) for x in ids]
+                    columns.append(pa.array(texts, pa.string()))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>")
+    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, chunk: int = 4096) -> DataFrame:
@@ -384,4 +394,4 @@ def digest_columns() -> list:
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     path, pattern = _vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode(encode(docs, path, pattern), path).select("doc_id", *digest_columns())
+    return encode(docs, path, pattern, decoded=True).select("doc_id", *digest_columns())

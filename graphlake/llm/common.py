@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,18 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iter
         yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return a reused Python worker's free memory to the system: it served other stages before."""
+    from . import wordhash
+
+    wordhash._POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 #: Bits of a hashed set of keys: 1 MB, whatever the number of keys.
 FILTER_BITS = 1 << 23
 

@@ -150,6 +150,7 @@ def test_bpe_against_merging(spark, documents):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     got = bpe.decode(bpe.encode(table(spark, documents), path, pattern), path).collect()
     assert len(got) == len(documents)
+    assert sorted(got) == sorted(bpe.encode(table(spark, documents), path, pattern, decoded=True, chunk=7).collect())
     text = {d[0]: d[1] or "" for d in documents}
     assert all(list(r.ids) == enc.encode_ordinary(text[r.doc_id]) and r.text == text[r.doc_id] for r in got)
 
