@@ -6,7 +6,7 @@ again.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.llm import bpe, exact_dedup, jaccard_join, langid, mixing
@@ -31,17 +31,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays; of rows that repeat an id, one."""
+    """One row of each distinct text stays, whatever its id; rows whose texts differ all stay.
+
+    Verdicts are kept by id and hash of the text, null ids among them.  Rows that
+    repeat both are told apart by no verdict: the smallest is taken by a map-side minimum.
+    """
     scratch = Scratch(spark, "pipeline-exact")
-    verdicts = exact_dedup.exact_dedup(docs)
-    verdicts = scratch.keep(verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "verdicts")
-    left = without(docs, verdicts.where("not kept").select("doc_id"))
-    again = verdicts.where("n > 1 and kept").select("doc_id")
-    split = marked(left, "_some", key_filter(again, "doc_id"), "doc_id")
     columns = docs.columns
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    repeated = split.where("_some").select(*columns).withColumn("_n", place).where("_n = 1").select(*columns)
-    return split.where("not _some").select(*columns).unionByName(repeated)
+    norm = exact_dedup.normalised(docs["text"])
+    verdicts = exact_dedup.exact_dedup(docs, carry={"text_hash": F.xxhash64(norm), "text_sha": F.sha2(norm, 256)}).where("group_size > 1")
+    verdicts = verdicts.groupBy("doc_id", "text_hash", "text_sha").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    verdicts = scratch.keep(verdicts.where("not kept or n > 1"), "verdicts")
+    split = marked(docs.withColumn("_h", F.xxhash64(norm)), "_some", key_filter(verdicts.select("doc_id", F.col("text_hash").alias("_h")), "doc_id", "_h"), "doc_id", "_h")
+    some = split.where("_some").select(*columns, F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("_full"))
+    key = verdicts.select(F.col("doc_id").alias("_id"), F.col("text_sha").alias("_of"), "kept")
+    same = some["doc_id"].eqNullSafe(key["_id"]) & (some["_full"] == key["_of"])
+    single = some.join(key, same, "left_anti").select(*columns)
+    least = F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("_row")
+    repeated = some.join(key.where("kept"), same, "left_semi").groupBy("doc_id", "_full").agg(least).select(*[F.col(f"_row.{c}").alias(c) for c in columns])
+    return split.where("not _some").select(*columns).unionByName(single).unionByName(repeated)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
