@@ -88,17 +88,26 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
     return out
 
 
+def leave_out(texts: list[str], every: int = 5) -> tuple[list[str], list[str]]:
+    """Texts for the automaton and texts for its norm: each ``every``-th is left out; of fewer texts, the end of each."""
+    if len(texts) >= every:
+        return [t for i, t in enumerate(texts) if i % every != every - 1], texts[every - 1 :: every]
+    cuts = [len(t) - len(t) // every for t in texts]
+    return [t[:n] for t, n in zip(texts, cuts)], [t[n:] for t, n in zip(texts, cuts) if n < len(t)]
+
+
 class CrossParser:
     """Phrases that each language needs for a text."""
 
     def __init__(self, training: dict[str, list[str]], max_chars: int = 30_000):
-        """``max_chars``: the bound on training characters of each language."""
+        """``max_chars``: the bound on training characters of each language, and on those left out of its automaton."""
         self.languages = sorted(training)
+        kept = {language: leave_out(training[language]) for language in self.languages}
         self.alphabet = Alphabet([t for texts in training.values() for t in texts])
         tables, offsets, at = [], [], 0
         for language in self.languages:
             codes: list[int] = []
-            for text in training[language]:
+            for text in kept[language][0]:
                 piece = self.alphabet.encode(text[: max_chars - len(codes)])
                 if len(piece):
                     keep = np.ones(len(piece), dtype=bool)
@@ -113,6 +122,31 @@ class CrossParser:
         # a move to 0 is no move: 0 is the first automaton's start, to which no move leads
         self.moves = np.concatenate(tables).astype(np.int32) if tables else np.zeros((1, self.alphabet.size), np.int32)
         self.starts = np.array(offsets, dtype=np.int32)
+        self.norms = self._measure([kept[language][1] for language in self.languages], max_chars)
+
+    def _measure(self, left_out: list[list[str]], max_chars: int) -> np.ndarray:
+        """Phrases per character that each language needs for its own text left out of its automaton.
+
+        A language without such text gets the mean of the others.
+        """
+        norms = np.full(len(left_out), np.nan)
+        for column, texts in enumerate(left_out):
+            sample, chars = [], 0
+            for text in texts:
+                sample.append(text[: max_chars - chars])
+                chars += len(sample[-1])
+                if chars >= max_chars:
+                    break
+            used = sum(map(self._length, sample))
+            if used:
+                norms[column] = self.phrases(sample)[:, column].sum() / used
+        known = norms[~np.isnan(norms)]
+        return np.where(np.isnan(norms), known.mean() if len(known) else 1.0, norms)
+
+    def _length(self, text: str) -> int:
+        """Characters parsed: runs of separators are one; 0 for a text without a letter."""
+        codes = self.alphabet.encode(text)
+        return int((codes[1:].astype(bool) | codes[:-1].astype(bool)).sum()) + 1 if codes.any() else 0
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """A row per text, a column per language."""
@@ -156,7 +190,7 @@ class CrossParser:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ties go to the language first in order."""
         has_letter = [bool(t) and any(map(str.isalpha, t)) for t in texts]
-        need = self.phrases([t if ok else "" for t, ok in zip(texts, has_letter)])
+        need = self.phrases([t if ok else "" for t, ok in zip(texts, has_letter)]) / self.norms
         names, scores = [], []
         for ok, row in zip(has_letter, need):
             if not ok or not self.languages:
@@ -189,8 +223,8 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     """(doc_id, lang_pred, score, *keep) for every row of ``docs``; learned from ``labelled`` alone.
 
     ``lang_pred`` is a label of ``labelled``, or ``und`` for a text that is null or
-    has no letter.  ``score`` is one less the share of phrases that the winner
-    needs of what the next language needs; 1 if there is but one language, 0 for
+    has no letter.  ``score`` is one less the share of phrases, each divided by its
+    language's norm, that the winner needs of what the next language needs; 1 if there is but one language, 0 for
     ``und``.  Labels that are null teach nothing; without labels all is ``und``;
     repeated rows are judged each; no rows give no rows.  Columns named in
     ``keep`` pass through unread.

@@ -322,3 +322,21 @@ def test_components(spark, tmp_path):
     got = dict(components(Scratch(spark, "test"), spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {n: find(n) for e in edges for n in e if e[0] != e[1]}
     assert components(Scratch(spark, "test"), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def _markov(seed, letters, n_words=300, order_bias=3):
+    """Texts of a made-up language: words from a fixed list over ``letters``."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n_words)]
+    return lambda rng, n: " ".join(vocabulary[min(int(rng.expovariate(order_bias / n_words)), n_words - 1)] for _ in range(n))
+
+
+def test_language_with_little_labelled_text():
+    rng, hot, rare = random.Random(2), _markov(1, "etaoinshrdlu"), _markov(2, "etaoinshrdlu")
+    for n, length in ((2, 60), (1, 10)):
+        parser = langid.CrossParser({"hot": [hot(rng, 100) for _ in range(200)], "rare": [rare(rng, length) for _ in range(n)]})
+        assert parser.norms[1] > 2 * parser.norms[0]
+        names, scores = parser.predict([hot(rng, 40) for _ in range(50)] + [rare(rng, 40) for _ in range(50)])
+        assert names[:50].count("hot") >= 43 and names[50:].count("rare") >= 45
+        assert all(0 <= s <= 1 for s in scores)
+    assert langid.CrossParser({"a": ["x"], "b": ["1"], "c": []}).predict(["x", "1"])[0] == ["a", "und"]
