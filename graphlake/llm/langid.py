@@ -20,42 +20,29 @@ from .common import slices
 
 #: Characters of a block; a phrase ends where its block ends.
 BLOCK = 256
+#: Codes of a language that have a column in its table of moves.
+WIDTH = 64
 UNDETERMINED = "und"
 
 
 class Alphabet:
-    """The most frequent letters of the training texts; all else is one separator."""
-
-    def __init__(self, texts: list[str], most: int = 62):
-        counts: dict[str, int] = {}
-        for text in texts:
-            for c in text.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:most]
+    """A code for every letter of the training texts; all that is no letter is one separator."""
+
+    def __init__(self, texts: list[str]):
+        letters = sorted({c for text in texts for c in set(text.lower()) if c.isalpha()})
         #: 0 separator, 1 a letter seen in no training text, 2.. the letters
         self.size = len(letters) + 2
-        self.codes = {ord(c): i + 2 for i, c in enumerate(letters)}
-        self.table = np.zeros(0x3000, dtype=np.uint8)
-        for point in range(len(self.table)):
-            if chr(point).isalpha():
-                self.table[point] = self.codes.get(point, 1)
-        self.beyond = {p: c for p, c in self.codes.items() if p >= len(self.table)}
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.table = np.fromiter((chr(p).isalpha() for p in range(0x110000)), dtype=self.kind, count=0x110000)
+        for i, c in enumerate(letters):
+            self.table[ord(c)] = i + 2
 
     def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        low = points < len(self.table)
-        if low.all():
-            return self.table[points]
-        out = np.zeros(len(points), dtype=np.uint8)
-        out[low] = self.table[points[low]]
-        high = points[~low]
-        out[~low] = [self.beyond.get(p, 1 if chr(p).isalpha() else 0) for p in high.tolist()]
-        return out
+        return self.table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
-def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
-    """The automaton's moves, a row per state and a column per letter; 0, the first state, where there is no move."""
+def automaton_moves(codes: list[int]) -> list[dict[int, int]]:
+    """The moves of each state of the codes' suffix automaton; none leads to the first state."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -81,6 +68,12 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return moves
+
+
+def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
+    """The automaton's moves, a row per state and a column per letter; 0, the first state, where there is no move."""
+    moves = automaton_moves(codes)
     out = np.zeros((len(moves), size), dtype=np.int32)
     for state, row in enumerate(moves):
         for c, to in row.items():
@@ -88,6 +81,46 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
     return out
 
 
+class Automaton:
+    """One language's moves: a table for its ``WIDTH`` most frequent codes, sorted keys for the rest."""
+
+    def __init__(self, codes: list[int], alphabet: Alphabet):
+        found, counts = np.unique(np.array([c for c in codes if c], dtype=np.int64), return_counts=True)
+        #: own codes by the alphabet's: 0 separator, 1 a letter that this automaton never read, 2.. by frequency
+        self.own = np.ones(alphabet.size, dtype=alphabet.kind)
+        self.own[0] = 0
+        self.own[found[np.argsort(-counts, kind="stable")]] = np.arange(2, len(found) + 2)
+        self.size = len(found) + 2
+        self.width = min(self.size, WIDTH)
+        moves = automaton_moves(self.own[codes].tolist() if codes else [])
+        self.flat = np.zeros(len(moves) * self.width, dtype=np.int32)
+        rare = {}
+        for state, row in enumerate(moves):
+            for c, to in row.items():
+                if c < self.width:
+                    self.flat[state * self.width + c] = to
+                else:
+                    rare[state * self.size + c] = to
+        self.keys = np.array(sorted(rare), dtype=np.int64)
+        self.to = np.array([rare[k] for k in self.keys.tolist()], dtype=np.int32)
+        self.first = np.zeros(self.size, dtype=np.int32)
+        for c, to in moves[0].items():
+            self.first[c] = to
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states that follow; 0 where there is no move."""
+        if not len(self.keys):
+            return self.flat[state * self.width + c]
+        beyond = np.flatnonzero(c >= self.width)
+        if not len(beyond):
+            return self.flat[state * self.width + c]
+        out = self.flat[state * self.width + np.minimum(c, self.width - 1)]
+        key = state[beyond].astype(np.int64) * self.size + c[beyond]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[beyond] = np.where(self.keys[at] == key, self.to[at], 0)
+        return out
+
+
 def leave_out(texts: list[str], every: int = 5) -> tuple[list[str], list[str]]:
     """Texts for the automaton and texts for its norm: each ``every``-th is left out; of fewer texts, the end of each."""
     if len(texts) >= every:
@@ -104,7 +137,7 @@ class CrossParser:
         self.languages = sorted(training)
         kept = {language: leave_out(training[language]) for language in self.languages}
         self.alphabet = Alphabet([t for texts in training.values() for t in texts])
-        tables, offsets, at = [], [], 0
+        self.automata = []
         for language in self.languages:
             codes: list[int] = []
             for text in kept[language][0]:
@@ -115,13 +148,7 @@ class CrossParser:
                     codes += [*piece[keep].tolist(), 0]
                 if len(codes) >= max_chars:
                     break
-            table = suffix_automaton(codes, self.alphabet.size)
-            tables.append(np.where(table > 0, table + at, 0))
-            offsets.append(at)
-            at += len(table)
-        # a move to 0 is no move: 0 is the first automaton's start, to which no move leads
-        self.moves = np.concatenate(tables).astype(np.int32) if tables else np.zeros((1, self.alphabet.size), np.int32)
-        self.starts = np.array(offsets, dtype=np.int32)
+            self.automata.append(Automaton(codes, self.alphabet))
         self.norms = self._measure([kept[language][1] for language in self.languages], max_chars)
 
     def _measure(self, left_out: list[list[str]], max_chars: int) -> np.ndarray:
@@ -150,7 +177,7 @@ class CrossParser:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """A row per text, a column per language."""
-        parts, owners = [], []
+        parts, owners, lengths = [], [], []
         for i, text in enumerate(texts):
             codes = self.alphabet.encode(text)
             if len(codes) > 1:
@@ -158,31 +185,30 @@ class CrossParser:
                 keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
                 codes = codes[keep]
             blocks = -(-len(codes) // BLOCK)
-            padded = np.full(blocks * BLOCK, 255, dtype=np.uint8)
+            padded = np.zeros(blocks * BLOCK, dtype=self.alphabet.kind)
             padded[: len(codes)] = codes
             parts.append(padded)
             owners.append(np.full(blocks, i))
-        grid = np.ascontiguousarray(np.concatenate(parts).reshape(-1, BLOCK).T) if parts else np.zeros((BLOCK, 0), np.uint8)
+            lengths.append(np.minimum(len(codes) - np.arange(blocks) * BLOCK, BLOCK))
+        grid = np.ascontiguousarray(np.concatenate(parts).reshape(-1, BLOCK).T) if parts else np.zeros((BLOCK, 0), self.alphabet.kind)
         owner = np.concatenate(owners) if owners else np.zeros(0, int)
-        size, flat, out = self.alphabet.size, self.moves.ravel(), np.zeros((len(texts), len(self.languages)), dtype=np.int64)
-        used = (grid != 255).sum(axis=0)
+        used = np.concatenate(lengths) if lengths else np.zeros(0, int)
+        out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         order = np.argsort(-used, kind="stable")  # full blocks first, so that short ones drop off the end
         grid, owner, used = np.ascontiguousarray(grid[:, order]), owner[order], used[order]
         alive = np.searchsorted(-used, -np.arange(BLOCK), side="left")  # blocks with more than t characters
-        for column, start in enumerate(self.starts.tolist()):
-            first = flat[start * size : (start + 1) * size]
-            state, count = np.full(len(owner), start, dtype=np.int32), np.ones(len(owner), dtype=np.int64)
+        for column, automaton in enumerate(self.automata):
+            state, count, own = np.zeros(len(owner), dtype=np.int32), np.ones(len(owner), dtype=np.int64), automaton.own[grid]
             for t in range(BLOCK):
                 n = alive[t]
                 if not n:
                     break
-                c = grid[t, :n]
-                nxt = flat[state[:n] * size + c]
+                c = own[t, :n]
+                nxt = automaton.step(state[:n], c)
                 ended = np.flatnonzero(nxt == 0)
                 if len(ended):
                     count[ended] += 1
-                    again = first[c[ended]]
-                    nxt[ended] = np.where(again == 0, start, again)
+                    nxt[ended] = automaton.first[c[ended]]
                 state[:n] = nxt
             np.add.at(out[:, column], owner, count)
         return out

@@ -340,3 +340,39 @@ def test_language_with_little_labelled_text():
         assert names[:50].count("hot") >= 43 and names[50:].count("rare") >= 45
         assert all(0 <= s <= 1 for s in scores)
     assert langid.CrossParser({"a": ["x"], "b": ["1"], "c": []}).predict(["x", "1"])[0] == ["a", "und"]
+
+
+def test_language_of_rare_scripts():
+    rng = random.Random(4)
+    letters = {
+        "latin": [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0x101, 0x137, 2))],
+        "greek": [chr(c) for c in range(0x3B1, 0x3C9)],
+        "cyrillic": [chr(c) for c in range(0x430, 0x450)],
+        "han": [chr(c) for c in range(0x4E00, 0x4E00 + 1500)],
+        "han2": [chr(c) for c in range(0x4E00 + 500, 0x4E00 + 2000)],
+        "gothic": [chr(c) for c in range(0x10330, 0x10340)],
+    }
+    kinds = {k: _markov(i, x) for i, (k, x) in enumerate(letters.items())}
+    parser = langid.CrossParser({k: [make(rng, 60) for _ in range(100 if k == "latin" else 20)] for k, make in kinds.items()})
+    for k, make in kinds.items():
+        assert parser.predict([make(rng, 20) for _ in range(20)])[0].count(k) >= 19, k
+
+
+def test_phrases_are_longest_matches():
+    rng = random.Random(6)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    make = lambda n: "".join(rng.choice(wide[: rng.choice((3, 30, 300))]) for _ in range(n))
+    training = {"x": [make(400) for _ in range(5)], "y": [make(300) for _ in range(5)]}
+    parser = langid.CrossParser(training)
+    texts = [make(rng.randrange(1, 250)) + "q" for _ in range(20)]
+    got = parser.phrases(texts)
+    for column, language in enumerate(parser.languages):
+        known = " ".join(langid.leave_out(training[language])[0])
+        for row, text in enumerate(texts):
+            want, phrase = 1, ""
+            for c in text:
+                if phrase + c in known:
+                    phrase += c
+                else:
+                    want, phrase = want + 1, c if c in known else ""
+            assert got[row, column] == want
