@@ -1,7 +1,8 @@
 """From raw documents to token ids, in five stages, each an operator of ``graphlake.llm``.
 
 A stage gets the rows that its predecessor kept, written as Parquet and read
-again.  All but the last return the columns of ``documents``.
+again.  The first three return the columns of ``documents``; the mixture adds
+each row's slot and place in it, which the last stage passes on.
 """
 
 from __future__ import annotations
@@ -60,16 +61,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture, slots in ranges of files."""
+    """All documents with slot and place, the order of the mixture; slots in ranges of files."""
     mixed = mixing.mix(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "slot").sortWithinPartitions("slot", "place").select("row.*")
+    return mixed.repartitionByRange(parts, "slot").sortWithinPartitions("slot", "place").select("row.*", "slot", "place")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of the ids and of the text decoded from them."""
+    """Slot and place in the mixture and token ids of every document, and digests of the ids and of the text decoded from them."""
     path, pattern = bpe._vocabulary()
-    return bpe.encode(docs, path, pattern, decoded=True).select("doc_id", "ids", *bpe.digest_columns())
+    encoded = bpe.encode(docs, path, pattern, decoded=True, keep=["slot", "place"])
+    return encoded.select("doc_id", "slot", "place", "ids", *bpe.digest_columns())
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("tokens", tokens)]

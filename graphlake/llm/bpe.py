@@ -325,16 +325,17 @@ def _tokenizer(path: str, pattern: str) -> Tokenizer:
     return _LOADED[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, chunk: int = 4096) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text; no exchange.
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, chunk: int = 4096, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, ids array<int>, *keep) of every whole text; no exchange.
 
     With ``decoded`` also text, the ids decoded again in chunks by ``decode_stream`` in
     the same pass: one Python worker per task holds the caches instead of two.
 
     ``path`` is a file that each machine of the cluster has.  Null and empty texts
-    have no tokens; repeated rows are encoded each; no rows give no rows; other
-    columns are ignored.
+    have no tokens; repeated rows are encoded each; no rows give no rows; columns
+    named in ``keep`` pass through unread, others are ignored.
     """
+    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
@@ -349,10 +350,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     texts = ["".join(decode_stream((x[i : i + chunk] for i in range(0, len(x), chunk)), vocabulary)) for x in ids]
                     columns.append(pa.array(texts, pa.string()))
                     names.append("text")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns += [part.column(2 + i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, names + [f"k{i}" for i in range(len(keep))])
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>" + ", text string" * decoded)
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    out = source.mapInArrow(run, f"doc_id {kinds['doc_id']}, ids array<int>" + ", text string" * decoded + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep))))
+    return out.select("doc_id", "ids", *["text"] * decoded, *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def decode(encoded: DataFrame, path: str, chunk: int = 4096) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from graphlake.llm import mixing
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -24,3 +25,13 @@ def test_exact_keeps_each_distinct_text(spark):
     ids = {norm(r.text): r.doc_id for r in got}
     assert ids["shared text"] == 1 and ids["one"] == 1 and ids["third without id"] is None and ids[""] == 3
     assert {(r.doc_id, r.text, r.source) for r in got} <= set(rows)
+
+
+def test_order_of_the_mixture_reaches_the_result(spark, tmp_path):
+    docs = table(spark, [(i, f"text {i}", "abbbccc"[i % 7]) for i in range(700)])
+    want = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs).select("row.doc_id", "slot", "place").collect()}
+    corpus_pipeline.mixture(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed")).repartition(5)
+    got = corpus_pipeline.tokens(spark, mixed, "").collect()
+    assert {r.doc_id: (r.slot, r.place) for r in got} == want and len(got) == 700
+    assert len({(r.slot, r.place) for r in got}) == 700
