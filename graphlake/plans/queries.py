@@ -507,19 +507,25 @@ def lca(t):
     return graph.common_ancestor(graph.ancestors(model.containment(t)), pairs)
 
 
+def _mounted(t):
+    # part n is in the last module of chain n % 4; chain k goes from module k, the outermost, to module 3
+    k, j = F.col("k"), F.col("j")
+    module = lambda k, j: -(1 + 4 * k + j)
+    starts = t.part.select(F.col("p_partkey").alias("node"), F.concat(F.lit("/p"), F.col("p_partkey")).alias("path"))
+    own = starts.select("node", module(F.col("node") % 4, F.lit(3)).cast("bigint").alias("parent"), F.lit("/m3").alias("prefix"))
+    chains = t.spark.range(16).select(F.floor(F.col("id") / 4).alias("k"), (F.col("id") % 4).alias("j")).where("j > k")
+    chain = chains.select(module(k, j).cast("bigint").alias("node"), module(k, j - 1).cast("bigint").alias("parent"), F.concat(F.lit("/m"), (j - 1).cast("string")).alias("prefix"))
+    return graph.prefix_chain(own.unionByName(chain), starts)
+
+
 @query("mounted_paths", "select p_partkey as node, case p_partkey % 4 when 0 then '/m0/m1/m2/m3' when 1 then '/m1/m2/m3' when 2 then '/m2/m3' else '/m3' end || '/p' || p_partkey as path from part where p_partkey % 10 = 0 or p_partkey % 10 = 1")
 def mounted_paths(t):
-    # parts hang under module 3 - n % 4 through a chain of mounts; module 3 is its own parent, a cycle
-    starts = t.part.where("p_partkey % 10 in (0, 1)").select((F.col("p_partkey") * 10).alias("node"), F.concat(F.lit("/p"), F.col("p_partkey")).alias("path"))
-    parts = starts.select("node", (-1 - F.pmod(F.col("node") / 10, F.lit(4))).cast("bigint").alias("top"))
-    mods = t.spark.range(4).select((-1 - F.col("id")).alias("m"))
-    own = starts.select("node", F.lit(-4).cast("bigint").alias("parent"), F.lit("/m3").alias("prefix"))
-    chain = mods.select(F.col("m").alias("node"), F.col("m").alias("parent"), F.lit("").alias("prefix"))
-    chain = mods.where("m < -1").select(F.col("m").alias("node"), (F.col("m") + 1).alias("parent"), F.concat(F.lit("/m"), (-F.col("m") - 2).cast("string")).alias("prefix"))
-    want = graph.prefix_chain(own.unionByName(chain), starts)
-    depth = parts.select("node", (-F.col("top") - 1).alias("k"))
-    cut = want.join(depth, "node").select((F.col("node") / 10).cast("bigint").alias("node"), F.concat(F.array_join(F.transform(F.sequence(F.col("k"), F.lit(3)), lambda i: F.concat(F.lit("/m"), i.cast("string"))), ""), F.regexp_extract("path", r"(/p[0-9]+)$", 1)).alias("path"))
-    return cut
+    return _mounted(t).where("node % 10 in (0, 1)")
+
+
+@query("mounted_paths_whole", "select p_partkey as node, case p_partkey % 4 when 0 then '/m0/m1/m2/m3' when 1 then '/m1/m2/m3' when 2 then '/m2/m3' else '/m3' end || '/p' || p_partkey as path from part")
+def mounted_paths_whole(t):
+    return _mounted(t)
 
 
 # ------------------------------------------------------------ search, coverage, traces
