@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import assembly, coverage, graph, identity, joins, signals, state
 from . import model
-from .queries import CHANNELS, USES, query
+from .queries import CHANNELS, SQL, USES, query
 
 
 def literal(t, rows: list[tuple], *names: str):
@@ -167,3 +167,49 @@ def sibling_reach(t):
 def meaningful_words(t):
     words = text.meaningful(text.words_of(F.concat(F.lit("the how can "), F.col("p_name"))))
     return t.part.select(F.col("p_partkey").alias("part"), F.array_join(words, " ").alias("words"))
+
+
+# ------------------------------------------------------------ over whole tables
+
+
+@query("name_closure_whole", SQL["name_closure"].replace(" where c_custkey % 10 = 0", ""))
+def name_closure_whole(t):
+    names = t.customer.select(F.col("c_custkey").alias("deployable"), F.concat(F.lit("n"), F.col("c_custkey") % 50).alias("name"))
+    n = lambda k: F.concat(F.lit("n"), F.col("n_nationkey") + k)
+    links = t.nation.select(n(0).alias("a"), n(100).alias("b")).unionByName(t.nation.select(n(100).alias("a"), n(200).alias("b")))
+    return identity.closure(names, links)
+
+
+@query("identity_match_whole", SQL["identity_match"].replace(" where c_custkey <= 300", "").replace("'n' || (s_suppkey % 60)", "'n' || s_nationkey || ':' || cast(floor(s_acctbal / 10) as bigint)").replace("'n' || (c_custkey % 80)", "'n' || c_nationkey || ':' || cast(floor(c_acctbal / 10) as bigint)"))
+def identity_match_whole(t):
+    c = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    name = lambda x: F.concat(F.lit("n"), F.col(f"{x}_nationkey").cast("string"), F.lit(":"), F.floor(F.col(f"{x}_acctbal") / 10).cast("string"))
+    known = t.supplier.select(F.col("s_suppkey").alias("id"), c("l", F.col("s_suppkey")).alias("location"), name("s").alias("name"), (F.col("s_suppkey") % 4 == 0).alias("gone"))
+    return identity.match(t.customer.select(F.col("c_custkey").alias("deployable"), c("l", F.col("c_custkey") * 3).alias("location"), name("c").alias("name")), known)
+
+
+@query("subset_unique_whole", SQL["subset_unique"].replace(" where p_partkey % 11 = 0", "").replace(" and p_partkey % 5 = 0", ""))
+def subset_unique_whole(t):
+    size = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))
+    w = t.part.select(F.col("p_brand").alias("label"), size.alias("size")).distinct()
+    w = w.select(F.concat_ws(":", "label", F.coalesce(F.col("size").cast("string"), F.lit("*"))).alias("ref"), "label", "size")
+    return joins.subset_unique(w, t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.col("p_size").alias("size")), ["size"])
+
+
+@query("orphans_whole", SQL["orphans"].replace(" and flow % 4 = 0", ""))
+def orphans_whole(t):
+    u = model.channel_uses(t)
+    edges = u.select(F.when(F.col("role") == "produces", F.col("channel")).alias("src"), F.when(F.col("role") == "consumes", F.col("channel")).alias("dst"))
+    return state.orphans(t.part.select(F.col("p_partkey").alias("id")), edges)
+
+
+@query("set_diff_whole", "select user_id, event_type from events where hour(ts) < 12 except select user_id, event_type from events where hour(ts) >= 12")
+def set_diff_whole(t):
+    pick = lambda where: t.events.where(where).select("user_id", "event_type")
+    return pick("hour(ts) < 12").subtract(pick("hour(ts) >= 12"))
+
+
+@query("stale_labels_whole", SQL["stale_labels"].replace("event_id % 5 = 0", "hour(ts) < 12").replace("event_id % 7 = 0", "hour(ts) >= 12"))
+def stale_labels_whole(t):
+    pick = lambda where, name: t.events.where(where).groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias(name))
+    return pick("hour(ts) < 12", "a").join(pick("hour(ts) >= 12", "b"), "id").select("id", F.array_join(state.stale_labels(F.col("a"), F.col("b")), ",").alias("stale"))
