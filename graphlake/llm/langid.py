@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 #: Characters of a block; a phrase ends where its block ends.
 BLOCK = 256
@@ -261,6 +261,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = shared.value
         for batch in batches:
             for part in slices(batch, 1):
