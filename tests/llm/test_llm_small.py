@@ -376,3 +376,12 @@ def test_phrases_are_longest_matches():
                 else:
                     want, phrase = want + 1, c if c in known else ""
             assert got[row, column] == want
+
+
+def test_upper_case_keys_are_random():
+    rng = random.Random(8)
+    for name, chars in (("upper hex", "0123456789ABCDEF"), ("upper base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+        tokens = ["".join(rng.choice(chars) for _ in range(40)) for _ in range(200)]
+        named = [t for t in tokens if secrets.encoding(t) == name]
+        assert len(named) >= 190
+        assert sum(secrets.randomness(t, name) > 0.01 for t in named) >= 0.95 * len(named)
