@@ -13,15 +13,20 @@ class Scratch:
 
     A written table cuts lineage as a checkpoint does, but is compressed, can be
     read by column and survives the loss of any executor.  ``drop`` deletes a
-    table that no later plan reads.  A local folder is used only where the
-    setting is absent, as in tests.
+    table that no later plan reads; what a returned DataFrame still reads is
+    deleted when the application ends.  The setting must name a folder, except on a
+    master that is one machine, whose temporary folder serves.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="graphlake-")
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def path(self, name: str) -> str:
         self.n += 1
