@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +25,13 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iter
         yield batch.slice(a, b - a)
 
 
-def give_back() -> None:
-    """Return a reused Python worker's free memory to the system: it served other stages before."""
-    from . import wordhash
+#: Bits of a hashed set of keys: 1 MB at first, and by the number of keys up to 32 MB.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 28
 
-    wordhash._POWERS.clear()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library keeps its own counsel
-        pass
 
-
-#: Bits of a hashed set of keys: 1 MB, whatever the number of keys.
-FILTER_BITS = 1 << 23
+def filter_bits(keys: int) -> int:
+    """Bits for a set of ``keys``: eight for each, a power of two between the bounds."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (8 * keys).bit_length()))
 
 
 def key_filter(keys: DataFrame, *columns: str, bits: int = FILTER_BITS) -> DataFrame:
@@ -51,15 +44,17 @@ def key_filter(keys: DataFrame, *columns: str, bits: int = FILTER_BITS) -> DataF
 def marked(df: DataFrame, name: str, filters: DataFrame, *columns: str, bits: int = FILTER_BITS) -> DataFrame:
     """``df`` with boolean ``name``: true for every key in the set, and for others by chance; no exchange.
 
-    Only ever saves work: what it marks is decided exactly later.  As keys
-    outnumber the bits it marks nearly all, and results stay the same.
+    Only ever saves work: what it marks is decided exactly later.  Keys beyond
+    what the largest set holds are marked by chance more and more, up to all, which then
+    are joined in partitions; results stay the same.
     """
     slot = F.pmod(F.xxhash64(*columns), F.lit(bits)).cast("long") + 1
-    tested = df.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_bit": F.bitmap_bit_position(slot)})
-    found = F.broadcast(filters.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
-    return tested.join(found, "_bucket", "left").withColumn(name, bit).drop("_bucket", "_bit", "_bitmap")
+    bucket, bit_at, bitmap = (f"{name}_{x}_{uuid.uuid4().hex}" for x in ("bucket", "bit", "bitmap"))
+    tested = df.withColumns({bucket: F.bitmap_bucket_number(slot), bit_at: F.bitmap_bit_position(slot)})
+    found = F.broadcast(filters.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, cast({bit_at} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({bit_at} % 8 as int))")) != 0, F.lit(False))
+    return tested.join(found, bucket, "left").withColumn(name, bit).drop(bucket, bit_at, bitmap)
 
 
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -1,19 +1,21 @@
 """N-gram Jaccard join by a grouped prefix join.
 
 A document is its set of distinct k-word shingles.  All sets are ordered by one
-global order, rarest shingles first as far as known.  Two sets that link share a
-shingle among their prefixes, and sizes within the threshold's ratio.
+global order: shingles that few documents hold before those that many hold.  Two
+sets that link share a shingle among their prefixes, and sizes within the
+threshold's ratio.
 
-1. Documents of equal sets are one node; nodes of equal prefix and size form one
+1. A scan counts how many documents hold each shingle and keeps two bitmaps of the
+   frequent ones.  They shape the order and nothing else: any order gives the same links.
+2. Documents of equal sets are one node; nodes of equal prefix and size form one
    group, and only groups post their prefix.
-2. Shingles posted by one group alone are dropped.  Groups are expanded to nodes.
-3. Candidates pass a bound from counts of shingles per bucket of the hash space, then
-   are verified on whole sets.  Instead of all pairs of a posting,
-   each round ties its nodes to one hub, so a round is linear in the postings;
-   linked nodes merge into components, and postings whose nodes are all in one
-   component are done.  After a few rounds what is left, pairs between different
-   components that pass the size and position filters, is verified in full, so no link
-   that joins two components is lost.
+3. Shingles posted by one group alone are dropped.  Groups are expanded to nodes.
+4. Candidates pass a bound from parity sketches, then are verified on whole sets.
+   Instead of all pairs of a posting, each round ties its nodes to one hub, so a round is
+   linear in the postings; linked nodes merge into components, and postings whose
+   nodes are all in one component are done.  For the few that are left, pairs between
+   different components are compared by size, place and sketch inside the join, and what
+   passes is verified, so no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, key_filter, marked, slices
+from .common import Scratch, components, filter_bits, key_filter, marked, slices
 from .wordhash import Words, mix, shingle_sets
 
-
-def needed_overlap(a, b, percent: int):
-    """Least intersection i of sets of sizes a and b with 100 i >= percent * union, in whole numbers."""
-    return -((-percent * (a + b)) // (100 + percent))
+#: Bytes of text that a worker shingles at a time.
+PIECE = 1 << 19
+#: Bits of the bitmap of each level of frequent shingles: 4 MB.
+LEVEL_BITS = 1 << 25
+#: Shingles that a counting task holds; beyond twice as many it drops the rarest.
+HELD = 1 << 20
+#: Bits of a sketch, in 64-bit words.
+SKETCH_WORDS = 8
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -40,51 +47,103 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - least + 1, 0)
 
 
-def frequent_shingles(docs: DataFrame, k: int, most: int, window: int = 4_000_000, least: int = 4) -> np.ndarray:
-    """Up to ``most`` shingles that many documents share, most frequent first.
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+# ---------------------------------------------------------------- the order
+
 
-    Counts come from all documents: of each ``window`` shingles that a task reads, those
-    that ``least`` documents or more hold are reported, and reports are added up.  The
-    list only shapes the order of the prefixes; any list gives the same links.
+def count_keys(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, held: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts with the keys ``more`` added; beyond ``2 * held`` keys the rarest go."""
+    x = np.concatenate([keys, more])
+    n = np.concatenate([counts, np.ones(len(more), dtype=np.int64)])
+    order = np.argsort(x)
+    x, n = x[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    x, n = x[begin], np.add.reduceat(n, begin) if len(x) else n
+    least = 1
+    while len(x) > 2 * held:
+        stay = n > least
+        x, n, least = x[stay], n[stay], least * 2
+    return x, n
+
+
+def frequent_levels(scratch: Scratch, docs: DataFrame, k: int, least: int = 16, step: int = 16, bits: int = LEVEL_BITS) -> list[np.ndarray]:
+    """Two bitmaps, by the low bits of a shingle: those of ``least`` documents or more, and of ``step`` times as many.
+
+    All shingles of all documents are counted.  They are exchanged as sorted arrays of four
+    bytes each, dealt out by other bits of the shingle, and a task that counts holds
+    a bounded table.  ``least`` rises by powers of two until the shingles of a bitmap are an
+    eighth of its bits at most.
     """
+    spark = docs.sparkSession
+    deal = 1 << min(16, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+    mask = np.uint64((deal << 32) - 1)
 
-    def report(parts: list[np.ndarray]) -> pa.RecordBatch:
-        x, n = np.unique(np.concatenate(parts), return_counts=True)
-        x, n = x[n >= least], n[n >= least]
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(held) & mask)
+        bucket = (x >> np.uint64(32)).astype(np.int32)
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(x) else np.zeros(0, int)
+        ends = np.append(begin[1:], len(x))
+        low = x.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array([low[a:z].tobytes() for a, z in zip(begin.tolist(), ends.tolist())], pa.binary())], ["bucket", "low"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, 1):
-                _, x = shingle_sets(Words(part.column(1), lower=True), k)
+            for part in slices(batch, 0, PIECE):
+                _, x = shingle_sets(Words(part.column(0), lower=True), k)
                 held.append(x)
                 size += len(x)
-                if size >= window:
-                    yield report(held)
+                if size >= HELD:
+                    yield packed(held)
                     held, size = [], 0
-        if held:
-            yield report(held)
-
-    counted = docs.mapInArrow(scan, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16")
-    top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toPandas()["h"]
-    return top.to_numpy(dtype=np.int64).view(np.uint64)
-
-
-def _ordered_prefixes(d: np.ndarray, x: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, sorted_frequent, percent: int):
-    """(document, hash, position) of the prefixes; frequent shingles come last, the most frequent at the end."""
-    rank = np.zeros(len(x), dtype=np.int64)
-    if len(frequent):
-        values, order = sorted_frequent
-        at = np.minimum(np.searchsorted(values, x), len(values) - 1)
-        hit = values[at] == x
-        rank[hit] = len(frequent) - order[at[hit]]
-    keys = np.lexsort((x, rank, d))
-    d, x = d[keys], x[keys]
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    position = np.arange(len(d)) - begin[d]
-    keep = position < prefix_length(sizes, percent)[d]
-    return d[keep], x[keep], position[keep]
+        if size:
+            yield packed(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, size = [], 0
+        for batch in batches:
+            for bucket, low in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(np.frombuffer(low.as_buffer(), np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+                size += len(held[-1])
+                if size >= HELD:
+                    keys, counts = count_keys(keys, counts, np.concatenate(held), HELD)
+                    held, size = [], 0
+        if size:
+            keys, counts = count_keys(keys, counts, np.concatenate(held), HELD)
+        often = counts >= least
+        yield pa.RecordBatch.from_arrays([_signed(keys[often] & np.uint64(bits - 1)), pa.array(counts[often])], ["slot", "n"])
+
+    counted = scratch.keep(docs.select("text").mapInArrow(scan, "bucket int, low binary").repartition("bucket").mapInArrow(count, "slot bigint, n bigint"), "frequent")
+    sizes = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()}
+    floor = max(1, least).bit_length() - 1
+    while sum(n for power, n in sizes.items() if power >= floor) > bits // 8:
+        floor += 1
+    out = []
+    for at_least in (1 << floor, step << floor):
+        slot = F.col("slot") + 1
+        bitmap = counted.where(F.col("n") >= at_least).groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+        level = np.zeros(bits // 8, dtype=np.uint8)
+        for r in bitmap.collect():  # at most bits / 8 bytes
+            level[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+        out.append(level)
+    scratch.drop(counted)
+    return out
+
+
+def level_of(x: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """How many of the bitmaps hold each shingle."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for level in levels:
+        slot = x & np.uint64(len(level) * 8 - 1)
+        out += (level[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+    return out
+
+
+# ---------------------------------------------------------------- scans of the texts
 
 
 def _digest(d: np.ndarray, x: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -95,195 +154,194 @@ def _digest(d: np.ndarray, x: np.ndarray, n: int, salt: int) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.uint64(salt))
 
 
-#: Buckets of the hash space in a set's sketch; counts are of two bytes.
-BUCKETS = 256
-
-
 def sketches(d: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """How many shingles of each document fall into each bucket; 65535 stands for that many or more."""
-    counts = np.bincount(d * BUCKETS + (x >> np.uint64(56)).astype(np.int64), minlength=n * BUCKETS)
-    return np.minimum(counts, 65535).astype(np.uint16).reshape(n, BUCKETS)
+    """A row of bits for each document: whether the number of its shingles in each bucket of the hash space is odd.
 
-
-def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Rows whose sets can link: no intersection is larger than the sum of the buckets' smaller counts."""
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    most, total = np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
-    return (100 * most >= percent * (total - most)) | (a == 65535).any(axis=1) | (b == 65535).any(axis=1)
+    A bit that differs between two documents needs a shingle that one of them alone holds.
+    """
+    bucket = (x >> np.uint64(64 - (SKETCH_WORDS * 64 - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(d * SKETCH_WORDS * 64 + bucket, minlength=n * SKETCH_WORDS * 64).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, SKETCH_WORDS)
 
 
 class _Posting:
     """Scans of the texts; one per step, so that no set is written for documents that have no candidate."""
 
-    def __init__(self, k: int, percent: int, frequent: np.ndarray):
-        order = np.argsort(frequent)
-        self.k, self.percent, self.frequent, self.sorted_frequent = k, percent, frequent, (frequent[order], order)
+    def __init__(self, k: int, percent: int, levels):
+        self.k, self.percent, self.levels = k, percent, levels
 
-    def prefixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, size, set1, set2, grp, sketch) for documents (h null) and (h, grp, size, pos) for distinct groups of a batch."""
+    def _pieces(self, batches: Iterator[pa.RecordBatch], column: int):
         for batch in batches:
-            for part in slices(batch, 1):
-                w = Words(part.column(1), lower=True)
+            for part in slices(batch, column, PIECE):
+                w = Words(part.column(column), lower=True)
                 d, x = shingle_sets(w, self.k)
-                n = len(w)
-                sizes = np.bincount(d, minlength=n)
-                set1, set2 = _digest(d, x, n, 0x5151), _digest(d, x, n, 0xA7A7)
-                pd_, px, pos = _ordered_prefixes(d, x, sizes, self.frequent, self.sorted_frequent, self.percent)
-                grp = _digest(pd_, px, n, 0x3C3C) ^ mix(sizes.astype(np.uint64))
-                _, lead = np.unique(grp, return_index=True)
-                leads = np.zeros(n, dtype=bool)
-                leads[lead] = True
-                keep = leads[pd_]
-                pd_, px, pos = pd_[keep], px[keep], pos[keep]
-                m = len(px)
-                ids = pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)])
-                cat = lambda a, b: pa.concat_arrays([a, b])
-                sketch = pa.array([row.tobytes() for row in sketches(d, x, n)], pa.binary())
-                signed = lambda a: pa.array(a.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids, pa.array(np.concatenate([sizes, sizes[pd_]]).astype(np.int32)),
-                        cat(signed(set1), pa.nulls(m, pa.int64())), cat(signed(set2), pa.nulls(m, pa.int64())),
-                        signed(np.concatenate([grp, grp[pd_]])),
-                        cat(pa.nulls(n, pa.int64()), signed(px)), cat(pa.nulls(n, pa.int32()), pa.array(pos.astype(np.int32))),
-                        pa.array(np.concatenate([np.zeros(n, bool), np.ones(m, bool)])), cat(sketch, pa.nulls(m, pa.binary())),
-                    ],
-                    ["doc_id", "size", "set1", "set2", "grp", "h", "pos", "posted", "sketch"],
-                )
+                yield part, len(w), d, x, np.bincount(d, minlength=len(w))
+
+    def _prefixes(self, d: np.ndarray, x: np.ndarray, sizes: np.ndarray):
+        """(document, shingle, level, position, group of the documents) of the prefixes."""
+        level = level_of(x, self.levels.value)
+        order = np.argsort(d * 4 + level, kind="stable")  # by shingle within a level already
+        d, x, level = d[order], x[order], level[order]
+        position = np.arange(len(d)) - np.concatenate([[0], np.cumsum(sizes)])[d]
+        keep = position < prefix_length(sizes, self.percent)[d]
+        d, x, level, position = d[keep], x[keep], level[keep], position[keep]
+        return d, x, level, position, _digest(d, x, len(sizes), 0x3C3C) ^ mix(sizes.astype(np.uint64))
+
+    def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, size, set1, set2, grp, s0 ..)."""
+        for part, n, d, x, sizes in self._pieces(batches, 1):
+            grp = self._prefixes(d, x, sizes)[-1]
+            sketch = sketches(d, x, n)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(sizes.astype(np.int32)), _signed(_digest(d, x, n, 0x5151)), _signed(_digest(d, x, n, 0xA7A7)), _signed(grp), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)]],
+                ["doc_id", "size", "set1", "set2", "grp", *SKETCH],
+            )
+
+    def postings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (h, grp, pos, often) for the distinct groups of a piece."""
+        for _, n, d, x, sizes in self._pieces(batches, 0):
+            pd_, px, level, pos, grp = self._prefixes(d, x, sizes)
+            leads = np.zeros(n, dtype=bool)
+            leads[np.unique(grp, return_index=True)[1]] = True
+            keep = leads[pd_]
+            pd_, px, level, pos = pd_[keep], px[keep], level[keep], pos[keep]
+            yield pa.RecordBatch.from_arrays([_signed(px), _signed(grp[pd_]), pa.array(pos.astype(np.int32)), pa.array(level > 0)], ["h", "grp", "pos", "often"])
 
     def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                w = Words(part.column(1), lower=True)
-                d, x = shingle_sets(w, self.k)
-                first = np.searchsorted(d, np.arange(len(w) + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], ["node", "items"])
+        """Rows (doc_id, set1, items) for every document."""
+        for part, n, d, x, sizes in self._pieces(batches, 1):
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), _signed(_digest(d, x, n, 0x5151)), pa.ListArray.from_arrays(pa.array(cuts), _signed(x))], ["doc_id", "set1", "items"])
+
+
+# ---------------------------------------------------------------- candidates
 
 
-def _beside(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """(a, b, x, y): ``pairs`` with a column of ``values`` (node, column) for both ends; values of no pair cross no exchange."""
-    ends = lambda end: key_filter(pairs.select(F.col(end).alias("node")), "node")
-    for end, name in (("a", "x"), ("b", "y")):
-        some = marked(values, "some", ends(end), "node").where("some")
-        pairs = pairs.join(some.select(F.col("node").alias(end), F.col(column).alias(name)), end)
-    return pairs.select("a", "b", "x", "y")
+def _needed(a, b, percent: int):
+    """Least intersection of linked sets of sizes a and b."""
+    return F.ceil((a + b) * percent / (100.0 + percent) - 1e-9)
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, documents: DataFrame, source: DataFrame, posting: _Posting) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of all candidate pairs that were tested, and of those that link.
+def _fits(size, pos, other_size, other_pos, percent: int):
+    """Whether two sets can link: by their sizes, and by what is left of both from a shingle that they share.
 
-    Sketches rule out most pairs; whole sets are made, by another scan of the texts, only
-    for what is left.
+    At its first shared shingle, which both prefixes hold, a linking pair passes.
     """
-    percent = posting.percent
-    pairs = scratch.keep(pairs, "pairs")
+    return (F.least(size, other_size) * 100 >= F.greatest(size, other_size) * percent) & (F.least(size - pos, other_size - other_pos) >= _needed(size, other_size, percent))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)  # noqa: B023, E731
-            keep = pa.array(may_link(read(2), read(3), percent)) if batch.num_rows else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    left = _beside(pairs, documents.select(F.col("doc_id").alias("node"), "sketch"), "sketch").mapInArrow(bound, "a bigint, b bigint").distinct()
-    left = scratch.keep(left, "candidates")
+def _may_link(size, other_size, sketch, other_sketch, percent: int):
+    """Whether the bits that differ, each a shingle of one set alone, leave enough for a link."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(sketch, other_sketch)), F.lit(0))
+    return size + other_size - differ >= 2 * _needed(size, other_size, percent)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                shared = int((v[np.minimum(at, len(v) - 1)] == u).sum()) if len(v) else 0
-                linked.append(bool(len(u)) and 100 * shared >= percent * (len(u) + len(v) - shared))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node")))
-    texts = marked(source, "some", key_filter(ends, "node"), "doc_id").where("some").select("doc_id", "text")
-    sets = texts.mapInArrow(posting.sets, "node bigint, items binary")
-    linked = _beside(left, sets, "items").mapInArrow(check, "a bigint, b bigint")
-    return pairs.select("a", "b"), scratch.keep(linked, "linked")
+
+def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, source: DataFrame, posting: _Posting) -> DataFrame:
+    """(a, b) of the pairs whose whole sets link; sets are made, by another scan of the texts, only for what is asked."""
+    percent = posting.percent
+    ends = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc", "set1"), "node"), "ends")
+    bits = filter_bits(ends.count())
+    asked = marked(source, "asked", key_filter(ends.select(F.col("doc").alias("doc_id")), "doc_id", bits=bits), "doc_id", bits=bits).where("asked")
+    sets = asked.select("doc_id", "text").mapInArrow(posting.sets, "doc bigint, set1 bigint, items array<bigint>")
+    # rows that repeat id and text give a set once; the exchange is that of the join
+    keyed = sets.select(F.coalesce("doc", F.lit(0)).alias("doc"), "set1", "items").groupBy("doc", "set1").agg(F.first("items").alias("items"))
+    keys = ends.select("node", F.coalesce("doc", F.lit(0)).alias("doc"), "set1")
+    held = scratch.keep(keys.join(keyed, ["doc", "set1"]).select("node", "items"), "sets")
+    both = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    linked = scratch.keep(both.where(shared * 100 >= (total - shared) * percent).select("a", "b"), "linked")
+    scratch.drop(ends, held)
+    return linked
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, hub_rounds: int = 2, frequent: int = 65_536
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, hub_rounds: int = 2, frequent: int = 16
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Words are lower-cased in A-Z.  A document of fewer than ``k`` words has its whole
     sequence as one shingle; one without words, or null, has none and links
     with nothing.  Sets link when 100 * intersection >= percent * union.
+    Shingles of ``frequent`` documents or more are put last in the order.
 
-    Defined results: rows that repeat an id with different texts are one node in the
-    result's ids only: each row is compared, and their components are those of
-    their own set; a null id gets the component of its set (null if all its members' ids
-    are null); no rows give no rows; other columns are ignored.  Sets are
-    compared as 64-bit hashes.
+    Defined results: each row is a document of its own, also one that repeats an id or
+    has none; a component's id is the smallest id of its rows, null if none has one,
+    and that of a row without words is its own; no rows give no rows; other columns are
+    ignored.  Shingles are compared as 64-bit hashes, whole sets as 128-bit ones.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    posting = _Posting(k, percent, frequent_shingles(source, k, frequent))
+    posting = _Posting(k, percent, spark.sparkContext.broadcast(frequent_levels(scratch, source, k, frequent)))
 
-    scanned = source.mapInArrow(posting.prefixes, "doc_id bigint, size int, set1 bigint, set2 bigint, grp bigint, h bigint, pos int, posted boolean, sketch binary")
-    # one scan feeds both tables: documents are few bytes each and go along with the postings' exchange key
-    rows = scratch.keep(scanned.where("not posted").select("doc_id", "size", "set1", "set2", "grp", "sketch"), "documents")
-    nodes = rows.where("size > 0").groupBy("size", "set1", "set2", "grp").agg(F.min("doc_id").alias("node"), F.count("*").alias("mult")).where("node is not null")
-    nodes = scratch.keep(nodes, "nodes")
+    rows = scratch.keep(source.mapInArrow(posting.documents, "doc_id bigint, size int, set1 bigint, set2 bigint, grp bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)), "documents")
+    nodes = rows.where("size > 0").groupBy("size", "set1", "set2", "grp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("mult"), *[F.min(s).alias(s) for s in SKETCH])
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    posted = scanned.where("posted").select("h", "grp", (F.col("size").cast("bigint") * (1 << 31) + F.col("pos")).alias("at"))
-    by_shingle = Window.partitionBy("h")
-    shared = posted.select("h", "grp", "at", F.min("grp").over(by_shingle).alias("low"), F.max("grp").over(by_shingle).alias("high")).where("low < high").select("h", "grp", "at").distinct()
-    shared = scratch.keep(shared, "postings")
+    posted = source.select("text").mapInArrow(posting.postings, "h bigint, grp bigint, pos int, often boolean")
+    # a shingle that is not frequent stands in few postings; one that is frequent is taken as shared
+    by_shingle = Window.partitionBy("h", "salt")
+    posted = posted.withColumn("salt", F.when(F.col("often"), F.pmod("grp", F.lit(997))))
+    shared = posted.select("h", "grp", "pos", "often", F.min("grp").over(by_shingle).alias("low"), F.max("grp").over(by_shingle).alias("high")).where("often or low < high")
+    shared = scratch.keep(shared.select("h", "grp", "pos"), "postings")
 
     # groups to nodes; a group of several nodes is a posting of its own
     members = nodes.select("grp", "node", "mult", "size")
-    expanded = shared.join(members, "grp").select("h", "node", "mult", "size", (F.col("at") % (1 << 31)).cast("int").alias("pos"))
+    expanded = shared.distinct().join(members, "grp").select("h", "node", "mult", "size", "pos")
     crowd = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
     inner = members.join(crowd, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("h"), "node", "mult", "size", F.lit(0).alias("pos"))
     posts = scratch.keep(expanded.unionByName(inner), "posts")
+    scratch.drop(shared)
 
-    need = F.ceil((F.col("size") + F.col("hub_size")) * percent / (100.0 + percent) - 1e-9)
-    fits = (F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent) & (F.least(F.col("size") - F.col("pos"), F.col("hub_size") - F.col("hub_pos")) >= need)
-    comp = None
-    edges = None
-    tested = None
+    ends = {e: nodes.select(F.col("node").alias(e), F.col("size").alias(f"size_{e}"), *[F.col(s).alias(f"{s}_{e}") for s in SKETCH]) for e in "ab"}
+    sketch = {e: [F.col(f"{s}_{e}") for s in SKETCH] for e in "ab"}
+    may_link = _may_link(F.col("size_a"), F.col("size_b"), sketch["a"], sketch["b"], percent)
     open_posts = posts.withColumn("component", F.col("node"))
+    comp = edges = tested = None
+
+    def settle(pairs: DataFrame) -> None:
+        """Verify the pairs, add their links and merge components."""
+        nonlocal comp, edges, tested
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = _verified(scratch, pairs, nodes, source, posting)
+        edges = found if edges is None else edges.unionByName(found)
+        comp = scratch.keep(components(scratch, edges), "components")
+
     for turn in range(hub_rounds):
         # the hub: the node with most copies at first, then one drawn anew for each posting and round
-        rank = F.struct(F.col("mult") * -1, "node", "size", "component", "pos") if turn == 0 else F.struct(F.xxhash64("h", "node", F.lit(turn)), "node", "size", "component", "pos")
-        hubs = scratch.keep(open_posts.groupBy("h").agg(F.min(rank).alias("hub")).select("h", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.component").alias("hub_component"), F.col("hub.pos").alias("hub_pos")), "hubs")
-        pairs = open_posts.join(hubs, "h").where("component <> hub_component").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        place = ["node", "size", "component", "pos"]
+        rank = F.struct(-F.col("mult"), *place) if turn == 0 else F.struct(F.xxhash64("h", "node", F.lit(turn)), *place)
+        hubs = open_posts.groupBy("h").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).where("n > 1")
+        hubs = scratch.keep(hubs.select("h", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in place]), "hubs")
+        fits = _fits(F.col("size"), F.col("pos"), F.col("hub_size"), F.col("hub_pos"), percent)
+        pairs = open_posts.join(hubs, "h").where("component <> hub_component").where(fits).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+        pairs = pairs.join(ends["a"], "a").join(ends["b"], "b").where(may_link).select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked, found = _verified(scratch, pairs, rows, source, posting)
-        tested = checked if tested is None else tested.unionByName(checked)
-        edges = scratch.keep(found if edges is None else edges.unionByName(found), "links")
-        comp = scratch.keep(components(scratch, edges), "components")
+        settle(scratch.keep(pairs, "pairs"))
+        scratch.drop(hubs)
         labelled = posts.join(comp, "node", "left").select("h", "node", "mult", "size", "pos", F.coalesce("component", "node").alias("component"))
         labelled = scratch.keep(labelled, "labelled")
-        mixed = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+        # the pair of a posting of two has been seen
+        mixed = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("h")
         open_posts = scratch.keep(labelled.join(mixed, "h", "left_semi"), "open")
+        scratch.drop(labelled)
         if open_posts.isEmpty():
             break
     else:
-        # the rest: pairs between components that share a prefix shingle and pass the size and position filters
-        x = open_posts.select("h", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), F.col("component").alias("comp_a"))
-        y = open_posts.select("h", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("component").alias("comp_b"))
-        need = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100.0 + percent) - 1e-9)
-        most = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-        rest = x.join(y, (x["h"] == y["h"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-        # at its first shared shingle, which both prefixes hold, a linking pair passes the position filter
-        rest = rest.where(most >= need).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        _, found = _verified(scratch, rest, rows, source, posting)
-        edges = scratch.keep(edges.unionByName(found), "links")
-        comp = scratch.keep(components(scratch, edges), "components")
-
-    labels = nodes.join(comp, "node", "left").select("size", "set1", "set2", F.coalesce("component", "node").alias("component"))
+        sided = open_posts.join(nodes.select("node", *SKETCH), "node")
+        side = {e: sided.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "size", "pos", "component", *SKETCH)]) for e in "ab"}
+        fits = _fits(F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"), percent)
+        rest = side["a"].join(side["b"], "h").where("node_a < node_b and component_a <> component_b").where(fits).where(may_link)
+        rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        settle(scratch.keep(rest, "rest"))
+    scratch.drop(posts, open_posts)
+
+    # the id of a component is the smallest of its documents
+    labels = nodes.join(comp, "node", "left").select("size", "set1", "set2", "doc", F.coalesce("component", "node").alias("component"))
+    labels = labels.join(labels.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("size", "set1", "set2", "component_id")
     labels = scratch.keep(labels, "labels")
-    linked = rows.where("size > 0").join(labels, ["size", "set1", "set2"], "left").select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    linked = rows.where("size > 0").join(labels, ["size", "set1", "set2"]).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), "component_id")
     alone = rows.where("size = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
@@ -292,14 +350,11 @@ def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], k: int = 5, percent: int = 75) -> dict[int, tuple[int, int]]:
-    """The definition, for tests: id to (n_shingles, component)."""
+def brute_force(rows: list[tuple[int | None, str | None]], k: int = 5, percent: int = 75) -> list[tuple[int | None, int, int | None]]:
+    """The definition, for tests: (id, n_shingles, component) of every row."""
     lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-    sets = {}
-    for doc_id, text in rows:
-        words = (text or "").encode().translate(lower).split()
-        sets[doc_id] = {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
-    root = {d: d for d in sets}
+    sets, by = [], {}
+    root = list(range(len(rows)))
 
     def find(d):
         while root[d] != d:
@@ -307,14 +362,17 @@ def brute_force(rows: list[tuple[int, str | None]], k: int = 5, percent: int = 7
             d = root[d]
         return d
 
-    ids, by = sorted(sets), {}
-    for d in ids:
-        near = {e for s in sets[d] for e in by.get(s, ())}
-        for e in near:
+    for d, (_, text) in enumerate(rows):
+        words = (text or "").encode().translate(lower).split()
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+        for e in {e for s in sets[d] for e in by.get(s, ())}:
             i = len(sets[d] & sets[e])
             if 100 * i >= percent * (len(sets[d]) + len(sets[e]) - i):
-                a, b = sorted((find(d), find(e)))
-                root[b] = a
+                root[find(d)] = find(e)
         for s in sets[d]:
             by.setdefault(s, []).append(d)
-    return {d: (len(sets[d]), find(d)) for d in ids}
+    least = {}
+    for d, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(d)] = min(least.get(find(d), doc_id), doc_id)
+    return [(doc_id, len(sets[d]), least.get(find(d))) for d, (doc_id, _) in enumerate(rows)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices
-from .wordhash import _BASE, _BYTE, _LOWER, _inverse, _odd_powers, Words, mix
+from .wordhash import _BYTE, _LOWER, Words, byte_ranges
 
 # ---------------------------------------------------------------- fixed patterns
 
@@ -58,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, free))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -237,11 +237,7 @@ class Features:
         for _ in range(3):
             start += (start < end) & _PUNCT[w.raw[np.minimum(start, len(w.raw) - 1)]] if len(w.raw) else 0
             end -= (start < end) & _PUNCT[w.raw[end - 1]] if len(w.raw) else 0
-        n = len(w.raw)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[_LOWER[w.raw]] * _odd_powers(_BASE, n), out=total[1:])
-        back = _odd_powers(_inverse(_BASE), n + 1)
-        return mix((total[end] - total[start]) * back[start]), start, end
+        return byte_ranges(_BYTE[_LOWER[w.raw]], start, end), start, end
 
     def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shape * n_words + identity, core start, core end) of each word."""

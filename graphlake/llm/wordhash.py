@@ -2,8 +2,10 @@
 
 A batch of texts is one byte array; every step below is a numpy pass over that
 array, so no Python code runs per word.  Words are maximal runs of bytes other
-than ``[\\x20\\x09-\\x0D]``.  Hashes are 64 bits; sums are polynomial in odd
-bases modulo 2**64 over randomised byte values, finished by a mixing step.
+than ``[\\x20\\x09-\\x0D]``.  A hash is a sum modulo 2**64 of randomised values, each
+times a random odd coefficient of its place (multilinear hashing), finished by a
+mixing step; no structure of a word, such as a pattern that cancels the powers of
+a base, makes two of them equal.
 """
 
 from __future__ import annotations
@@ -14,25 +16,6 @@ import pyarrow as pa
 _U = np.uint64
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _odd_powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling; kept for the next batch."""
-    known = _POWERS.get(base)
-    if known is not None and len(known) >= n:
-        return known[:n]
-    size = 1 << max(n, 1 << 16).bit_length()
-    out = np.ones(size, dtype=_U)
-    have = 1
-    while have < size:
-        out[have : 2 * have] = out[:have] * _U(pow(base, have, 1 << 64))
-        have *= 2
-    if size <= 1 << 23:
-        _POWERS[base] = out
-    return out[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))
@@ -43,13 +26,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BASE, _WORD_BASE, _SEQ_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+
+
+def coefficients(n: int, salt: int) -> np.ndarray:
+    """Odd coefficients of places 0 .. n-1; those of other salts are others."""
+    return mix(np.arange(1, n + 1, dtype=_U) * _U(0xD1B54A32D192ED03) + _U(salt)) | _U(1)
+
+
+def byte_ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the byte ranges start[i]:end[i], which do not overlap and are in order; ``values`` are those of the bytes."""
+    size = end - start
+    ends = np.cumsum(size)
+    if not len(size) or not ends[-1]:
+        return mix(np.zeros(len(size), dtype=_U))
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    total = np.zeros(ends[-1] + 1, dtype=_U)
+    np.cumsum(values[place + np.repeat(start, size)] * coefficients(int(size.max()), 1)[place], out=total[1:])
+    return mix(total[ends] - total[ends - size] + size.astype(_U))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +81,7 @@ class Words:
         self.start = np.sort(np.concatenate([at[0::2], split]))
         self.end = np.sort(np.concatenate([at[1::2], split]))
         self.first = np.searchsorted(self.start, offsets)
-        power = _odd_powers(_BASE, n)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_BYTE[raw] * power, out=total[1:])
-        back = _odd_powers(_inverse(_BASE), n)
-        sums = total[self.end] - total[self.start]
-        self.hash = mix(sums * back[self.start] if n else sums) if len(self.start) else np.zeros(0, dtype=_U)
+        self.hash = byte_ranges(_BYTE[raw], self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -97,25 +89,22 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def windows(self, k: int) -> np.ndarray:
+    def windows(self, k: int, salt: int = 2) -> np.ndarray:
         """Hash of words i .. i+k-1 for every i with k words left in the batch (not in the document)."""
-        n = len(self.hash)
-        if n < k:
-            return np.zeros(0, dtype=_U)
-        power = _odd_powers(_WORD_BASE, n)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(self.hash * power, out=total[1:])
-        back = _odd_powers(_inverse(_WORD_BASE), n)
-        return mix((total[k:] - total[:-k]) * back[: n - k + 1] + _U(k))
+        n = len(self.hash) - k + 1
+        total = np.full(max(n, 0), k, dtype=_U)
+        for j, c in enumerate(coefficients(k, salt)):
+            total += self.hash[j : j + n] * c if n > 0 else total
+        return mix(total)
 
     def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the word ranges begin[i]:end[i]; depends on the words and their order alone."""
-        n = len(self.hash)
-        power = _odd_powers(_SEQ_BASE, n)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(self.hash * power, out=total[1:])
-        back = _odd_powers(_inverse(_SEQ_BASE), n + 1)
-        return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(_U))
+        """Hash of the short word ranges begin[i]:end[i]; depends on the words and their order alone."""
+        size = end - begin
+        total = size.astype(_U)
+        for j, c in enumerate(coefficients(int(size.max(initial=0)), 3)):
+            on = np.flatnonzero(size > j)
+            total[on] += self.hash[begin[on] + j] * c
+        return mix(total)
 
     def owner(self) -> np.ndarray:
         """The document of each word."""
