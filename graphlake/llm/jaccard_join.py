@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, filter_bits, key_filter, marked, slices
@@ -188,13 +188,13 @@ class _Posting:
         return d, x, level, position, _digest(d, x, len(sizes), 0x3C3C) ^ mix(sizes.astype(np.uint64))
 
     def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, size, set1, set2, grp, s0 ..)."""
+        """Rows (doc_id, size, set1, set2, grp, s0 .., and the columns after the text)."""
         for part, n, d, x, sizes in self._pieces(batches, 1):
             grp = self._prefixes(d, x, sizes)[-1]
             sketch = sketches(d, x, n)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes.astype(np.int32)), _signed(_digest(d, x, n, 0x5151)), _signed(_digest(d, x, n, 0xA7A7)), _signed(grp), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)]],
-                ["doc_id", "size", "set1", "set2", "grp", *SKETCH],
+                [part.column(0), pa.array(sizes.astype(np.int32)), _signed(_digest(d, x, n, 0x5151)), _signed(_digest(d, x, n, 0xA7A7)), _signed(grp), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)], *part.columns[2:]],
+                ["doc_id", "size", "set1", "set2", "grp", *SKETCH, *part.schema.names[2:]],
             )
 
     def postings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +255,20 @@ def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, source: Data
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, hub_rounds: int = 2, frequent: int = 16
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 5,
+    percent: int = 75,
+    hub_rounds: int = 2,
+    frequent: int = 16,
+    carry: dict[str, Column] | None = None,
+    label: str | None = None,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, *carry, label) for every row of ``docs``.
+
+    ``carry`` adds expressions over ``docs``; ``label`` names a column that is the same in all
+    rows of a component, whatever their ids, and null for a row without words.
 
     Words are lower-cased in A-Z.  A document of fewer than ``k`` words has its whole
     sequence as one shingle; one without words, or null, has none and links
@@ -271,10 +282,11 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"), *[c.alias(f"k{i}") for i, c in enumerate((carry or {}).values())])
+    kept = source.columns[2:]
     posting = _Posting(k, percent, spark.sparkContext.broadcast(frequent_levels(scratch, source, k, frequent)))
 
-    rows = scratch.keep(source.mapInArrow(posting.documents, "doc_id bigint, size int, set1 bigint, set2 bigint, grp bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)), "documents")
+    rows = scratch.keep(source.mapInArrow(posting.documents, "doc_id bigint, size int, set1 bigint, set2 bigint, grp bigint, " + ", ".join([*(f"{s} bigint" for s in SKETCH), *(f"{c} {source.schema[c].dataType.simpleString()}" for c in kept)])), "documents")
     nodes = rows.where("size > 0").groupBy("size", "set1", "set2", "grp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("mult"), *[F.min(s).alias(s) for s in SKETCH])
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -339,11 +351,12 @@ def jaccard_components(
 
     # the id of a component is the smallest of its documents
     labels = nodes.join(comp, "node", "left").select("size", "set1", "set2", "doc", F.coalesce("component", "node").alias("component"))
-    labels = labels.join(labels.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("size", "set1", "set2", "component_id")
+    labels = labels.join(labels.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("size", "set1", "set2", "component_id", "component")
     labels = scratch.keep(labels, "labels")
-    linked = rows.where("size > 0").join(labels, ["size", "set1", "set2"]).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), "component_id")
-    alone = rows.where("size = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    more = [F.col(c).alias(name) for c, name in zip(kept, carry or {})] + [F.col("component").alias(label)] * (label is not None)
+    linked = rows.where("size > 0").join(labels, ["size", "set1", "set2"]).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), "component_id", *more)
+    alone = rows.where("size = 0").withColumn("component", F.lit(None).cast("bigint"))
+    return linked.unionByName(alone.select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -230,14 +230,17 @@ class CrossParser:
         return names, scores
 
 
-def training_texts(labelled: DataFrame, per_language: int = 200, max_chars: int = 30_000) -> dict[str, list[str]]:
-    """A bounded sample for each language: the ``per_language`` rows whose id hashes lowest, ``max_chars`` of each text.
+def training_texts(labelled: DataFrame, per_language: int = 200, max_chars: int = 30_000, max_languages: int = 256) -> dict[str, list[str]]:
+    """A bounded sample for each language: the ``per_language`` rows whose id hashes lowest, an eighth of ``max_chars`` of each text.
 
-    The sample is bounded by its parameters and by the number of languages; the
+    The sample is bounded by its parameters; more than ``max_languages`` labels raise.  The
     rank filter is applied before rows are exchanged.
     """
+    labels = labelled.where("lang is not null").select("lang").distinct().limit(max_languages + 1).count()
+    if labels > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    cut = F.substring("text", 1, max_chars // 8)
+    cut = F.substring("text", 1, max_chars // 8)  # so that a language is learned from eight texts at least
     rows = labelled.where("lang is not null and length(text) > 0").select("doc_id", "lang", cut.alias("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     out: dict[str, list[str]] = {}
     for row in rows.orderBy("lang", "n").select("lang", "text").collect():
@@ -265,12 +268,15 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             for part in slices(batch, 1):
                 names, scores = model.predict(part.column(1).to_pylist())
-                rest = [part.column(2 + i) for i in range(len(keep))]
+                rest = [part.column(at) for at in places]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *rest], ["doc_id", "lang_pred", "score", *[f"k{i}" for i in range(len(keep))]])
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
+    # id and text go to the workers once, also if they are among the columns kept
+    others = [c for c in keep if c not in (id_col, text_col)]
+    places = [0 if c == id_col else 1 if c == text_col else 2 + others.index(c) for c in keep]
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    out = source.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double" + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep))))
+    out = source.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double" + "".join(f", k{i} {source.schema[at].dataType.simpleString()}" for i, at in enumerate(places)))
     return out.select("doc_id", "lang_pred", "score", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 
-from . import bpe, exact_dedup, jaccard_join, langid, mixing, near_vectors, pii, secrets, substring_dedup, warc
+
+from . import bpe, exact_dedup, jaccard_join, langid, mixing, near_vectors, pii, pipeline, secrets, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_pii": pii.op2_pii,
         "op3_secrets": secrets.op3_secrets,
