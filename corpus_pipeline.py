@@ -1,86 +1,5 @@
-"""From raw documents to token ids, in five stages, each an operator of ``graphlake.llm``.
+"""The pipeline of ``graphlake.llm.pipeline``: language, exact copies, near copies, mixture, tokens."""
 
-A stage gets the rows that its predecessor kept, written as Parquet and read
-again.  The first three return the columns of ``documents``; the mixture adds
-each row's slot and place in it, which the last stage passes on.
-"""
+from graphlake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from graphlake.llm import bpe, exact_dedup, jaccard_join, langid, mixing
-from graphlake.llm.common import Scratch, key_filter, marked
-
-#: No SQL: language prediction, similarity components and byte-pair encoding are beyond it.
-ORACLE_SQL = None
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the ids of a written table; texts of other documents cross no exchange."""
-    split = marked(docs, "_some", key_filter(ids, "doc_id"), "doc_id")
-    columns = docs.columns
-    return split.where("not _some").select(*columns).unionByName(split.where("_some").select(*columns).join(ids, "doc_id", "left_anti").select(*columns))
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, that is null or without a letter, go; a missing label is filled in."""
-    judged = langid.identify(docs, docs.where(~langid.held_out(docs["doc_id"])), keep=docs.columns)
-    kept = judged.where(F.col("lang_pred") != langid.UNDETERMINED).toDF("_id", "_pred", "_score", *docs.columns)
-    return kept.withColumn("lang", F.coalesce("lang", "_pred")).select(*docs.columns)
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each distinct text stays, whatever its id; rows whose texts differ all stay.
-
-    Verdicts are kept by id and hash of the text, null ids among them.  Rows that
-    repeat both are told apart by no verdict: the smallest is taken by a map-side minimum.
-    """
-    scratch = Scratch(spark, "pipeline-exact")
-    columns = docs.columns
-    norm = exact_dedup.normalised(docs["text"])
-    verdicts = exact_dedup.exact_dedup(docs, carry={"text_hash": F.xxhash64(norm), "text_sha": F.sha2(norm, 256)}).where("group_size > 1")
-    verdicts = verdicts.groupBy("doc_id", "text_hash", "text_sha").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    verdicts = scratch.keep(verdicts.where("not kept or n > 1"), "verdicts")
-    split = marked(docs.withColumn("_h", F.xxhash64(norm)), "_some", key_filter(verdicts.select("doc_id", F.col("text_hash").alias("_h")), "doc_id", "_h"), "doc_id", "_h")
-    some = split.where("_some").select(*columns, F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("_full"))
-    key = verdicts.select(F.col("doc_id").alias("_id"), F.col("text_sha").alias("_of"), "kept")
-    same = some["doc_id"].eqNullSafe(key["_id"]) & (some["_full"] == key["_of"])
-    single = some.join(key, same, "left_anti").select(*columns)
-    least = F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("_row")
-    repeated = some.join(key.where("kept"), same, "left_semi").groupBy("doc_id", "_full").agg(least).select(*[F.col(f"_row.{c}").alias(c) for c in columns])
-    return split.where("not _some").select(*columns).unionByName(single).unionByName(repeated)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest id."""
-    scratch = Scratch(spark, "pipeline-near")
-    groups = jaccard_join.jaccard_components(docs)
-    return without(docs, scratch.keep(groups.where("component_id <> doc_id").select("doc_id"), "dropped"))
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with slot and place, the order of the mixture; slots in ranges of files."""
-    mixed = mixing.mix(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "slot").sortWithinPartitions("slot", "place").select("row.*", "slot", "place")
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Slot and place in the mixture and token ids of every document, and digests of the ids and of the text decoded from them."""
-    path, pattern = bpe._vocabulary()
-    encoded = bpe.encode(docs, path, pattern, decoded=True, keep=["slot", "place"])
-    return encoded.select("doc_id", "slot", "place", "ids", *bpe.digest_columns())
-
-
-STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("tokens", tokens)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = scratch.keep(out, name) if n + 1 < len(STAGES) else out
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
