@@ -66,11 +66,23 @@ def gateway_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def inside_path(path: Column, strip: Column, prefix: Column) -> Column:
-    """The path behind a gateway: leading segments cut, then a prefix put on."""
-    kept = F.when(strip > 0, F.concat(F.lit("/"), F.array_join(F.slice(F.split(F.trim(path, F.lit("/")), "/"), strip + 1, 1000), "/"))).otherwise(path)
+def pattern_regex(pattern: Column) -> Column:
+    """``gateway_regex`` for a column of patterns: wildcards become marks first, what is left is quoted, marks become expressions."""
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"\*\*", "\x01"), r"\*", "\x02"), r"\{[^/}]+\}", "\x02")
+    quoted = F.regexp_replace(marked, r"([^A-Za-z0-9_/\x01\x02])", r"\\$1")
+    open_end = F.when(quoted.endswith("/\x01"), F.concat(quoted.substr(F.lit(1), F.length(quoted) - 2), F.lit("(?:/.*)?"))).otherwise(quoted)
+    return F.concat(F.lit("^"), F.replace(F.replace(open_end, F.lit("\x01"), F.lit(".*")), F.lit("\x02"), F.lit("[^/]+")), F.lit("$"))
+
+
+def inside_path(path: Column, strip: Column, prefix: Column, rewrite: Column | None = None) -> Column:
+    """The path behind a gateway: leading segments cut, then rewritten (``regex, replacement``), then a prefix put on."""
+    kept = F.when(strip > 0, F.concat(F.lit("/"), F.array_join(F.filter(F.split(F.trim(path, F.lit("/")), "/"), lambda _, i: i >= strip), "/"))).otherwise(path)
+    if rewrite is not None:
+        rule = F.split(rewrite, ",", 2)
+        kept = F.when(rewrite.isNotNull() & (rewrite != ""), F.regexp_replace(kept, F.trim(rule[0]), F.trim(F.coalesce(F.get(rule, F.lit(1)), F.lit(""))))).otherwise(kept)
     lead = F.concat(F.lit("/"), F.trim(prefix, F.lit("/")))
-    return F.when(prefix.isNull() | (prefix == ""), kept).otherwise(F.concat(lead, F.when(kept == "/", "").otherwise(kept)))
+    out = F.when(prefix.isNull() | (prefix == ""), kept).otherwise(F.concat(lead, F.when(kept == "/", "").otherwise(kept)))
+    return F.when(out == "", "/").otherwise(out)
 
 
 def outside_path(inside: Column, lead: Column, prefix: Column) -> Column:

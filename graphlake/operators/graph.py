@@ -30,26 +30,25 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, reve
     return found
 
 
-def ancestors(parents: DataFrame, max_depth: int = 32) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """(node, ancestor, depth) for a table (node, parent): every node is its own ancestor at depth 0.
 
-    Paths double each round, so a tree of depth d takes log2(d) joins; a cycle
-    ends at ``max_depth``.
+    Paths double each round: those of the full length reached so far are joined with all
+    that are known, so a tree of depth d takes log2(d) joins, whatever its depth, and
+    each pair is made once.  In a cycle each node has the others as ancestors, at
+    the least depth.
     """
     scratch = Scratch(parents.sparkSession, "ancestors")
-    one = parents.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    one = parents.where("parent is not null and node <> parent").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
     everyone = parents.select("node").union(parents.select("parent")).where("node is not null").distinct()
-    closure = scratch.keep(one, "closure")
+    closure = newest = scratch.keep(one, "closure")
     span = 1
-    while span < max_depth:
-        a, b = closure.alias("a"), closure.alias("b")
-        longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        grown = closure.unionByName(longer).where(F.col("depth") <= max_depth).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        grown = scratch.keep(grown, "closure")
-        if grown.count() == closure.count():
-            break
-        closure, span = grown, span * 2
-    return closure.where("node <> ancestor").unionByName(everyone.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    while not newest.isEmpty():
+        upper = closure.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("depth").alias("more"))
+        longer = newest.where(F.col("depth") == span).join(upper, "ancestor").where("node <> top").groupBy("node", F.col("top").alias("ancestor")).agg((F.min("more") + span).alias("depth"))
+        newest = scratch.keep(longer.join(closure, ["node", "ancestor"], "left_anti"), "closure")
+        closure, span = closure.unionByName(newest), span * 2
+    return closure.unionByName(everyone.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
 
 
 def common_ancestor(closure: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -80,15 +79,16 @@ def level_links(links: DataFrame, places: DataFrame) -> DataFrame:
     return lifted.withColumn("internal", F.col("src") == F.col("dst"))
 
 
-def prefix_chain(mounts: DataFrame, starts: DataFrame, max_depth: int = 16) -> DataFrame:
+def prefix_chain(mounts: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, path): a node's path prefixed by those of what it is mounted in, outermost first; a cycle ends where it closes.
 
-    ``mounts`` is (node, parent, prefix), ``starts`` (node, path).
+    ``mounts`` is (node, parent, prefix), ``starts`` (node, path).  One join per
+    level, for as many levels as there are.
     """
     scratch = Scratch(starts.sparkSession, "mounts")
     now = starts.select("node", F.col("node").alias("at"), "path", F.array("node").alias("seen"))
     ended = None
-    for _ in range(max_depth):
+    while True:
         step = now.join(mounts.select(F.col("node").alias("at"), "parent", "prefix"), "at", "left")
         goes = F.col("parent").isNotNull() & ~F.array_contains("seen", F.col("parent"))
         step = scratch.keep(step.withColumn("goes", F.coalesce(goes, F.lit(False))), "chain")
@@ -96,7 +96,4 @@ def prefix_chain(mounts: DataFrame, starts: DataFrame, max_depth: int = 16) -> D
         ended = done if ended is None else ended.unionByName(done)
         now = step.where("goes").select("node", F.col("parent").alias("at"), F.concat("prefix", "path").alias("path"), F.concat("seen", F.array("parent")).alias("seen"))
         if now.isEmpty():
-            break
-    else:
-        ended = ended.unionByName(now.select("node", "path"))
-    return ended
+            return ended

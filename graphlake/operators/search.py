@@ -31,9 +31,8 @@ def tiered(tokens: DataFrame, words: list[str]) -> DataFrame:
     """(id, tier, score): things whose tokens match all words, or else as many as possible; the first tier with hits wins.
 
     The words of each tier are matched in one pass over the index: a thing's set of
-    matched words is aggregated once, and tiers only filter it.
+    matched words is aggregated once, and tiers only filter it.  All words given count.
     """
-    words = words[: text.MAX_WORDS]
     tests = [word_weight(F.col("token"), w).alias(f"w{i}") for i, w in enumerate(words)]
     hits = tokens.select("id", *tests).where(" or ".join(f"w{i} is not null" for i in range(len(words))))
     best = hits.groupBy("id").agg(*[F.max(f"w{i}").alias(f"w{i}") for i in range(len(words))])

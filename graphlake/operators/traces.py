@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def depth_first(calls: DataFrame, roots: DataFrame, max_entries: int = 20_000) -> DataFrame:
+def depth_first(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """(flow, path, depth, symbol, repeat, recursive): every call of a flow in call order.
 
     ``calls`` is (flow, caller, callee, ord), ``roots`` (flow, symbol).  A function is
     expanded once per flow: later visits are marked ``repeat`` if it calls
     anything; a visit below itself is ``recursive``.  The order depends on all that came before,
-    so each flow is walked by itself; flows are many and each is small.  A flow with more than ``max_entries`` entries raises.
+    so each flow is walked by itself; flows are many and each is small: it has no more
+    entries than calls and roots.
     """
     edges = calls.select("flow", F.col("caller").alias("a"), F.col("callee").alias("b"), F.col("ord").cast("bigint").alias("ord"))
     starts = roots.select("flow", F.lit(None).cast("string").alias("a"), F.col("symbol").alias("b"), F.lit(0).cast("bigint").alias("ord"))
@@ -32,8 +33,6 @@ def depth_first(calls: DataFrame, roots: DataFrame, max_entries: int = 20_000) -
         todo = [(s, str(n), ()) for n, s in reversed(list(enumerate(first, 1)))]
         while todo:
             symbol, path, above = todo.pop()
-            if len(out) >= max_entries:
-                raise ValueError("a flow has too many entries")
             recursive = symbol in above
             repeat = not recursive and symbol in expanded and bool(graph.get(symbol))
             out.append((flow, path, path.count(".") + 1, symbol, repeat, recursive))

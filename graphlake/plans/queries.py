@@ -165,12 +165,12 @@ def nearest_ancestor(t):
     return traces.nearest_shown(model.steps(t).select("flow", path.alias("path"), (o % 3 != 2).alias("shown")))
 
 
-@query("longest_prefix", """with i as (select p_partkey, lower(replace(p_type, ' ', '/')) as item from part), pre as (select distinct unnest([split_part(item, '/', 1), split_part(item, '/', 1) || '/' || split_part(item, '/', 2)]) as prefix from i where p_partkey % 3 = 0),
+@query("longest_prefix", """with i as (select p_partkey, lower(replace(p_type, ' ', '/')) as item from part), pre as (select distinct unnest([split_part(item, '/', 1), split_part(item, '/', 1) || '/' || split_part(item, '/', 2)]) as prefix from i),
   m as (select i.item, arg_max(prefix, length(prefix)) as prefix from (select distinct item from i) i join pre on i.item = prefix or starts_with(i.item, prefix || '/') group by i.item) select * from m""")
 def longest_prefix(t):
     items = t.part.select("p_partkey", F.lower(F.replace("p_type", F.lit(" "), F.lit("/"))).alias("item"))
     parts = F.split("item", "/")
-    some = items.where("p_partkey % 3 = 0").select(F.explode(F.array(parts[0], F.array_join(F.slice(parts, 1, 2), "/"))).alias("prefix"))
+    some = items.select(F.explode(F.array(parts[0], F.array_join(F.slice(parts, 1, 2), "/"))).alias("prefix"))
     return joins.longest_prefix(items.select("item").distinct(), some)
 
 
@@ -188,14 +188,14 @@ def file_pairs(t):
     return joins.colocated(model.steps(t).select("flow", "ord", (F.col("ord") - 1).alias("parent"), (F.col("part") % 40).alias("file")))
 
 
-@query("subset_unique", """with w as (select distinct p_brand as brand, case when p_partkey % 2 = 0 then p_size end as size from part where p_partkey % 11 = 0), ref as (select brand || ':' || coalesce(cast(size as varchar), '*') as ref, brand, size from w),
-  f as (select ref, count(distinct p_partkey) as n, min(p_partkey) as one from ref join part on p_brand = brand and (size is null or size = p_size) and p_partkey % 5 = 0 group by ref)
+@query("subset_unique", """with w as (select distinct p_brand as brand, case when p_partkey % 2 = 0 then p_size end as size from part), ref as (select brand || ':' || coalesce(cast(size as varchar), '*') as ref, brand, size from w),
+  f as (select ref, count(distinct p_partkey) as n, min(p_partkey) as one from ref join part on p_brand = brand and (size is null or size = p_size) group by ref)
   select ref.ref, case when n = 1 then one end as id, case when n = 1 then 'found' when n > 1 then 'ambiguous' else 'missing' end as state from ref left join f on ref.ref = f.ref""")
 def subset_unique(t):
     size = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))
-    w = t.part.where("p_partkey % 11 = 0").select(F.col("p_brand").alias("label"), size.alias("size")).distinct()
+    w = t.part.select(F.col("p_brand").alias("label"), size.alias("size")).distinct()
     w = w.select(F.concat_ws(":", "label", F.coalesce(F.col("size").cast("string"), F.lit("*"))).alias("ref"), "label", "size")
-    n = t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.col("p_size").alias("size"))
+    n = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.col("p_size").alias("size"))
     return joins.subset_unique(w, n, ["size"])
 
 
@@ -300,10 +300,10 @@ def unique_items(t):
     return a.join(several, "app", "left_semi").groupBy("app", "part").agg(F.min("flow").alias("flow"), F.count_distinct("flow").alias("n")).where("n = 1").drop("n")
 
 
-@query("stats_diff", "with x as (select event_type as kind, count(*) as n from events where event_id % 2 = 0 group by 1), y as (select event_type as kind, count(*) as n from events where event_id % 3 = 0 group by 1) select coalesce(x.kind, y.kind) as kind, coalesce(x.n, 0) as before, coalesce(y.n, 0) as after from x full join y on x.kind = y.kind where coalesce(x.n, 0) <> coalesce(y.n, 0)")
+@query("stats_diff", "with x as (select event_type as kind, count(*) as n from events where hour(ts) < 12 group by 1), y as (select event_type as kind, count(*) as n from events where hour(ts) >= 8 group by 1) select coalesce(x.kind, y.kind) as kind, coalesce(x.n, 0) as before, coalesce(y.n, 0) as after from x full join y on x.kind = y.kind where coalesce(x.n, 0) <> coalesce(y.n, 0)")
 def stats_diff(t):
-    count = lambda m, name: t.events.where(f"event_id % {m} = 0").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias(name))
-    both = count(2, "before").join(count(3, "after"), "kind", "full_outer").select("kind", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    count = lambda where, name: t.events.where(where).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias(name))
+    both = count("hour(ts) < 12", "before").join(count("hour(ts) >= 8", "after"), "kind", "full_outer").select("kind", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
     return both.where("before <> after")
 
 
@@ -377,32 +377,32 @@ def union_distinct(t):
     return model.uses(t).where("type in ('PRODUCES', 'CONSUMES')").select(F.col("part").alias("channel"), F.col("supplier").alias("app")).distinct()
 
 
-@query("set_diff", "with x as (select user_id, event_type from events where event_id % 97 = 0), y as (select user_id, event_type from events where event_id % 89 = 1) select * from x except select * from y")
+@query("set_diff", "select user_id, event_type from events where value > 95 except select user_id, event_type from events where value <= 95 and hour(ts) < 6")
 def set_diff(t):
     pick = lambda where: t.events.where(where).select("user_id", "event_type")
-    return pick("event_id % 97 = 0").subtract(pick("event_id % 89 = 1"))
+    return pick("value > 95").subtract(pick("value <= 95 and hour(ts) < 6"))
 
 
-@query("trace_changes", """with x as (select user_id as flow, event_type as item, max(event_id % 5) as b from events where event_id % 2 = 0 group by 1, 2), y as (select user_id as flow, event_type as item, max(event_id % 5) as b from events where event_id % 3 = 0 group by 1, 2),
+@query("trace_changes", """with x as (select user_id as flow, event_type as item, max(event_id % 5) as b from events where hour(ts) < 12 group by 1, 2), y as (select user_id as flow, event_type as item, max(event_id % 5) as b from events where hour(ts) >= 8 group by 1, 2),
   z as (select coalesce(x.flow, y.flow) as flow, coalesce(x.item, y.item) as item, x.b as xb, y.b as yb from x full join y on x.flow = y.flow and x.item = y.item)
   select flow, coalesce(array_to_string(list_sort(list(item) filter (xb is null)), ','), '') as added, coalesce(array_to_string(list_sort(list(item) filter (yb is null)), ','), '') as removed, coalesce(array_to_string(list_sort(list(item) filter (xb <> yb)), ','), '') as modified from z group by flow having count(*) filter (xb is null or yb is null or xb <> yb) > 0""")
 def trace_changes(t):
-    pick = lambda m: t.events.where(f"event_id % {m} = 0").select(F.col("user_id").alias("flow"), F.col("event_type").alias("item"), (F.col("event_id") % 5).alias("body"))
-    out = state.trace_changes(pick(2), pick(3))
+    pick = lambda where: t.events.where(where).select(F.col("user_id").alias("flow"), F.col("event_type").alias("item"), (F.col("event_id") % 5).alias("body"))
+    out = state.trace_changes(pick("hour(ts) < 12"), pick("hour(ts) >= 8"))
     return out.select("flow", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "modified")])
 
 
-@query("orphans", f"with {CHANNELS} select p_partkey as id from part where p_partkey not in (select channel from ch where role = 'produces' and flow % 4 = 0) and p_partkey not in (select channel from ch where role = 'consumes' and flow % 4 = 0)")
+@query("orphans", f"with {CHANNELS} select p_partkey as id from part where p_partkey not in (select channel from ch where role = 'produces') and p_partkey not in (select channel from ch where role = 'consumes')")
 def orphans(t):
-    u = model.channel_uses(t).where("flow % 4 = 0")
+    u = model.channel_uses(t)
     edges = u.select(F.when(F.col("role") == "produces", F.col("channel")).alias("src"), F.when(F.col("role") == "consumes", F.col("channel")).alias("dst"))
     return state.orphans(t.part.select(F.col("p_partkey").alias("id")), edges)
 
 
-@query("stale_labels", "with x as (select user_id, list_distinct(list(event_type)) as a from events where event_id % 5 = 0 group by 1), y as (select user_id, list_distinct(list(event_type)) as b from events where event_id % 7 = 0 group by 1) select x.user_id as id, array_to_string(list_sort(list_filter(a, lambda e: not list_contains(b, e))), ',') as stale from x join y on x.user_id = y.user_id")
+@query("stale_labels", "with x as (select user_id, list_distinct(list(event_type)) as a from events where hour(ts) < 12 group by 1), y as (select user_id, list_distinct(list(event_type)) as b from events where hour(ts) >= 12 group by 1) select x.user_id as id, array_to_string(list_sort(list_filter(a, lambda e: not list_contains(b, e))), ',') as stale from x join y on x.user_id = y.user_id")
 def stale_labels(t):
-    pick = lambda m, name: t.events.where(f"event_id % {m} = 0").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias(name))
-    return pick(5, "a").join(pick(7, "b"), "id").select("id", F.array_join(state.stale_labels(F.col("a"), F.col("b")), ",").alias("stale"))
+    pick = lambda where, name: t.events.where(where).groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias(name))
+    return pick("hour(ts) < 12", "a").join(pick("hour(ts) >= 12", "b"), "id").select("id", F.array_join(state.stale_labels(F.col("a"), F.col("b")), ",").alias("stale"))
 
 
 # ------------------------------------------------------------ functions
@@ -518,13 +518,8 @@ def _mounted(t):
     return graph.prefix_chain(own.unionByName(chain), starts)
 
 
-@query("mounted_paths", "select p_partkey as node, case p_partkey % 4 when 0 then '/m0/m1/m2/m3' when 1 then '/m1/m2/m3' when 2 then '/m2/m3' else '/m3' end || '/p' || p_partkey as path from part where p_partkey % 10 = 0 or p_partkey % 10 = 1")
+@query("mounted_paths", "select p_partkey as node, case p_partkey % 4 when 0 then '/m0/m1/m2/m3' when 1 then '/m1/m2/m3' when 2 then '/m2/m3' else '/m3' end || '/p' || p_partkey as path from part")
 def mounted_paths(t):
-    return _mounted(t).where("node % 10 in (0, 1)")
-
-
-@query("mounted_paths_whole", "select p_partkey as node, case p_partkey % 4 when 0 then '/m0/m1/m2/m3' when 1 then '/m1/m2/m3' when 2 then '/m2/m3' else '/m3' end || '/p' || p_partkey as path from part")
-def mounted_paths_whole(t):
     return _mounted(t)
 
 
@@ -554,19 +549,19 @@ def digest(t):
     return d.select("flow", F.concat("type", F.lit(": "), text.cut(F.col("parts"), 3)).alias("line"))
 
 
-@query("pattern_state", """with old as (select p_partkey as target, case when p_partkey % 5 = 0 then 'covered' when p_partkey % 5 = 1 then 'ignored' else 'open' end as state from part where p_partkey % 2 = 0),
+@query("pattern_state", """with old as (select p_partkey as target, case when p_partkey % 5 = 0 then 'covered' when p_partkey % 5 = 1 then 'ignored' else 'open' end as state from part where p_size > 25),
   seen as (select l_partkey as target, count(distinct l_suppkey % 7) as r, count(distinct l_suppkey) as a, count(*) as o from lineitem where l_returnflag = 'R' group by 1), b as (select coalesce(old.target, seen.target) as target, coalesce(state, 'open') as state, coalesce(r, 0) as r, coalesce(a, 0) as a, coalesce(o, 0) as o from old full join seen on old.target = seen.target)
   select target, case when o = 0 and state not in ('covered', 'ignored', 'expected') then 'covered' when o > 0 and state = 'covered' then 'open' else state end as state, r as repositories, a as applications, o as occurrences from b""")
 def pattern_state(t):
-    old = t.part.where("p_partkey % 2 = 0").select(F.lit("library").alias("signal"), F.col("p_partkey").alias("target"), F.when(F.col("p_partkey") % 5 == 0, "covered").when(F.col("p_partkey") % 5 == 1, "ignored").otherwise("open").alias("state"))
+    old = t.part.where("p_size > 25").select(F.lit("library").alias("signal"), F.col("p_partkey").alias("target"), F.when(F.col("p_partkey") % 5 == 0, "covered").when(F.col("p_partkey") % 5 == 1, "ignored").otherwise("open").alias("state"))
     seen = t.lineitem.where("l_returnflag = 'R'").groupBy(F.lit("library").alias("signal"), F.col("l_partkey").alias("target")).agg(F.count_distinct(F.col("l_suppkey") % 7).alias("repositories"), F.count_distinct("l_suppkey").alias("applications"), F.count("*").alias("occurrences"), F.lit(0).alias("evidence"))
     return coverage.record(old, seen).select("target", "state", "repositories", "applications", "occurrences")
 
 
-@query("triage", "select p_partkey as fingerprint, case when p_partkey % 3 = 0 then 'ignored' else 'open' end as state from part")
+@query("triage", "select p_partkey as fingerprint, case when p_size < 17 then 'ignored' else 'open' end as state from part")
 def triage(t):
     p = t.part.select(F.col("p_partkey").alias("fingerprint"), F.lit("open").alias("state"))
-    return coverage.triage(p, t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("fingerprint"), F.lit("ignored").alias("state")))
+    return coverage.triage(p, t.part.where("p_size < 17").select(F.col("p_partkey").alias("fingerprint"), F.lit("ignored").alias("state")))
 
 
 @query("trace_dfs", None)
