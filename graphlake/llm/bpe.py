@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 #: Characters with the White_Space property; a fixed value of Unicode.
 WHITE_SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0                　"
@@ -111,7 +111,7 @@ class MergeTransducer:
                 node = nxt
             self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -143,7 +143,8 @@ class MergeTransducer:
         The last merges on either side are undone, latest first; a pair across
         the border that would have merged before the one just undone forbids it.
         """
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is not None:
             return known
         a, b, below, known = left, right, 1 << 60, True
@@ -162,7 +163,7 @@ class MergeTransducer:
                 break
         if len(self.pairs) >= self.max_pairs:
             self.pairs.clear()
-        self.pairs[left, right] = known
+        self.pairs[key] = known
         return known
 
     def _step(self, state: dict, b: int) -> tuple[int, dict]:
@@ -352,7 +353,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 columns += [part.column(2 + i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, names + [f"k{i}" for i in range(len(keep))])
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
+    source = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     out = source.mapInArrow(run, f"doc_id {kinds['doc_id']}, ids array<int>" + ", text string" * decoded + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep))))
     return out.select("doc_id", "ids", *["text"] * decoded, *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
@@ -375,7 +376,7 @@ def decode(encoded: DataFrame, path: str, chunk: int = 4096) -> DataFrame:
                     texts.append("".join(decode_stream((values[i : i + chunk] for i in range(0, len(values), chunk)), vocabulary)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    source = encoded.select("doc_id", "ids")
+    source = bounded_batches(encoded).select("doc_id", "ids")
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, text string")
 
 

@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 
-def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of a batch of rows that goes to a Python worker; texts may be long, and a batch is held on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session cuts batches for Python workers by bytes too, not by rows alone; a bound that is set stays."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    unset = str(BATCH_BYTES + 1)
+    if conf.get(name, unset) == unset:
+        conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts take about ``max_bytes``; one row at least."""
     if not batch.num_rows:
         return

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, filter_bits, key_filter, marked, slices
+from .common import Scratch, bounded_batches, components, filter_bits, key_filter, marked, slices
 from .wordhash import Words, mix, shingle_sets
 
 #: Bytes of text that a worker shingles at a time.
@@ -282,7 +282,7 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"), *[c.alias(f"k{i}") for i, c in enumerate((carry or {}).values())])
+    source = bounded_batches(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"), *[c.alias(f"k{i}") for i, c in enumerate((carry or {}).values())])
     kept = source.columns[2:]
     posting = _Posting(k, percent, spark.sparkContext.broadcast(frequent_levels(scratch, source, k, frequent)))
 

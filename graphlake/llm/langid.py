@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 #: Characters of a block; a phrase ends where its block ends.
 BLOCK = 256
@@ -274,7 +274,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     # id and text go to the workers once, also if they are among the columns kept
     others = [c for c in keep if c not in (id_col, text_col)]
     places = [0 if c == id_col else 1 if c == text_col else 2 + others.index(c) for c in keep]
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
+    source = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     out = source.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double" + "".join(f", k{i} {source.schema[at].dataType.simpleString()}" for i, at in enumerate(places)))
     return out.select("doc_id", "lang_pred", "score", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])

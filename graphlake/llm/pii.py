@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import bounded_batches, slices
 from .wordhash import _BYTE, _LOWER, Words, byte_ranges
 
 # ---------------------------------------------------------------- fixed patterns
@@ -438,7 +438,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
                     ["doc_id", "base", "added"],
                 )
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    source = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, base {span}, added {span}")
 

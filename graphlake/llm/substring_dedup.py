@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, key_filter, marked, slices
+from .common import Scratch, bounded_batches, key_filter, marked, slices
 from .wordhash import Words
 
 
@@ -96,7 +96,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
     least = F.lit(-(2**63)).cast("bigint")
-    source = docs.select(F.coalesce(docs[id_col].cast("bigint"), least).alias("doc_id"), docs[text_col].alias("text"))
+    source = bounded_batches(docs).select(F.coalesce(docs[id_col].cast("bigint"), least).alias("doc_id"), docs[text_col].alias("text"))
 
     rows = _runs(source, length, anchor)
     # seeds: anchors with two runs or two ids
