@@ -78,20 +78,20 @@ def _element(e: ElementTree.Element):
     return text if not out else (out | {"text": text} if text else out)
 
 
-def documents(name: str, text: str) -> list:
-    """The documents of one file by its kind; a file that cannot be read has none."""
+def parsed(name: str, text: str) -> tuple[list, str | None]:
+    """The documents of one file by its kind, and why it could not be read; kinds that are no configuration have neither."""
     try:
         if name.endswith((".yml", ".yaml")):
-            return [d for d in yaml.safe_load_all(text) if d is not None] if yaml else []
+            if yaml is None:
+                return [], "no YAML library"
+            return [d for d in yaml.safe_load_all(text) if d is not None], None
         if name.endswith(".json"):
-            return [json.loads(text)]
+            return [json.loads(text)], None
         if name.endswith(".xml"):
             root = ElementTree.fromstring(text)
-            return [{root.tag.rsplit("}", 1)[-1]: _element(root)}]
-    except Exception as error:  # noqa: BLE001 — kinds of parse errors differ by library
-        if isinstance(error, (MemoryError, KeyboardInterrupt)):
-            raise
-        return []
+            return [{root.tag.rsplit("}", 1)[-1]: _element(root)}], None
+    except (ValueError, ElementTree.ParseError, RecursionError, *([yaml.YAMLError] if yaml else [])) as error:
+        return [], f"{type(error).__name__}: {error}".splitlines()[0][:200]
     if name.endswith((".properties", ".env")) or name == ".env":
         out = {}
         for line in re.sub(r"\\\r?\n\s*", "", text).splitlines():
@@ -99,16 +99,46 @@ def documents(name: str, text: str) -> list:
             m = re.match(r"(?:export\s+)?([^#!=:\s][^=:\s]*)\s*[=:]\s*(.*)", line)
             if m and not line.startswith(("#", "!")):
                 out[m[1]] = m[2].strip().strip("\"'")
-        return [out]
-    return []
+        return [out], None
+    return [], None
+
+
+def documents(name: str, text: str) -> list:
+    """The documents of one file; one that cannot be read has none here and a row in ``unparsed``."""
+    return parsed(name, text)[0]
+
+
+def unparsed(found: DataFrame) -> DataFrame:
+    """(path, error) of files (path, file, content) that could not be read."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, name, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                error = parsed(name, (content or b"").decode("utf-8", "replace"))[1]
+                if error:
+                    rows.append({"path": path, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("error", pa.string())]))
+
+    return found.select("path", "file", "content").mapInArrow(parse, "path string, error string")
+
+
+#: A word of a line that is a key or a tag: it follows a space, bracket, quote or dot, and a sign or space follows it.
+_KEY_IN_LINE = re.compile(r"""(?:^|(?<=[\s<"'.]))([^\s<>"'.:=]+)(?=["']?\s*[:=]|[\s>])""")
+
+
+class Lines:
+    """The first line of each key of a text; one pass over the text, whatever the number of keys."""
 
+    def __init__(self, text: str):
+        self.first: dict[str, int] = {}
+        for n, line in enumerate(text.splitlines(), 1):
+            for word in _KEY_IN_LINE.findall(line):
+                self.first.setdefault(word, n)
 
-def _line_of(lines: list[str], key: str) -> int:
-    last = re.sub(r"\[\d+\]", "", key).rsplit(".", 1)[-1]
-    for n, line in enumerate(lines, 1):
-        if re.search(rf"(^|[\s<\"'.]){re.escape(last)}([\"']?\s*[:=]|[\s>])", line):
-            return n
-    return 0
+    def of(self, key: str) -> int:
+        """The line of a dotted key's last part; 0 if none has it."""
+        return self.first.get(re.sub(r"\[\d+\]", "", key).rsplit(".", 1)[-1], 0)
 
 
 def read(found: DataFrame) -> DataFrame:
@@ -119,9 +149,9 @@ def read(found: DataFrame) -> DataFrame:
             rows = []
             for path, name, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 text = (content or b"").decode("utf-8", "replace")
-                lines = text.splitlines()
+                lines = Lines(text)
                 for doc in documents(name, text):
-                    rows += [(path, k, None if re.search(SECRET_KEY, k) else v, _line_of(lines, k)) for k, v in flatten(doc)]
+                    rows += [(path, k, None if re.search(SECRET_KEY, k) else v, lines.of(k)) for k, v in flatten(doc)]
             yield pa.RecordBatch.from_pylist([dict(zip(("path", "key", "value", "line"), r)) for r in rows], pa.schema([("path", pa.string()), ("key", pa.string()), ("value", pa.string()), ("line", pa.int32())]))
 
     return found.select("path", "file", "content").mapInArrow(parse, "path string, key string, value string, line int")

@@ -18,7 +18,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, key: str, or
 
     Both are written under the batch's own number, so a batch that is run again
     after a failure replaces its own files, and one that changes nothing logs no
-    rows.
+    rows.  States before the last one, which no batch can need again, are deleted.
     """
     rest = [c for c in batch.columns if c != key]
     newest = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
@@ -27,6 +27,9 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, key: str, or
     now.write.mode("overwrite").parquet(_version(states, number))
     written = spark.read.schema(batch.schema).parquet(_version(states, number))
     state.diff(old, written, key).write.mode("overwrite").parquet(_version(changes, number))
+    if number > 1:
+        past = spark._jvm.org.apache.hadoop.fs.Path(_version(states, number - 2))
+        past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
 
 
 def run(spark: SparkSession, source: str, schema, key: str, order: str, work: str, files_per_batch: int = 1) -> StreamingQuery:

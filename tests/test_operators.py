@@ -106,6 +106,26 @@ def test_config_files(spark, tmp_path):
     assert got["project.dep[0].name"][0] == "x" and got["project.dep[1].name"][0] == "y"
     hit = config.matching(config.read(found), "spring.{KIND}.*").collect()
     assert [(r.KIND, r.value) for r in hit] == [("kafka", "orders")]
+    errors = config.unparsed(found).collect()
+    assert [r.path.rsplit("/", 1)[-1] for r in errors] == ["bad.json"] and errors[0].error.startswith("JSONDecodeError")
+
+
+def test_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yml").write_text("tax:\n  rates: [1, 2]\n  api_key: x\n---\ntill:\n  - name: b\n")
+    (tmp_path / "b.yaml").write_text("a: [1\n")
+    found = config.files(spark, str(tmp_path), [".yml", ".yaml"])
+    got = {r.key: (r.value, r.line) for r in config.read(found).collect()}
+    assert got == {"tax.rates": ("1,2", 2), "tax.api_key": (None, 3), "till[0].name": ("b", 6)}
+    assert [r.path.rsplit("/", 1)[-1] for r in config.unparsed(found).collect()] == ["b.yaml"]
+
+
+def test_files_and_lines(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    tests = ["src/test_rates.py", "a/tests/x.py", "RatesTest.java", "b/rates.spec.ts"]
+    assert all(one(config.is_test_file(F.lit(p))) for p in tests) and not one(config.is_test_file(F.lit("src/rates.py")))
+    assert one(config.glob_matches(F.lit("a/b/rates.yml"), "*.yml")) and one(config.glob_matches(F.lit("a/b.c"), "a/?.c")) and not one(config.glob_matches(F.lit("a/b.cc"), "a/?.c"))
+    assert one(config.slice_lines(F.lit("a\nb\nc\nd"), F.lit(2), F.lit(3))) == "b\nc"
 
 
 def test_rules_over_records(spark, tmp_path):
