@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def one_period(spark: SparkSession, weights: list[int]) -> list[int]:
-    """The source that owns each slot of one period: earliest deadline first among released blocks."""
+def one_period(spark: SparkSession, weights: list[int], chunk: int = 1024) -> list[int]:
+    """The source that owns each slot of one period: earliest deadline first among released blocks.
+
+    The fold goes on from chunk to chunk, so that no array of it is longer than a chunk.
+    """
     total = sum(weights)
     w = F.array(*[F.lit(x) for x in weights])
-    start = F.struct(F.transform(w, lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
 
     def slot(state: Column, t: Column) -> Column:
         ready = F.transform(
@@ -37,23 +39,33 @@ def one_period(spark: SparkSession, weights: list[int]) -> list[int]:
         done = F.transform(state["done"], lambda k, i: k + F.when(i == pick, 1).otherwise(0))
         return F.struct(done.alias("done"), F.concat(state["order"], F.array(pick)).alias("order"))
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, slot, lambda s: s["order"])
-    return list(spark.range(1).select(folded.alias("order")).first()["order"])
+    order: list[int] = []
+    done = [0] * len(weights)
+    for first in range(0, total, chunk):
+        start = F.struct(F.array(*map(F.lit, done)).alias("done"), F.array().cast("array<int>").alias("order"))
+        slots = F.sequence(F.lit(first), F.lit(min(first + chunk, total) - 1))
+        state = spark.range(1).select(F.aggregate(slots, start, slot).alias("state")).first()["state"]
+        done, order = list(state["done"]), order + list(state["order"])
+    return order
 
 
-def plan_phases(spark: SparkSession, weights: list[int], blocks: list[int]) -> list[dict]:
+def plan_phases(spark: SparkSession, weights: list[int], blocks: list[int], max_slots: int = 200_000) -> list[dict]:
     """Phases of the schedule: one ends when a source has no block left; the rest go on at their own ratio.
 
     Each phase has its first slot, its period's order and, for each source in it, the
-    first block and the number of blocks it gives.
+    first block and the number of blocks it gives.  Periods of more than ``max_slots``
+    together raise before they are computed.
     """
-    given, out, start = [0] * len(weights), [], 0
+    given, out, start, slots = [0] * len(weights), [], 0, 0
     while True:
         active = [i for i, n in enumerate(blocks) if given[i] < n]
         if not active:
             return out
         divisor = math.gcd(*[weights[i] for i in active])
         own = [weights[i] // divisor for i in active]
+        slots += sum(own) if len(active) > 1 else 1
+        if slots > max_slots:
+            raise ValueError(f"the periods of all phases have more than {max_slots} slots; use coarser weights")
         order = one_period(spark, own) if len(active) > 1 else [0]
         places: list[list[int]] = [[] for _ in active]
         for t, j in enumerate(order):
@@ -94,7 +106,7 @@ def mix(
     scaled to a period of about a thousand slots.  When a source ends, the others keep their ratio, and
     each phase between two ends deviates by less than one block.
 
-    Documents of a source are taken in order of a hash of their id.  A document's
+    Documents of a source are taken in order of a hash of their columns.  A document's
     number within its source is the total of the earlier buckets of that source
     plus its rank inside its bucket; buckets have about ``bucket_docs`` documents
     whatever the source's size, so no task sorts a whole source.  What is
@@ -102,7 +114,7 @@ def mix(
     ``max_slots``; beyond these bounds the call raises.
 
     Defined results: the null source is a source of its own; rows that repeat an id
-    take consecutive places; a null id is an id; no rows give no rows; the row is
+    are documents of their own; a null id is an id; no rows give no rows; the row is
     passed on whole, so names of other columns do not matter.
     """
     spark = docs.sparkSession
@@ -121,9 +133,7 @@ def mix(
     if any(int(weights.get(s, 0)) < 1 for s in names):
         raise ValueError("each source needs a positive integer weight")
     blocks = [-(-sizes[s] // block_docs) for s in names]
-    phases = plan_phases(spark, [int(weights[s]) for s in names], blocks)
-    if sum(len(p["order"]) for p in phases) > max_slots:
-        raise ValueError(f"the periods of all phases have more than {max_slots} slots; use coarser weights")
+    phases = plan_phases(spark, [int(weights[s]) for s in names], blocks, max_slots)
 
     per_source = _table(spark, [{"source": s, "no": i, "buckets": -(-sizes[s] // bucket_docs)} for i, s in enumerate(names)], "source string, no int, buckets bigint")
     plan, periods = [], []
@@ -137,13 +147,17 @@ def mix(
     period_table = _table(spark, periods, "no int, phase int, k bigint, at bigint")
 
     same = base["source"].eqNullSafe(per_source["source"])
-    keyed = base.join(F.broadcast(per_source), same).select("row", "id", base["source"].alias("source"), "no", F.pmod(F.xxhash64("id"), F.col("buckets")).alias("bucket"))
-    before = (
-        keyed.groupBy("no", "bucket").agg(F.count("*").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("no", "bucket", "before")
-    )
-    rank = F.row_number().over(Window.partitionBy("no", "bucket").orderBy(F.xxhash64("id", F.lit(1)), "id"))
+    # the place of a row in its source: by a hash of its id and its other columns, so that rows that repeat an id are spread too
+    hashable = [F.col(f"row.{c}") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    keyed = base.join(F.broadcast(per_source), same).select("row", "id", base["source"].alias("source"), "no", F.xxhash64("id", *hashable).alias("hash"), "buckets")
+    keyed = keyed.withColumn("bucket", F.pmod("hash", "buckets")).drop("buckets")
+    # totals of the earlier buckets, in two levels, so that no task sums all buckets of a source
+    sizes_of = keyed.groupBy("no", "bucket").agg(F.count("*").alias("n")).withColumn("shelf", F.floor(F.col("bucket") / 1024))
+    ahead = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    shelves = sizes_of.groupBy("no", "shelf").agg(F.sum("n").alias("n")).withColumn("lead", F.coalesce(F.sum("n").over(ahead("no", "shelf")), F.lit(0)))
+    inner = sizes_of.withColumn("inner", F.coalesce(F.sum("n").over(ahead("no", "shelf", "bucket")), F.lit(0)))
+    before = inner.join(shelves.select("no", "shelf", "lead"), ["no", "shelf"]).select("no", "bucket", (F.col("lead") + F.col("inner")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("no", "bucket").orderBy("hash", "id"))
     numbered = keyed.withColumn("rank", rank).join(before, ["no", "bucket"]).withColumn("nth", F.col("before") + F.col("rank") - 1)
     placed = numbered.select("row", "source", "no", F.floor(F.col("nth") / block_docs).alias("block"), (F.col("nth") % block_docs).alias("place"))
     p = plan_table.alias("p")
