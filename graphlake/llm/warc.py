@@ -28,19 +28,21 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, payload, F.lit("\r\n\r\n"))
 
 
-def index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = 512) -> DataFrame:
-    """(archive, offset, length, digest, page_id) of every page's record in its archive.
+def index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = 512, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(archive, offset, length, digest, page_id, *carry) of every page's record in its archive.
 
     Archives hold the ids of one span of ``per_archive``; rows without an id go to
-    archives by a hash of their url.  Within an archive records stand by id, then
-    url, then digest.
+    archives by a hash of their record.  Within an archive records stand by id, then
+    url, then digest.  Rows that repeat an id are records of their own; ``carry`` adds
+    expressions over ``pages``.
     """
+    carry = carry or {}
     text = record_text(pages[id_col], pages[url_col], pages[html_col])
     by_id = F.concat(F.lit("pages-"), F.floor(pages[id_col] / per_archive).cast("string"))
-    archive = F.coalesce(by_id, F.concat(F.lit("urls-"), F.pmod(F.xxhash64(pages[url_col]), F.lit(4096)).cast("string")))
-    rows = pages.select(archive.alias("archive"), pages[id_col].alias("page_id"), pages[url_col].alias("url"), F.octet_length(text).cast("bigint").alias("length"), F.sha2(text, 256).alias("digest"))
+    archive = F.coalesce(by_id, F.concat(F.lit("urls-"), F.pmod(F.xxhash64(pages[url_col], pages[html_col]), F.lit(4096)).cast("string")))
+    rows = pages.select(archive.alias("archive"), pages[id_col].alias("page_id"), pages[url_col].alias("url"), F.octet_length(text).cast("bigint").alias("length"), F.sha2(text, 256).alias("digest"), *[c.alias(name) for name, c in carry.items()])
     before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("archive", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest", "page_id")
+    return rows.select("archive", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest", "page_id", *carry)
 
 
 def _joined(hashes: str, order: str) -> Column:
@@ -70,16 +72,15 @@ class MerkleTree:
         self.fanout, self.depth = fanout, len(self.levels)
         archives = self.levels[-1].select("archive", "hash").withColumn("name", F.sha2("archive", 256))
         self.prefixes = []
-        rows, name = archives.select(F.substring("name", 1, PREFIXES[0]).alias("prefix"), F.col("archive").alias("child"), "hash"), None
+        rows = archives.select(F.substring("name", 1, PREFIXES[0]).alias("prefix"), F.col("archive").alias("child"), "hash")
         for n, digits in enumerate(PREFIXES):
             level = scratch.keep(rows.groupBy("prefix").agg(_joined("hash", "child").alias("hash")), "prefixes")
             self.prefixes.append(level)
             if n + 1 < len(PREFIXES):
                 rows = level.select(F.substring("prefix", 1, PREFIXES[n + 1]).alias("prefix"), F.col("prefix").alias("child"), "hash")
-        del name
 
 
-def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = 1 << 16, fanout: int = 16, read_root: bool = True) -> DataFrame:
+def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = 1 << 16, fanout: int = 16) -> DataFrame:
     """(archive, offset, length, status) of records that differ between two replicas.
 
     Both inputs have (archive, offset, length, digest), by the index the archives were
@@ -140,23 +141,25 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = 1 << 16, fa
     return found.select("archive", "offset", F.coalesce("length", "length2").alias("length"), status.alias("status"))
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A second replica with known faults: of 97 consecutive ids one has its first character overwritten, one is lost."""
-    kind = F.pmod("page_id", F.lit(97))
-    html = F.when((kind == 13) & (F.length("html") > 0), F.concat(F.lit("\u0001"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    return pages.where(F.coalesce(kind != 29, F.lit(True))).withColumn("html", html)
+def damage(page_id: Column, html: Column) -> tuple[Column, Column]:
+    """A second replica's known faults: whether a record is lost, and its text; of 97 consecutive ids one has its first character overwritten, one is lost."""
+    kind = F.pmod(page_id, F.lit(97))
+    changed = F.when((kind == 13) & (F.length(html) > 0), F.concat(F.lit("\u0001"), F.substring(html, 2, 2**31 - 1))).otherwise(html)
+    return F.coalesce(kind == 29, F.lit(False)), changed
 
 
 def op4_merkle_audit(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    primary = index(pages)
-    # the replica is read by the primary's index: same places, its own bytes
-    text = lambda df: record_text(df["page_id"], df["url"], df["html"])
-    other = damaged(pages)
-    digests = other.select("page_id", F.sha2(text(other), 256).alias("digest2"))
-    replica = primary.join(digests, "page_id").select("archive", "offset", "length", F.col("digest2").alias("digest"))
-    found = audit(primary, replica)
-    return found.join(primary.select("archive", "offset", "page_id"), ["archive", "offset"], "left").select("page_id", "archive", "offset", "length", "status")
+    return audit_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def audit_of_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, archive, offset, length, status): the audit of pages against their damaged replica, which the primary's index reads: same places, its own bytes."""
+    lost, html = damage(pages["page_id"], pages["html"])
+    both = index(pages, carry={"lost": lost, "digest2": F.sha2(record_text(pages["page_id"], pages["url"], html), 256)})
+    both = Scratch(pages.sparkSession, "replicas").keep(both, "index")
+    replica = both.where("not lost").select("archive", "offset", "length", F.col("digest2").alias("digest"))
+    found = audit(both.select("archive", "offset", "length", "digest"), replica)
+    return found.join(both.select("archive", "offset", "page_id"), ["archive", "offset"], "left").select("page_id", "archive", "offset", "length", "status")
 
 
 ORACLE_SQL = r"""
