@@ -30,6 +30,10 @@ from .common import Scratch, bounded_batches, key_filter, marked, slices
 from .wordhash import Words
 
 
+#: Salt of the second half of a window's hash.
+SECOND = 4
+
+
 def anchor_runs(w: Words, length: int, anchor: int):
     """Runs of windows with one anchor: (document, first window's first word, windows, anchor hash, run hash)."""
     grams = w.windows(anchor)
@@ -90,15 +94,16 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Defined results: null and empty texts have no words; of rows that repeat an id the
     windows count as one text's, and each row is cut in the same way if its text is the
-    same; a row with a null id is read as the text of a smallest id; texts
+    same; a row with a null id has no place in the order, so that it is cut by what repeats inside
+    its own text alone and cuts no other; texts
     shorter than a window keep all; no rows give no rows; other columns are ignored.
+    Words are compared as 64-bit hashes, windows across texts as 128-bit ones.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
-    least = F.lit(-(2**63)).cast("bigint")
-    source = bounded_batches(docs).select(F.coalesce(docs[id_col].cast("bigint"), least).alias("doc_id"), docs[text_col].alias("text"))
+    source = bounded_batches(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
 
-    rows = _runs(source, length, anchor)
+    rows = scratch.keep(_runs(source.where("doc_id is not null"), length, anchor), "runs")
     # seeds: anchors with two runs or two ids
     seeds = rows.groupBy("h").agg(F.min("run").alias("low"), F.max("run").alias("high"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     seeds = scratch.keep(seeds.where("low < high or first < last").select("h", "first", (F.col("low") < F.col("high")).alias("mixed")), "seeds")
@@ -110,6 +115,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mixed.join(holder, ["h", "run"]).select("doc_id", "h", "run", (F.col("doc_id") > F.col("holder")).alias("whole"))
     )
     # a text's runs: repeated whole, or open, to be extended window by window
+    scratch.drop(rows)
     lists = settled.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("whole"), F.struct("h", "run"))).alias("whole"),
         F.collect_list(F.when(~F.col("whole"), F.struct("h", "run"))).alias("open"),
@@ -124,19 +130,19 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 doc, first, size, h, run = anchor_runs(w, length, anchor)
                 at = _window_places(part, 2, doc, first, size, h, run)
                 ids = np.asarray(part.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-                x, owner = w.windows(length)[at], ids[w.owner()[at]]
-                order = np.lexsort((owner, x))
-                x, owner = x[order], owner[order]
+                x, y, owner = w.windows(length)[at], w.windows(length, SECOND)[at], ids[w.owner()[at]]
+                order = np.lexsort((owner, y, x))
+                x, y, owner = x[order], y[order], owner[order]
                 keep = np.ones(len(x), dtype=bool)
-                keep[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
-                yield pa.RecordBatch.from_arrays([_signed(x[keep]), pa.array(owner[keep])], ["x", "doc_id"])
+                keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (owner[1:] != owner[:-1])
+                yield pa.RecordBatch.from_arrays([_signed(x[keep]), _signed(y[keep]), pa.array(owner[keep])], ["x", "y", "doc_id"])
 
     # only texts that have an open run cross an exchange here, and only those with a list below
     some = marked(source, "some", key_filter(open_docs, "doc_id"), "doc_id").where("some").select("doc_id", "text")
-    opened = some.join(open_docs, "doc_id").select("doc_id", "text", "open").mapInArrow(windows, "x bigint, doc_id bigint")
+    opened = some.join(open_docs, "doc_id").select("doc_id", "text", "open").mapInArrow(windows, "x bigint, y bigint, doc_id bigint")
     opened = scratch.keep(opened, "windows")
-    low = scratch.keep(opened.groupBy("x").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("x", "low"), "low")
-    later = opened.join(low, "x").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("x").alias("later"))
+    low = scratch.keep(opened.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("x", "y", "low"), "low")
+    later = opened.join(low, ["x", "y"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("x", "y")).alias("later"))
     extra = lists.select("doc_id", "whole").join(later, "doc_id", "full_outer")
     extra = scratch.keep(extra, "extra")
 
@@ -147,7 +153,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 doc, first, size, h, run = anchor_runs(w, length, anchor)
                 gone = np.zeros(len(w.hash) + 1, dtype=np.int64)
                 at = _window_places(part, 2, doc, first, size, h, run)
-                x = w.windows(length)
+                x = _both(w.windows(length), w.windows(length, SECOND))
                 at = np.union1d(at, _hash_places(part, 3, w, x, length))
                 at = np.union1d(at, _inner_repeats(w, x, length)).astype(np.int64)
                 np.add.at(gone, at, 1)
@@ -164,11 +170,10 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     both = marked(source, "some", key_filter(extra, "doc_id"), "doc_id")
     none = F.lit(None)
-    alone = both.where("not some").select("doc_id", "text", none.cast("array<struct<h:bigint,run:bigint>>").alias("whole"), none.cast("array<bigint>").alias("later"))
+    alone = both.where("not some").select("doc_id", "text", none.cast("array<struct<h:bigint,run:bigint>>").alias("whole"), none.cast("array<struct<x:bigint,y:bigint>>").alias("later"))
     listed = both.where("some").select("doc_id", "text").join(extra, "doc_id", "left").select("doc_id", "text", "whole", "later")
     kind = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
-    out = alone.mapInArrow(cut, kind).unionByName(listed.mapInArrow(cut, kind))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
+    return alone.mapInArrow(cut, kind).unionByName(listed.mapInArrow(cut, kind))
 
 
 def _window_places(part: pa.RecordBatch, column: int, doc, first, size, h, run) -> np.ndarray:
@@ -196,7 +201,13 @@ def _hash_places(part: pa.RecordBatch, column: int, w: Words, x: np.ndarray, len
     owner = np.repeat(np.arange(len(lists)), lengths)
     doc = w.owner()[: len(x)]
     whole = np.arange(len(x)) + length <= w.first[doc + 1]
-    return np.flatnonzero(whole & _members(doc, x, owner, np.asarray(values).astype(np.int64).view(np.uint64)))
+    named = [np.asarray(values.field(i)).astype(np.int64).view(np.uint64) for i in (0, 1)]
+    return np.flatnonzero(whole & _members(doc, x, owner, _both(*named)))
+
+
+def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One number of the two halves of a hash, for comparison inside one text."""
+    return x + y * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _members(doc: np.ndarray, x: np.ndarray, owner: np.ndarray, values: np.ndarray) -> np.ndarray:
