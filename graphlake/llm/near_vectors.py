@@ -67,7 +67,10 @@ class Tree:
 
 
 def _unit(column: pd.Series) -> np.ndarray:
+    """Vectors of length 1; each is divided by its largest component first, so that none over- or underflows."""
     m = np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
+    largest = np.abs(m).max(axis=1)
+    m = m / np.where(largest > 0, largest, 1)[:, None]
     norm = np.sqrt((m * m).sum(axis=1))
     return m / np.where(norm > 0, norm, 1)[:, None]
 
@@ -146,7 +149,8 @@ def near_vectors(
     trees: int = 4,
     leaf_rows: int = 600,
     sample_rows: int = 20_000,
-    block_rows: int = 768,
+    block_rows: int = 1536,
+    max_lengths: int = 16,
     seed: int = 11,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
@@ -165,24 +169,36 @@ def near_vectors(
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null id, link with nothing (a null id's component
-    is null); vectors of different length are never linked; rows that repeat an id
+    is null); vectors of different length are never linked, and those of other than the
+    ``max_lengths`` commonest lengths are compared with all of their length; rows that repeat an id
     count as vectors of their own but share its row's values; other columns are
     ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "near-vectors")
     v = vectors[vector_col].cast("array<double>")
-    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    good = vectors[id_col].isNotNull() & F.coalesce((squares > 0) & ~F.isnan(squares) & (squares < float("inf")), F.lit(False)) & ~F.exists(v, lambda x: x.isNull())
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = vectors[id_col].isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
     base = vectors.select(vectors[id_col].alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), v).alias("embedding"))
     base = base.select("vec_id", "embedding", F.xxhash64(F.lit(1), "embedding").alias("k1"), F.xxhash64(F.lit(2), "embedding").alias("k2"), F.size("embedding").alias("dim"))
     usable = base.where("embedding is not null")
     classes = scratch.keep(usable.groupBy("k1", "k2", "dim").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("embedding").alias("embedding")), "classes")
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
+    by_length = classes.groupBy("dim").agg(F.count("*").alias("n"))
+    sizes = {r["dim"]: r["n"] for r in by_length.orderBy(F.desc("n"), "dim").limit(max_lengths).collect()}
 
-    parts = []
+    def within_leaves(placed: DataFrame) -> DataFrame:
+        """Links within leaves: blocks of a leaf meet pairwise, each pair of blocks a group of its own."""
+        in_leaf = placed.select("node", "mult", "embedding", "member", F.explode("member").alias("leaf"))
+        leaf_sizes = in_leaf.groupBy("leaf").agg(F.count("*").alias("rows")).where("rows > 1").select("leaf", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
+        blocked = in_leaf.join(leaf_sizes, "leaf").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int"))
+        pairs = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+            "leaf", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "node", "mult", "embedding", "member"
+        )
+        return pairs.groupBy("leaf", "bi", "bj").applyInPandas(lambda pdf: _links_of(pdf, cosine), "node bigint, n bigint, other bigint")
+
+    # vectors of the rarer lengths, of which there may be any number, are compared with all of their length
+    rare = classes.where(~F.col("dim").isin(list(sizes))) if sizes else classes
+    parts = [within_leaves(rare.select("node", "mult", "embedding", F.array(F.col("dim").cast("bigint")).alias("member")))]
     for dim, n in sorted(sizes.items()):
         own = classes.where(F.col("dim") == dim)
         rows = own.orderBy(F.xxhash64("node"), "node").select("embedding").limit(sample_rows).toPandas()["embedding"]
@@ -202,20 +218,11 @@ def near_vectors(
                 yield pd.DataFrame({"node": pdf["node"], "mult": pdf["mult"], "embedding": pdf["embedding"], "member": [sorted(m) for m in member]})
 
         placed = scratch.keep(own.select("node", "mult", "embedding").mapInPandas(place, "node bigint, mult bigint, embedding array<double>, member array<bigint>"), "placed")
-        in_leaf = placed.select("node", "mult", "embedding", "member", F.explode("member").alias("leaf"))
-        # as many rows as the forest has leaves, which the sample bounds
-        leaf_sizes = in_leaf.groupBy("leaf").agg(F.count("*").alias("rows")).where("rows > 1").select("leaf", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
-        blocked = in_leaf.join(F.broadcast(leaf_sizes), "leaf").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int"))
-        pairs = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-            "leaf", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "node", "mult", "embedding", "member"
-        )
-        parts.append(pairs.groupBy("leaf", "bi", "bj").applyInPandas(lambda pdf: _links_of(pdf, cosine), "node bigint, n bigint, other bigint"))
+        parts.append(within_leaves(placed))
 
-    found = None
-    for part in parts:
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "node bigint, n bigint, other bigint")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     found = scratch.keep(found, "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(scratch, found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
