@@ -353,7 +353,7 @@ def jaccard_components(
     labels = nodes.join(comp, "node", "left").select("size", "set1", "set2", "doc", F.coalesce("component", "node").alias("component"))
     labels = labels.join(labels.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("size", "set1", "set2", "component_id", "component")
     labels = scratch.keep(labels, "labels")
-    more = [F.col(c).alias(name) for c, name in zip(kept, carry or {})] + [F.col("component").alias(label)] * (label is not None)
+    more = [F.col(c).alias(name) for c, name in zip(kept, carry or {})] + ([F.col("component").alias(label)] if label else [])
     linked = rows.where("size > 0").join(labels, ["size", "set1", "set2"]).select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), "component_id", *more)
     alone = rows.where("size = 0").withColumn("component", F.lit(None).cast("bigint"))
     return linked.unionByName(alone.select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more))
