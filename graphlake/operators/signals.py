@@ -47,6 +47,35 @@ def library(imports: DataFrame, covered: DataFrame) -> DataFrame:
     return _rows(imports.join(covered.select("library"), "library", "left_anti"), "library", F.col("library"), F.col("app"))
 
 
+def internal_library(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """Imported libraries (library, app) that a module (library, app) of another application of the organization builds."""
+    built = modules.select("library", F.col("app").alias("builder"))
+    return _rows(imports.join(built, "library").where("app <> builder").select("library", "app").distinct(), "internal_library", F.col("library"), F.col("app"))
+
+
+def external_library(imports: DataFrame, modules: DataFrame, covered: DataFrame) -> DataFrame:
+    """Imported libraries (library, app) that no module (library) builds and no pack (library) covers."""
+    left = imports.join(modules.select("library"), "library", "left_anti").join(covered.select("library"), "library", "left_anti")
+    return _rows(left, "external_library", F.col("library"), F.col("app"))
+
+
+def file_call(calls: DataFrame) -> DataFrame:
+    """Library calls (library, app, verdict, explained) that can touch files and that nothing explains."""
+    return _rows(calls.where("verdict = 'file' and not explained"), "file_call", F.col("library"), F.col("app"))
+
+
+def evidenced(items: DataFrame, referenced: DataFrame, names: DataFrame, modules: DataFrame) -> DataFrame:
+    """Items (signal, target, app, evidence) with evidence added: a flow refers to the target (target), its last part is a known name (name), its application is a library module (app)."""
+    last = F.element_at(F.split("target", r"[.#/]"), -1)
+    mark = lambda df, key, word: df.select(F.col(key).alias(f"_{word}"), F.lit(word).alias(word)).distinct()
+    out = items.withColumn("_last", last)
+    for df, key, word, on in ((referenced, "target", "referenced", "target"), (names, "name", "name_known", "_last"), (modules, "app", "in_library_module", "app")):
+        known = mark(df, key, word)
+        out = out.join(known, out[on] == known[f"_{word}"], "left").drop(f"_{word}")
+    added = F.array_compact(F.array("referenced", "name_known", "in_library_module"))
+    return out.select("signal", "target", "app", F.array_distinct(F.concat("evidence", added)).alias("evidence"))
+
+
 def disagreement(agreed: DataFrame) -> DataFrame:
     return _rows(agreed.where("agreement <> 'confirmed'"), "disagreement", F.concat_ws("|", "agreement", "app", "role", "channel"), F.col("app"))
 
