@@ -148,7 +148,7 @@ def mix(
 
     same = base["source"].eqNullSafe(per_source["source"])
     # the place of a row in its source: by a hash of its id and its other columns, so that rows that repeat an id are spread too
-    hashable = [F.col(f"row.{c}") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    hashable = [F.col("row")[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
     keyed = base.join(F.broadcast(per_source), same).select("row", "id", base["source"].alias("source"), "no", F.xxhash64("id", *hashable).alias("hash"), "buckets")
     keyed = keyed.withColumn("bucket", F.pmod("hash", "buckets")).drop("buckets")
     # totals of the earlier buckets, in two levels, so that no task sums all buckets of a source

@@ -6,6 +6,7 @@ tagged words) and decoded by Viterbi in numpy, many word sequences at a time.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -403,6 +404,12 @@ class Field:
         return sorted(out)
 
 
+@functools.lru_cache(maxsize=1)
+def default_field() -> Field:
+    """The field of ``labelled_table()``, trained once in a process."""
+    return Field(labelled_table())
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: list[list[tuple[str, str]]] | None = None) -> DataFrame:
     """(doc_id, base array<struct>, added array<struct>) for every row; structs are (kind, start, end) in code points.
 
@@ -411,7 +418,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
     spans; repeated rows are searched each; no rows give no rows; other columns
     are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Field(labelled or labelled_table()))
+    shared = docs.sparkSession.sparkContext.broadcast(Field(labelled) if labelled else default_field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
