@@ -98,6 +98,10 @@ def test_range(spark, version, spec, ok):
     assert one(spark, versions.in_range(F.lit(version), spec)) is ok
 
 
+def test_range_of_no_version(spark):
+    assert one(spark, versions.in_range(F.lit(None).cast("string"), ">=1")) is None
+
+
 def test_scores(spark):
     assert one(spark, versions.score(F.lit("one_sided"), F.lit(2), F.lit(1), F.lit(0), F.lit(1))) == pytest.approx(3.5 * 210 * 5)
     assert one(spark, versions.band(F.lit(0.95))) == "high" and one(spark, versions.band(F.lit(0.5))) == "medium" and one(spark, versions.band(F.lit(0.1))) == "low"
