@@ -1,14 +1,15 @@
-"""What the operators share: batch slicing, hashed key sets, connected components."""
+"""What the operators share: batch slicing, hashed key sets, connected components, vectors of integers."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -100,3 +101,20 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def whole_vector(vector: Column, scale: int, shift: int = 0) -> Column:
+    """floor(scale * c) + shift of every component as longs; null where the vector or a component is null, not finite, or passes 2^53."""
+    doubles = vector.cast("array<double>")
+    fits = F.forall(doubles, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float(1 << 53)))
+    return F.when(fits, F.transform(doubles, lambda c: F.floor(c * scale) + F.lit(shift).cast("bigint")))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column, whose lists have one length and no nulls, as a matrix with a row for each."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from a literal, evaluated inside the engine."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

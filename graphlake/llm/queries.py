@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-
-
-from . import bpe, exact_dedup, jaccard_join, langid, mixing, near_vectors, pii, pipeline, secrets, substring_dedup, warc
+from . import bpe, clustering, exact_dedup, jaccard_join, langid, mixing, near_vectors, pii, pipeline, secrets, sharding, substring_dedup, warc, whitening
 
 
 def queries() -> dict:
@@ -20,8 +18,11 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_near_vectors": near_vectors.op9_near_vectors,
         "op10_language_id": langid.op10_language_id,
+        "op11_whiten": whitening.op11_whiten,
+        "op12_cluster": clustering.op12_cluster,
+        "op13_shard": sharding.op13_shard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merkle_audit": warc.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_merkle_audit": warc.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op12_cluster": clustering.ORACLE_SQL}
