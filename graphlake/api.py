@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import text
 from .operators import graph, search, state
 
 
@@ -25,10 +24,18 @@ class Graph:
         by_name = self.nodes.where(F.col("name") == ref).withColumn("rank", F.lit(1))
         return by_id.unionByName(by_name).orderBy("rank", F.length("id"), "id").limit(1).drop("rank")
 
-    def search(self, query: str, limit: int = 20) -> DataFrame:
-        words = [w for w in query.lower().replace("_", " ").split() if len(w) > 1 and w not in text.STOP_WORDS] or query.lower().split()
-        hits = search.tiered(search.index(self.nodes, "id", "name"), words)
-        return hits.join(self.nodes, "id").orderBy(F.desc("score"), "id").limit(limit)
+    def search(self, query: str, limit: int = 20, within: str | None = None) -> DataFrame:
+        """Nodes by score, with the words kept and dropped; ``within`` names a node that contains those asked for."""
+        words, ignored = search.query_words(query)
+        named = self.nodes
+        if within is not None:
+            scope = self.resolve(within).select(F.col("id").alias("node"))
+            inside = graph.reach(self.edges.where("type = 'CONTAINS'").select("src", "dst"), scope).select(F.col("node").alias("id"))
+            named = named.join(inside, "id", "left_semi")
+        levels = self.nodes.where(F.arrays_overlap("labels", F.array(F.lit("Application"), F.lit("Space")))).select("id")
+        hits = search.search(search.index(named, "id", "name"), words, levels=levels)
+        hits = hits.withColumn("dropped", F.concat_ws(" ", F.nullif("dropped", F.lit("")), *map(F.lit, ignored)))
+        return hits.join(self.nodes, "id").orderBy("level", F.desc("score"), "id").limit(limit)
 
     def node(self, ref: str, most: int = 400) -> DataFrame:
         """Neighbours of a node: direction, type, other node."""

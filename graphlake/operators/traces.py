@@ -1,66 +1,161 @@
-"""Traces: the depth-first listing of a flow's calls."""
+"""Traces: the depth-first listing of a flow's calls, and the flows assembled from it.
+
+A depth-first walk that expands every function once visits a function on the
+smallest of its simple paths from the roots, where a path is the list of the numbers of the
+calls on it.  So no walk is made: all flows are expanded together, level by level,
+each round keeping the smallest path known to each function, until none gets smaller.
+The listing is then one join of functions, at their paths, with their calls.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
-def depth_first(calls: DataFrame, roots: DataFrame) -> DataFrame:
-    """(flow, path, depth, symbol, repeat, recursive): every call of a flow in call order.
+def depth_first(calls: DataFrame, roots: DataFrame, utilities: DataFrame | None = None, compact_every: int = 8, few: int = 100_000) -> DataFrame:
+    """(flow, path, depth, symbol, repeat, recursive, first, interceptor): every call of a flow in call order.
 
-    ``calls`` is (flow, caller, callee, ord), ``roots`` (flow, symbol).  A function is
+    ``calls`` is (caller, callee, ord), with ``flow`` if each flow has its own; ``roots``
+    (flow, symbol), with ``ord`` for their order and ``interceptor`` for what runs before the handler.  A function is
     expanded once per flow: later visits are marked ``repeat`` if it calls
-    anything; a visit below itself is ``recursive``.  The order depends on all that came before,
-    so each flow is walked by itself; flows are many and each is small: it has no more
-    entries than calls and roots.
+    anything; a visit below itself is ``recursive``; ``utilities`` (symbol) are listed,
+    never expanded.  ``first`` marks the visits that are expanded.
+
+    As many rounds as the deepest walk has levels; a round joins the functions
+    whose path got smaller with their calls, and compares with the paths of all known
+    ones.  They are counted as they are written: at most ``few`` of them are broadcast,
+    so that late rounds do not deal out all calls again.  A flow is spread over its functions, and no task holds one.
+
+    Defined results: rows without flow, caller or callee are left out; calls of one
+    place go by the callee's name; equal calls are listed each; a root that is met
+    below an earlier root is a repeat.
+    """
+    scratch = Scratch(calls.sparkSession, "traces")
+    own = ["flow"] if "flow" in calls.columns else []
+    named = calls.dropna(subset=[*own, "caller", "callee"]).select(*own, F.col("caller").cast("string").alias("caller"), F.col("callee").cast("string").alias("callee"), "ord")
+    edges = named.select(*own, "caller", "callee", F.row_number().over(Window.partitionBy(*own, "caller").orderBy("ord", "callee")).alias("n"))
+    if utilities is not None:
+        edges = edges.join(utilities.select(F.col("symbol").alias("caller")).distinct(), "caller", "left_anti")
+    edges = scratch.keep(edges, "calls")
+
+    absent = {"ord": F.lit(0), "interceptor": F.lit(None).cast("string")}
+    roots = roots.withColumns({c: v for c, v in absent.items() if c not in roots.columns}).dropna(subset=["flow", "symbol"])
+    place = F.row_number().over(Window.partitionBy("flow").orderBy("ord", "symbol"))
+    starts = scratch.keep(roots.select("flow", F.col("symbol").cast("string").alias("symbol"), F.array(place).alias("path"), "interceptor"), "roots")
+
+    smaller, n = scratch.keep_counted(starts.groupBy("flow", "symbol").agg(F.min("path").alias("path")).withColumn("above", F.array().cast("array<string>")), "paths")
+    known = [smaller]
+    everything = lambda: reduce(DataFrame.unionByName, known)
+    smallest = lambda df: df.groupBy("flow", "symbol").agg(F.min(F.struct("path", "above")).alias("at")).select("flow", "symbol", "at.*")
+    while n:
+        visits = smaller.select("flow", F.col("symbol").alias("caller"), "path", F.concat("above", F.array("symbol")).alias("above"))
+        steps = edges.join(F.broadcast(visits) if n <= few else visits, [*own, "caller"])
+        steps = steps.where(~F.array_contains("above", F.col("callee")))
+        found = steps.select("flow", F.col("callee").alias("symbol"), F.struct(F.concat("path", F.array("n")).alias("path"), "above").alias("at"), F.lit(None).cast("array<int>").alias("had"))
+        before = everything().select("flow", "symbol", F.lit(None).cast(found.schema["at"].dataType).alias("at"), F.col("path").alias("had"))
+        met = found.unionByName(before).groupBy("flow", "symbol").agg(F.min("at").alias("at"), F.min("had").alias("had"))
+        smaller, n = scratch.keep_counted(met.where("at is not null and (had is null or at.path < had)").select("flow", "symbol", "at.path", "at.above"), "paths")
+        known.append(smaller)
+        if len(known) > compact_every:
+            merged = scratch.keep(smallest(everything()), "merged")
+            scratch.drop(*[k for k in known if k is not smaller])
+            known = [merged]
+
+    at = scratch.keep(smallest(everything()), "at")
+    listed = at.select("flow", F.col("symbol").alias("caller"), "path", F.concat("above", F.array("symbol")).alias("above")).join(edges, [*own, "caller"])
+    listed = listed.select("flow", F.concat("path", F.array("n")).alias("path"), F.col("callee").alias("symbol"), F.array_contains("above", F.col("callee")).alias("recursive"), F.lit(None).cast("string").alias("interceptor"))
+    listed = starts.select("flow", "path", "symbol", F.lit(False).alias("recursive"), "interceptor").unionByName(listed)
+    calling = edges.select(*own, F.col("caller").alias("symbol"), F.lit(True).alias("calls")).distinct()
+    out = listed.join(at.select("flow", "symbol", F.col("path").alias("own")), ["flow", "symbol"], "left").join(calling, [*own, "symbol"], "left")
+    first = F.col("path") == F.col("own")
+    return out.select("flow", F.array_join("path", ".").alias("path"), F.size("path").alias("depth"), "symbol", (~F.col("recursive") & ~first & F.col("calls").isNotNull()).alias("repeat"), "recursive", first.alias("first"), "interceptor")
+
+
+def with_interceptors(entries: DataFrame, interceptors: DataFrame) -> DataFrame:
+    """(flow, symbol, ord, interceptor): the roots of each flow, what runs before its handler first, filters before the others.
+
+    ``entries`` is (flow, application, handler, labels, validated): ``validated`` lists the types that the handler
+    has checked.  ``interceptors`` is (symbol, application, kind, http, validates).  One
+    applies to requests of its application: to all if ``http``, or to handlers of a type that it ``validates``.
+    """
+    known = interceptors.select("application", "symbol", F.col("kind").alias("interceptor"), "http", "validates")
+    applies = F.coalesce("http", F.lit(False)) | F.coalesce(F.array_contains("validated", F.col("validates")), F.lit(False))
+    before = entries.where(F.array_contains("labels", "HttpEndpoint")).join(known, "application").where(applies)
+    before = before.select("flow", "symbol", F.when(F.col("interceptor") == "filter", 0).otherwise(1).alias("ord"), "interceptor")
+    return before.unionByName(entries.select("flow", F.col("handler").alias("symbol"), F.lit(2).alias("ord"), F.lit(None).cast("string").alias("interceptor")))
+
+
+def utilities(calls: DataFrame, significant: DataFrame, least: int = 3) -> DataFrame:
+    """(symbol): functions that at least ``least`` others call and that are not significant (symbol)."""
+    return fan_in(calls, least).select(F.col("callee").alias("symbol")).join(significant.select("symbol"), "symbol", "left_anti")
+
+
+def kept_gaps(unresolved: DataFrame, own_names: DataFrame, io_words: tuple[str, ...]) -> DataFrame:
+    """(symbol, gaps): calls (symbol, line, method, reason) that could not be followed and may matter, by line.
+
+    They matter if their reason is a library type, if some function of the
+    organization (name) has the method's name, or if the name holds a word of input or output.
+    """
+    words = F.lower(F.regexp_replace("method", "([a-z0-9])([A-Z])", "$1 $2"))
+    io = F.arrays_overlap(F.split(words, "[^a-z0-9]+"), F.array(*map(F.lit, io_words)))
+    named = own_names.select(F.col("name").alias("method"), F.lit(True).alias("own")).distinct()
+    kept = unresolved.join(named, "method", "left").where((F.col("reason") == "library type") | F.col("own").isNotNull() | io)
+    one = F.struct("line", F.concat_ws(" ", "method", F.concat(F.lit("("), F.col("reason"), F.lit(")"))).alias("text"))
+    return kept.groupBy("symbol").agg(F.array_sort(F.collect_set(one)).alias("gaps")).select("symbol", F.transform("gaps", lambda g: g["text"]).alias("gaps"))
+
+
+def position(path: str) -> Column:
+    """A path as numbers, by which entries stand in call order."""
+    return F.split(path, r"\.").cast("array<int>")
+
+
+def dressed(entries: DataFrame, significant: DataFrame, gaps: DataFrame, utilities: DataFrame) -> DataFrame:
+    """Entries of ``depth_first`` with ``utility``, ``step`` and ``gaps``.
+
+    ``step`` numbers the visits of a significant function (symbol) in a flow; ``gaps`` (symbol, gaps)
+    stand where a function is expanded, and at every visit of a utility, which never is.
+    """
+    flag = lambda df, name: df.select("symbol", F.lit(True).alias(name)).distinct()
+    marked = entries.join(flag(significant, "significant"), "symbol", "left").join(flag(utilities, "utility"), "symbol", "left").join(gaps.select("symbol", F.col("gaps").alias("all_gaps")), "symbol", "left")
+    visit = F.row_number().over(Window.partitionBy("flow", "symbol").orderBy(position("path")))
+    shows = ~F.col("recursive") & (F.col("first") | F.col("utility").isNotNull())
+    return marked.select(*entries.columns, F.col("utility").isNotNull().alias("utility"), F.when(F.col("significant").isNotNull(), visit).alias("step"), F.when(shows, F.col("all_gaps")).alias("gaps"))
+
+
+def outlined(entries: DataFrame) -> DataFrame:
+    """(flow, path, parent, number): shown entries (flow, path, shown) with their outline number among shown ones, as ``2.1.3``.
+
+    An entry's own number is its place under its nearest shown ancestor; the outline
+    joins the numbers of all shown ancestors, so no level waits for another.
+    """
+    nested = nearest_shown(entries)
+    place = F.row_number().over(Window.partitionBy("flow", "parent").orderBy(position("path")))
+    placed = nested.select("flow", "path", "parent", place.alias("place"))
+    parts = F.split("path", r"\.")
+    whole = placed.select("flow", "path", "parent", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("at"))
+    numbers = whole.join(placed.select("flow", F.col("path").alias("at"), "place"), ["flow", "at"])
+    ordered = F.array_sort(F.collect_list(F.struct(F.length("at").alias("length"), "place")))
+    return numbers.groupBy("flow", "path", "parent").agg(F.array_join(F.transform(ordered, lambda x: x["place"]), ".").alias("number"))
+
+
+def assembled(entries: DataFrame) -> DataFrame:
+    """(flow, functions, steps, entries, interceptors, unresolved, incomplete, symbols): one row per flow from its dressed entries.
+
+    Symbols are distinct in each task before they meet.
     """
-    edges = calls.select("flow", F.col("caller").alias("a"), F.col("callee").alias("b"), F.col("ord").cast("bigint").alias("ord"))
-    starts = roots.select("flow", F.lit(None).cast("string").alias("a"), F.col("symbol").alias("b"), F.lit(0).cast("bigint").alias("ord"))
-
-    def walk(flow, rows: list[tuple]) -> list[tuple]:
-        graph: dict[str, list[str]] = {}
-        first = []
-        for a, b in rows:
-            if a is None:
-                first.append(b)
-            else:
-                graph.setdefault(a, []).append(b)
-        out, expanded = [], set()
-        todo = [(s, str(n), ()) for n, s in reversed(list(enumerate(first, 1)))]
-        while todo:
-            symbol, path, above = todo.pop()
-            recursive = symbol in above
-            repeat = not recursive and symbol in expanded and bool(graph.get(symbol))
-            out.append((flow, path, path.count(".") + 1, symbol, repeat, recursive))
-            if not recursive and symbol not in expanded:
-                expanded.add(symbol)
-                todo += [(s, f"{path}.{n}", (*above, symbol)) for n, s in reversed(list(enumerate(graph.get(symbol, []), 1)))]
-        return out
-
-    columns = ["flow", "path", "depth", "symbol", "repeat", "recursive"]
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flow, rows = None, []
-        for pdf in batches:
-            out = []
-            for f, a, b in zip(pdf["flow"].tolist(), pdf["a"].tolist(), pdf["b"].tolist()):
-                if f != flow:
-                    if rows:
-                        out += walk(flow, rows)
-                    flow, rows = f, []
-                rows.append((a, b))
-            yield pd.DataFrame(out, columns=columns)
-        if rows:
-            yield pd.DataFrame(walk(flow, rows), columns=columns)
-
-    kind = calls.schema["flow"].dataType.simpleString()
-    # flows are streamed from sorted partitions: one at a time in memory, no cost per group
-    sorted_flows = edges.unionByName(starts).where("flow is not null").repartition("flow").sortWithinPartitions("flow", "ord", "b").select("flow", "a", "b")
-    return sorted_flows.mapInPandas(stream, f"flow {kind}, path string, depth int, symbol string, repeat boolean, recursive boolean")
+    lost = F.coalesce(F.size("gaps"), F.lit(0))
+    counted = entries.groupBy("flow", "symbol").agg(
+        F.count("*").alias("entries"), F.count("step").alias("steps"), F.sum(F.greatest(lost, F.lit(0))).alias("unresolved"), F.count("interceptor").alias("interceptors")
+    )
+    out = counted.groupBy("flow").agg(
+        F.count("*").alias("functions"), F.sum("steps").alias("steps"), F.sum("entries").alias("entries"), F.sum("interceptors").alias("interceptors"), F.sum("unresolved").alias("unresolved"), F.array_sort(F.collect_list("symbol")).alias("symbols")
+    )
+    return out.select("flow", "functions", "steps", "entries", "interceptors", "unresolved", (F.col("unresolved") > 0).alias("incomplete"), "symbols")
 
 
 def nearest_shown(entries: DataFrame) -> DataFrame:

@@ -564,14 +564,6 @@ def triage(t):
     return coverage.triage(p, t.part.where("p_size < 17").select(F.col("p_partkey").alias("fingerprint"), F.lit("ignored").alias("state")))
 
 
-@query("trace_dfs", None)
-def trace_dfs(t):
-    s = model.steps(t)
-    calls = s.select("flow", F.concat(F.lit("f"), F.col("part") % 7).alias("caller"), F.concat(F.lit("f"), (F.col("part") + F.col("ord")) % 7).alias("callee"), "ord")
-    roots = s.where("ord = 1").select("flow", F.concat(F.lit("f"), F.col("part") % 7).alias("symbol"))
-    return traces.depth_first(calls, roots)
-
-
 @query("fold", f"with {STEPS}, e as (select flow, (ord % 2 + 1) || '.' || ord || case when ord % 3 = 0 then '.1' else '' end as path, type as does from steps) select flow, split_part(path, '.', 1) as path, array_to_string(list_sort(list_distinct(list(does))), ',') as does, count(*) as entries from e group by 1, 2")
 def fold(t):
     o = F.col("ord")

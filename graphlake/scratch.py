@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Scratch:
@@ -40,6 +41,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def keep_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``keep``, and the number of rows, counted while they are written."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        return out, seen.get["rows"]
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for table in tables:
