@@ -39,6 +39,14 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 19) -> Iter
         yield batch.slice(a, b - a)
 
 
+def texts(column: pa.Array) -> list[str | None]:
+    """The texts of a string column; bytes that are not UTF-8 become the replacement character."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
 #: Bits of a hashed set of keys: 1 MB at first, and by the number of keys up to 32 MB.
 FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 28
 
