@@ -11,22 +11,19 @@ from pyspark.sql import functions as F
 _CLUSTER = r"^[^/:]+(\.svc(\.cluster\.local)?)(:[0-9]+)?$"
 
 
+#: A URL's authority after a scheme, a configured base in place of one, or a bare authority; then the rest.
+_URL = r"(?s)^(?:.*?://([^/]*)|\$?\{[^}]*\}?|([^/{$][^/]*|\$[^{/][^/]*|))(.*)$"
+
+
 def host_and_path(url: Column) -> Column:
     """Struct (host, path): the host is null if unknown; templates and configured bases have none."""
-    after = F.split(url, "://", 2)[1]
-    raw_host = F.when(url.contains("://"), F.substring_index(after, "/", 1)).when(url.rlike(r"^(/|\{|\$\{)"), F.lit("")).otherwise(F.substring_index(url, "/", 1))
-    tail = lambda text: F.concat(F.lit("/"), F.coalesce(F.get(F.split(text, "/", 2), F.lit(1)), F.lit("")))
-    rest = F.when(url.contains("}"), F.split(url, r"\}", 2)[1]).otherwise(F.lit(""))
-    path = (
-        F.when(url.contains("://"), tail(after))
-        .when(url.rlike(r"^(\{|\$\{)"), F.when(rest.startswith("/") | (rest == ""), rest).otherwise(F.concat(F.lit("/"), rest)))
-        .when(url.startswith("/"), url)
-        .otherwise(tail(url))
-    )
-    host = F.regexp_replace(raw_host, "^.*@", "")
-    blank = F.regexp_replace(host, r"\$?\{[^{}]*\}", "#")
-    known = (host != "") & (~host.contains("{") | blank.rlike(_CLUSTER))
-    return F.struct(F.when(known, host).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    part = lambda n: F.regexp_extract(url, _URL, n)
+    host = F.regexp_replace(F.concat(part(1), part(2)), "^.*@", "")
+    based = url.rlike(r"^\$?\{") & ~url.contains("://")
+    slash = F.when(part(3).startswith("/") | (based & (part(3) == "")), "").otherwise("/")
+    # a cluster's host names its service, whatever else of it is set elsewhere
+    known = (host != "") & (~host.contains("{") | F.regexp_replace(host, r"\$?\{[^{}]*\}", "#").rlike(_CLUSTER))
+    return F.struct(F.when(known, host).alias("host"), F.coalesce(F.concat(slash, part(3)), F.lit("")).alias("path"))
 
 
 def config_keys(text: Column) -> Column:
@@ -94,20 +91,22 @@ def outside_path(inside: Column, lead: Column, prefix: Column) -> Column:
     return F.when(lead.rlike(r"[*{]"), F.lit(None).cast("string")).otherwise(F.when(lead == "", bare).otherwise(F.concat(F.lit("/"), lead, F.when(bare == "/", "").otherwise(bare))))
 
 
+#: Connection URLs: a pattern with groups for vendor, host and database, the first that fits counts. Fixed formats.
+CONNECTIONS = (
+    r"^(oracle):(?:[^@]*@)?/*([^/]*)/(.*)$",
+    r"^(oracle):(?:[^@]*@)?/*(.*):([^:]*)$",
+    r"^(sqlserver)://([^;]*)(?=.*;(?:databaseName|database)=([^;]*)|)",
+    r"^(h2):()(?:.*:)?([^:;]*)(?:;.*)?$",
+    r"^(?:[^/]*:)?([^:/+]*)(?:\+[^:/]*)?://(?:[^/?]*@)?([^/?]*)(?:/([^/?]*))?",
+)
+
+
 def database_of(url: Column) -> Column:
-    """Struct (vendor, host, database) of a connection URL without its credentials; null for other text."""
+    """Struct (vendor, host, database) of a connection URL without its credentials; null for other text.  A database inside the process has the host ``embedded``."""
     text = F.regexp_replace(F.trim(url), "^jdbc:", "")
-    ora = F.ltrim(F.regexp_replace(text, "^[^@]*@", ""), F.lit("/"))
-    sql_rest = F.regexp_replace(text, "^sqlserver://", "")
-    general = F.substring_index(F.split(text, "://", 2)[1], "?", 1)
-    vendor = F.substring_index(F.substring_index(F.substring_index(text, "://", 1), "+", 1), ":", -1)
-    make = lambda v, h, d: F.struct(v.alias("vendor"), h.alias("host"), d.alias("database"))
-    return (
-        F.when(text.startswith("oracle:"), make(F.lit("oracle"), F.when(ora.contains("/"), F.substring_index(ora, "/", 1)).otherwise(F.regexp_replace(ora, ":[^:]*$", "")), F.when(ora.contains("/"), F.split(ora, "/", 2)[1]).otherwise(F.substring_index(ora, ":", -1))))
-        .when(text.startswith("sqlserver://"), make(F.lit("sqlserver"), F.substring_index(sql_rest, ";", 1), F.regexp_extract(sql_rest, r"(?:;databaseName=|;database=)([^;]*)", 1)))
-        .when(text.startswith("h2:"), make(F.lit("h2"), F.lit("embedded"), F.substring_index(F.substring_index(text, ":", -1), ";", 1)))
-        .when(text.contains("://"), make(vendor, F.regexp_replace(F.substring_index(general, "/", 1), "^.*@", ""), F.coalesce(F.get(F.split(general, "/"), F.lit(1)), F.lit(""))))
-    )
+    read = lambda pattern: F.struct(*[F.regexp_extract(text, pattern, n).alias(name) for n, name in enumerate(("vendor", "host", "database"), 1)])
+    first = F.coalesce(*[F.when(text.rlike(pattern), read(pattern)) for pattern in CONNECTIONS])
+    return F.when(first["vendor"] == "h2", first.withField("host", F.lit("embedded"))).otherwise(first)
 
 
 def join_path(base: Column, path: Column) -> Column:

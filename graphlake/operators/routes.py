@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..scratch import Scratch
 from . import assembly
 
 
@@ -58,7 +59,8 @@ def link_plan(calls: DataFrame, names: DataFrame, endpoints: DataFrame) -> DataF
     ``endpoint`` is null where that application serves no such path, so that the system can
     say which service it was for.
     """
-    split = calls.select("call", "system", "method", urls.host_and_path(F.col("url")).alias("u")).select("call", "system", "method", F.col("u.host").alias("host"), F.col("u.path").alias("path"))
+    # written, since hosts and paths are read by both joins
+    split = Scratch(calls.sparkSession, "links").keep(calls.select("call", "system", "method", F.inline(F.array(urls.host_and_path(F.col("url"))))), "calls")
     named = assembly.service_links(split.where("host is not null").select("call", "host"), names)
     target = split.join(named, "call").select("call", "system", "method", "path", F.col("id").alias("application"), "certainty")
     return target.select("call", "system", "application", "certainty").join(endpoint_of(target, endpoints), "call", "left")

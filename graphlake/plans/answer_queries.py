@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import answers, dependents, graph, routes
+from ..operators import answers, dependents, graph, labels, routes
+from ..sources import builds
 from . import model
 from .queries import CHANNELS, SQL, USES, query
 
@@ -432,32 +433,65 @@ def invocations(t):
 # ------------------------------------------------------------ small functions
 
 
-@query("source_url", "select p_partkey as part, case when p_size % 4 = 0 or p_size % 5 = 0 then null else 'https://' || case when p_size % 2 = 0 then 'gitlab.org/x' else 'host.org/y' end || case when p_size % 2 = 0 then '/-/blob/' else '/blob/' end || 'c' || p_size || '/src/' || p_brand || case when p_size % 3 > 0 then '#L' || p_size % 3 else '' end end as url from part")
+@query("source_url", """with x as (select o_orderkey as item, o_custkey as c, o_orderkey % 7 as k from orders) select item, case when k in (0, 1) or c % 11 = 0 then null
+  else 'https://' || case when c % 3 = 0 then 'gitlab.c' || c || '.org/x' || item || '/-/blob/' else 'code' || c || '.org/y' || item || '/blob/' end || md5(cast(item as varchar)) || '/src/' || o_orderpriority || '/f' || item || '.py' || case when item % 5 > 0 then '#L' || item % 5 else '' end end as url
+  from x join (select o_orderkey, o_orderpriority from orders) o on o.o_orderkey = x.item""")
 def source_url(t):
-    size = F.col("p_size")
-    clone = F.concat(F.when(size % 5 == 0, "ssh://").otherwise("https://"), F.when(size % 2 == 0, "gitlab.org/x.git").otherwise("host.org/y"))
-    commit = F.when(size % 4 > 0, F.concat(F.lit("c"), size))
-    return t.part.select(F.col("p_partkey").alias("part"), answers.source_url(clone, commit, F.concat(F.lit("src/"), "p_brand"), size % 3).alias("url"))
+    key, c = F.col("o_orderkey"), F.col("o_custkey")
+    host = F.when(c % 3 == 0, F.concat(F.lit("gitlab.c"), c, F.lit(".org/x"), key)).otherwise(F.concat(F.lit("code"), c, F.lit(".org/y"), key))
+    clone = F.concat(F.when(key % 7 == 0, "ssh://").otherwise("https://"), host, F.when(key % 2 == 0, ".git").otherwise(""))
+    commit = F.when(key % 7 == 1, "").when(c % 11 > 0, F.md5(key.cast("string")))
+    path = F.concat(F.lit("src/"), "o_orderpriority", F.lit("/f"), key, F.lit(".py"))
+    return t.orders.select(key.alias("item"), labels.source_url(clone, commit, path, key % 5).alias("url"))
 
 
-@query("containers", "select p_partkey as part, case p_size % 3 when 0 then 'com.' || lower(p_type) || '.C' when 1 then 'app.' || lower(p_type) else lower(p_type) end as container, case p_size % 3 when 0 then 'com.' || lower(p_type) when 1 then 'app.' || lower(p_type) || '.run' else lower(p_type) end as library from part")
+@query("containers", """with x as (select o_orderkey as item, o_orderkey as n, o_custkey as c, o_orderkey % 6 as k from orders) select item,
+  case k when 0 then 'com.c' || c || '.app.sub.Order' || n when 1 then 'app.c' || c || '.M' || n when 2 then 'tool' || n when 3 then 'Order' || n when 4 then 'org.c' || c else 'io.c' || c || '.m' || n || '.deep' end as container,
+  case k when 0 then 'com.c' || c || '.app' when 1 then 'app.c' || c when 2 then 'tool' || n when 3 then 'Order' || n when 4 then 'org.c' || c else 'io.c' || c || '.m' || n end as library from x""")
 def containers(t):
-    kind, size = F.lower("p_type"), F.col("p_size") % 3
-    symbol = F.when(size == 0, F.concat(F.lit("com."), kind, F.lit(".C#run("), "p_size", F.lit(")"))).when(size == 1, F.concat(F.lit("app."), kind, F.lit(".run"))).otherwise(kind)
-    return t.part.select(F.col("p_partkey").alias("part"), answers.container(symbol).alias("container"), answers.library_of(symbol).alias("library"))
+    n, c, k = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 6
+    shapes = [("com.c%d.app.sub.Order%d#run(int)", c, n), ("app.c%d.M%d#go", c, n), ("tool%2$d", c, n), ("Order%2$d", c, n), ("org.c%d.Thing%d", c, n), ("io.c%d.m%d.deep.call", c, n)]
+    symbol = F.coalesce(*[F.when(k == i, F.format_string(f, *args)) for i, (f, *args) in enumerate(shapes)])
+    return t.orders.select(n.alias("item"), labels.container(symbol).alias("container"), labels.library_of(symbol).alias("library"))
+
+
+_SIGNALS = ("one_sided", "external_call", "library", "config_unset", "unknown_hook", "version_unknown", "unread_config", "unparsed", "disagreement")
 
 
-@query("pattern_owners", "select p_partkey as part, case p_size % 5 when 0 then null when 1 then 'lib' || p_size when 2 then 'org.x' when 3 then 'config:a.b' else 'com.y.z' end as owner from part")
+@query("pattern_owners", """with x as (select o_orderkey as item, o_custkey as c, o_orderkey as n from orders) select item, case n % 9 when 1 then case when c % 2 = 0 then 'lib' || c else 'org.c' || c || '.deep' end when 2 then 'lib' || c when 5 then 'lib' || c
+  when 3 then 'config:a' || c || '.b' || n when 6 then 'config:a' || c || '.b' || n when 4 then 'org.c' || c || '.deep' when 8 then 'org.c' || c || '.deep' end as owner from x""")
 def pattern_owners(t):
-    n = F.col("p_size") % 5
-    signal = F.when(n == 0, "one_sided").when(n == 1, "external_call").when(n == 2, "library").when(n == 3, "config_unset").otherwise("unknown_hook")
-    target = F.when(n == 2, "org.x 1.0").when(n == 3, "a.b.c.d").otherwise("com.y.z.w.Thing#run")
-    return t.part.select(F.col("p_partkey").alias("part"), answers.owner_of(signal, target, F.when(n == 1, F.concat(F.lit("lib"), "p_size"))).alias("owner"))
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    signal = F.element_at(F.array(*map(F.lit, _SIGNALS)), (n % 9 + 1).cast("int"))
+    target = F.when((n % 9).isin(2, 5), F.format_string("lib%d 1.%d", c, n)).when((n % 9).isin(3, 6), F.format_string("a%d.b%d.c.d", c, n)).otherwise(F.format_string("org.c%d.deep.er.Thing%d#run", c, n))
+    patterns = t.orders.select(n.alias("item"), signal.alias("signal"), target.alias("target"), F.when(c % 2 == 0, F.format_string("lib%d", c)).alias("library"))
+    return labels.owners(patterns).select("item", "owner")
 
 
-@query("access_texts", """select p_partkey as part, case p_size % 6 when 0 then 'public' when 1 then 'role:A,B' when 2 then 'role:ADMIN' when 3 then 'authenticated' when 4 then 'expression:x > ' || p_size else null end as access from part""")
+@query("access_texts", """with x as (select o_orderkey as item, o_custkey as c, o_orderkey as n from orders) select item, case n % 9 when 0 then 'public' when 1 then 'role:A' || c || ',B' || n when 2 then 'role:R' || n when 3 then 'authenticated' when 4 then 'expression:x > ' || c
+  when 5 then 'denied' when 6 then 'role' when 7 then 'role:A' || c || ',B' when 8 then case when c % 2 = 0 then 'public' end end as access from x""")
 def access_texts(t):
-    n = F.col("p_size") % 6
-    rule = F.when(n == 0, "permitAll").when(n == 1, "hasAnyRole").when(n == 5, "other").otherwise("expression")
-    value = F.when(n == 1, "\"A\", ,'B'").when(n == 2, "hasRole('ADMIN')").when(n == 3, "isAuthenticated()").otherwise(F.concat(F.lit('"x > '), "p_size", F.lit('"')))
-    return t.part.select(F.col("p_partkey").alias("part"), answers.access_text(rule, value).alias("access"))
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    rules = ["permitAll", "hasAnyRole", "expression", "expression", "expression", "denyAll", "hasAuthority", "expression"]
+    rule = F.coalesce(*[F.when(n % 9 == i, r) for i, r in enumerate(rules)], F.when(c % 2 == 0, "expression").otherwise("other"))
+    texts = {1: F.format_string("\"A%d\", ,'B%d'", c, n), 2: F.format_string("isAuthenticated() and hasRole('R%d')", n), 3: F.lit("isAuthenticated() or x"), 4: F.format_string('"x > %d"', c), 7: F.format_string("hasAnyAuthority('A%d', 'B')", c), 8: F.lit("permitAll")}
+    value = F.coalesce(*[F.when(n % 9 == i, v) for i, v in texts.items()])
+    return t.orders.select(n.alias("item"), labels.access_text(rule, value).alias("access"))
+
+
+@query("build_dependencies", """with x as (select p_brand as repo, p_partkey as k, p_size as v, p_name as n from part) select repo, 'm' || k || '/pom.xml' as path, 'org.acme:' || replace(n, ' ', '-') as name, case when k % 3 = 0 then null else cast(v as varchar) || '.0' end as version from x where k % 2 = 0
+  union select repo, 'm' || k || '/build.gradle', 'org.acme:' || replace(n, ' ', '-'), case when k % 5 = 0 then null else '1.' || k end from x where k % 2 = 1
+  union select repo, 'm' || k || '/libs.versions.toml', 'org.acme:cat' || k, case k % 3 when 0 then '2.' || v when 1 then '3.' || v else '4.' || v end from x where k % 7 = 0""")
+def build_dependencies(t):
+    """Build files made of parts: projects, scripts and catalogs with versions named in the same file or repository."""
+    k, v, name = F.col("p_partkey"), F.col("p_size"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
+    pom = F.format_string(
+        "<project><properties><x.version>%d.0</x.version></properties><dependencies><dependency><groupId>org.acme</groupId><artifactId>%s</artifactId><version>${%s}</version></dependency></dependencies></project>",
+        v, name, F.when(k % 3 == 0, "y.version").otherwise("x.version"),
+    )
+    script = F.format_string("ext.v%d = '1.%d'\nimplementation \"org.acme:%s:$%s\"\n", k, k, name, F.when(k % 5 == 0, "none").otherwise(F.concat(F.lit("v"), k)))
+    rich = F.when(k % 3 == 0, F.format_string('version.ref = "v"', v)).when(k % 3 == 1, F.format_string('version = { strictly = "3.%d" }', v)).otherwise(F.format_string('version = { require = "4.%d" }', v))
+    catalog = F.format_string('[versions]\nv = "2.%d"\n[libraries]\nc = { module = "org.acme:cat%d", %s }\n', v, k, rich)
+    files = F.array(F.when(k % 2 == 0, F.struct(F.lit("pom.xml").alias("file"), pom.alias("text"))).otherwise(F.struct(F.lit("build.gradle").alias("file"), script.alias("text"))), F.when(k % 7 == 0, F.struct(F.lit("libs.versions.toml").alias("file"), catalog.alias("text"))))
+    made = t.part.select(F.col("p_brand").alias("repo"), k.alias("k"), F.explode(F.filter(files, lambda f: f.isNotNull())).alias("f"))
+    return builds.dependencies(made.select("repo", F.concat(F.lit("m"), "k", F.lit("/"), "f.file").alias("path"), F.col("f.file").alias("file"), F.col("f.text").cast("binary").alias("content")))

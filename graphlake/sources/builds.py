@@ -1,4 +1,8 @@
-"""Libraries that build files declare: Gradle scripts, version catalogs and Maven projects, with their versions resolved."""
+"""Libraries that build files declare: Gradle scripts, version catalogs and Maven projects, with their versions resolved.
+
+A file becomes rows of what stands in it, (section, entry, field, value): a library
+is an entry with fields, a variable an entry with a value.  Versions are found by joins of these rows.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .config import is_test_file
+
 _NAME = r"[A-Za-z0-9_.\-]+"
 #: Notations of a Gradle script; each gives a name and, perhaps, a version. Groups: g and a, or p; v.
 _NOTATIONS = [
@@ -26,79 +32,103 @@ _ASSIGNED = [
 #: A version that is a variable: ``$x``, ``${x}``, ``${project.x}``, ``${property('x')}``.
 _REFERENCE = r"^\$\{?(?:project\.)?(?:(?:findProperty|property)\(\s*['\"])?([\w.\-]+)(?:['\"]\s*\))?\}?$"
 
+Leaf = tuple[str, str, str, str]
 
-def _script(text: str) -> Iterator[tuple[str, str, str | None]]:
-    for notation in _NOTATIONS:
-        for m in notation.finditer(text):
-            found = m.groupdict()
-            yield "library", found["p"] if found.get("p") else f"{found['g']}:{found['a']}", found["v"]
+
+def _script(text: str) -> Iterator[Leaf]:
+    libraries = (m for notation in _NOTATIONS for m in notation.finditer(text))
+    for n, m in enumerate(libraries):
+        found = m.groupdict()
+        yield "libraries", str(n), "module", found["p"] if found.get("p") else f"{found['g']}:{found['a']}"
+        if found["v"]:
+            yield "libraries", str(n), "version", found["v"]
     for assigned in _ASSIGNED:
         for m in assigned.finditer(text):
-            yield "variable", m["k"].rsplit(".", 1)[-1], m["v"]
+            yield "variables", m["k"].removeprefix("project.").removeprefix("ext."), "", m["v"]
+
 
+def _settings(text: str) -> Iterator[Leaf]:
+    for line in text.splitlines():
+        key, given, value = line.partition("=")
+        if given and not key.lstrip().startswith("#"):
+            yield "variables", key.strip(), "", value.strip()
 
-def _catalog(text: str) -> Iterator[tuple[str, str, str | None]]:
-    table = tomllib.loads(text)
-    versions = {k: v for k, v in table.get("versions", {}).items() if isinstance(v, str)}
 
-    def version(entry: dict) -> str | None:
-        v = entry.get("version")
-        return versions.get(v.get("ref", "")) if isinstance(v, dict) else v
+def _nested(value: dict, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
+    for k, v in value.items():
+        if isinstance(v, dict):
+            yield from _nested(v, (*at, k))
+        elif isinstance(v, str):
+            yield (*at, k), v
 
-    for entry in table.get("libraries", {}).values():
-        if isinstance(entry, str):
-            group, artifact, *rest = [*entry.split(":"), ""]
-            yield "library", f"{group}:{artifact}", rest[0] or None
-        else:
-            yield "library", entry.get("module") or f"{entry.get('group')}:{entry.get('name')}", version(entry)
-    for entry in table.get("plugins", {}).values():
-        if isinstance(entry, str):
-            yield "library", entry.split(":")[0], (entry.split(":") + [None])[1]
-        else:
-            yield "library", str(entry.get("id")), version(entry)
 
+def _catalog(text: str) -> Iterator[Leaf]:
+    for (section, *where), value in _nested(tomllib.loads(text)):
+        if where:
+            yield section, where[0], ".".join(where[1:]), value
 
-def _project(text: str) -> Iterator[tuple[str, str, str | None]]:
-    root = ElementTree.fromstring(text)
+
+def _project(text: str) -> Iterator[Leaf]:
     tag = lambda e: e.tag.rsplit("}", 1)[-1]
-    for e in root.iter():
-        inner = {tag(c): (c.text or "").strip() for c in e}
-        if tag(e) == "properties":
-            for k, v in inner.items():
-                yield "variable", k, v
-        elif tag(e) in ("dependency", "plugin", "parent") and inner.get("artifactId"):
-            yield "library", f"{inner.get('groupId') or 'org.apache.maven.plugins'}:{inner['artifactId']}", inner.get("version") or None
+    for n, e in enumerate(ElementTree.fromstring(text).iter()):
+        for c in e:
+            value = (c.text or "").strip()
+            if tag(e) == "properties" and value:
+                yield "variables", tag(c), "", value
+            elif tag(e) in ("dependency", "plugin", "parent") and value:
+                yield tag(e), str(n), tag(c), value
+
+
+#: How the files of a name are read.
+_READERS = [(".gradle", _script), (".gradle.kts", _script), ("gradle.properties", _settings), (".versions.toml", _catalog), ("pom.xml", _project)]
 
 
 def declared(found: DataFrame) -> DataFrame:
-    """(repo, path, kind, name, version): libraries and variables as they stand in build files (repo, path, file, content); a file that cannot be read has none."""
+    """(repo, path, file, section, entry, field, value): what stands in build files (repo, path, file, content) outside tests; a file that cannot be read has no rows."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["repo", "path", "kind", "name", "version"]
+        names = ["repo", "path", "file", "section", "entry", "field", "value"]
         for batch in batches:
             rows = []
             for repo, path, file, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text = (content or b"").decode("utf-8", "replace")
-                kind = _script if file.endswith((".gradle", ".gradle.kts")) else _catalog if file.endswith(".versions.toml") else _project if file == "pom.xml" else None
+                reader = next((r for end, r in _READERS if file.endswith(end)), None)
                 try:
-                    rows += [dict(zip(names, (repo, path, *row))) for row in (kind(text) if kind else ())]
+                    rows += [dict(zip(names, (repo, path, file, *leaf))) for leaf in (reader((content or b"").decode("utf-8", "replace")) if reader else ())]
                 except (ElementTree.ParseError, tomllib.TOMLDecodeError):
                     continue
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.string()) for n in names]))
 
-    return found.select(F.col("repo").cast("string"), "path", "file", "content").mapInArrow(parse, "repo string, path string, kind string, name string, version string")
+    build = found.where(~is_test_file(F.col("path"))).select(F.col("repo").cast("string"), "path", "file", "content")
+    return build.mapInArrow(parse, "repo string, path string, file string, section string, entry string, field string, value string")
 
 
 def dependencies(found: DataFrame) -> DataFrame:
-    """(repo, path, name, version): libraries, a version that names a variable of the repository being its value; null where none is known.
+    """(repo, path, name, version): libraries with their versions; null where none is known.
 
-    A variable that is given several values has the first by path, then by value.
+    A version that names a variable has its value: in a Maven project of the same file, in a Gradle script of
+    any script or settings of the repository, the first by path, then by value; a name with dots is also looked up by its last part.  A catalog's version
+    is one of its own table, or what it says strictly or requires.
     """
-    rows = declared(found)
-    values = rows.where("kind = 'variable'").groupBy("repo", F.col("name").alias("key")).agg(F.min_by("version", F.struct("path", "version")).alias("value"))
-    libraries = rows.where("kind = 'library'").select("repo", "path", "name", "version", F.substring_index(F.regexp_extract("version", _REFERENCE, 1), ".", -1).alias("last"), F.regexp_extract("version", _REFERENCE, 1).alias("whole"))
-    # a Maven property is named whole, a script's variable by its last part
-    named = libraries.withColumn("key", F.when(F.col("path").endswith("pom.xml"), F.col("whole")).otherwise(F.col("last")))
-    both = named.join(values, ["repo", "key"], "left")
-    version = F.when(F.contains("version", F.lit("$")), F.when(F.col("key") != "", F.col("value"))).otherwise(F.col("version"))
-    return both.select("repo", "path", "name", version.alias("version")).distinct()
+    leaves = declared(found)
+    field = lambda *names: F.coalesce(*[F.max(F.when(F.col("field") == n, F.col("value"))) for n in names])
+    entries = leaves.where(F.col("section").isin("libraries", "plugins", "dependency", "plugin", "parent")).groupBy("repo", "path", "file", "section", "entry").agg(
+        field("").alias("line"), field("module", "id").alias("module"), field("group", "groupId").alias("group"), field("name", "artifactId").alias("artifact"), field("version").alias("said"), field("version.ref").alias("ref"), field("version.strictly", "version.require").alias("rich")
+    )
+    # an entry may be one text: the last of three pieces, or of two of a plugin, is its version
+    words = F.split("line", ":")
+    size = F.when(F.col("section") == "plugins", 1).otherwise(2)
+    maven = F.col("section").isin("dependency", "plugin", "parent")
+    group = F.coalesce("group", F.when(F.col("section") == "plugin", "org.apache.maven.plugins"))
+    name = F.coalesce("module", F.when(F.col("artifact").isNotNull() & (group.isNotNull() | ~maven), F.concat_ws(":", group, "artifact")), F.array_join(F.slice(words, F.lit(1), size), ":"))
+    libraries = entries.select("repo", "path", "file", maven.alias("maven"), name.alias("name"), F.coalesce("said", F.nullif(F.get(words, size), F.lit(""))).alias("said"), "ref", "rich").where("name is not null")
+
+    catalog = leaves.where("section = 'versions' and field = ''").select("repo", "path", F.col("entry").alias("ref"), F.col("value").alias("listed"))
+    own_file = F.col("file") == "pom.xml"
+    variables = leaves.where("section = 'variables'").groupBy("repo", F.when(own_file, F.col("path")).alias("scope"), F.col("entry").alias("key")).agg(F.min_by("value", F.struct("path", "value")).alias("value")).withColumn("scope", F.coalesce("scope", F.lit("")))
+    whole = F.nullif(F.when(F.col("maven"), F.regexp_extract("said", r"^\$\{(.+)\}$", 1)).otherwise(F.regexp_extract(F.trim("said"), _REFERENCE, 1)), F.lit(""))
+    asked = libraries.withColumns({"scope": F.when(F.col("maven"), F.col("path")).otherwise(""), "whole": whole, "last": F.when(~F.col("maven"), F.substring_index(whole, ".", -1))})
+    by = lambda key, value: variables.select("repo", "scope", F.col("key").alias(key), F.col("value").alias(value))
+    joined = asked.join(by("whole", "of_whole"), ["repo", "scope", "whole"], "left").join(by("last", "of_last"), ["repo", "scope", "last"], "left").join(catalog, ["repo", "path", "ref"], "left")
+    literal = F.when(~F.col("said").contains("$"), F.col("said"))
+    value = F.coalesce("listed", "rich", literal, "of_whole", "of_last")
+    return joined.select("repo", "path", "name", F.when(~value.contains("$"), value).alias("version")).distinct()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphlake.operators import answers, assembly, dependents, graph, routes
+from graphlake.operators import answers, assembly, dependents, graph, labels, routes
 
 
 def rows(df):
@@ -78,5 +78,5 @@ def test_sources_of_no_rows_and_nulls(spark):
 
 def test_names_of_symbols(spark):
     df = spark.createDataFrame([("org.acme.tax.Rates#of(int)",), ("core.run",), ("Rates",), ("",), (None,)], "s string")
-    got = [tuple(r) for r in df.select(answers.container(F.col("s")), answers.library_of(F.col("s"))).collect()]
+    got = [tuple(r) for r in df.select(labels.container(F.col("s")), labels.library_of(F.col("s"))).collect()]
     assert got == [("org.acme.tax.Rates", "org.acme.tax"), ("core", "core.run"), ("Rates", "Rates"), ("", None), (None, None)]
