@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, slices, texts
 
 #: Characters with the White_Space property; a fixed value of Unicode.
 WHITE_SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0                　"
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     the same pass: one Python worker per task holds the caches instead of two.
 
     ``path`` is a file that each machine of the cluster has.  Null and empty texts
-    have no tokens; repeated rows are encoded each; no rows give no rows; columns
+    have no tokens; bytes that are not UTF-8 are encoded as the replacement character; repeated rows are encoded each; no rows give no rows; columns
     named in ``keep`` pass through unread, others are ignored.
     """
     keep = keep or []
@@ -343,12 +343,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for part in slices(batch, 1):
                 with _without_collector():
-                    ids = [tokenizer.encode(t) if t else [] for t in part.column(1).to_pylist()]
+                    ids = [tokenizer.encode(t) if t else [] for t in texts(part.column(1))]
                 columns, names = [part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
                 if decoded:
                     vocabulary = tokenizer.transducer.bytes_of
-                    texts = ["".join(decode_stream((x[i : i + chunk] for i in range(0, len(x), chunk)), vocabulary)) for x in ids]
-                    columns.append(pa.array(texts, pa.string()))
+                    back = ["".join(decode_stream((x[i : i + chunk] for i in range(0, len(x), chunk)), vocabulary)) for x in ids]
+                    columns.append(pa.array(back, pa.string()))
                     names.append("text")
                 columns += [part.column(2 + i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, names + [f"k{i}" for i in range(len(keep))])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, slices, texts
 
 #: Characters of a block; a phrase ends where its block ends.
 BLOCK = 256
@@ -233,12 +233,12 @@ class CrossParser:
 def training_texts(labelled: DataFrame, per_language: int = 200, max_chars: int = 30_000, max_languages: int = 256) -> dict[str, list[str]]:
     """A bounded sample for each language: the ``per_language`` rows whose id hashes lowest, an eighth of ``max_chars`` of each text.
 
-    The sample is bounded by its parameters; more than ``max_languages`` labels raise.  The
-    rank filter is applied before rows are exchanged.
+    The sample is bounded by its parameters: of more than ``max_languages`` labels the commonest are
+    learned, of equally common ones the first by name.  The rank filter is applied before rows are exchanged.
     """
-    labels = labelled.where("lang is not null").select("lang").distinct().limit(max_languages + 1).count()
-    if labels > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    counted = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
+    if len(counted) > max_languages:
+        labelled = labelled.where(F.col("lang").isin([r["lang"] for r in counted[:max_languages]]))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     cut = F.substring("text", 1, max_chars // 8)  # so that a language is learned from eight texts at least
     rows = labelled.where("lang is not null and length(text) > 0").select("doc_id", "lang", cut.alias("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
@@ -255,7 +255,8 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     has no letter.  ``score`` is one less the share of phrases, each divided by its
     language's norm, that the winner needs of what the next language needs; 1 if there is but one language, 0 for
     ``und``.  Labels that are null teach nothing; without labels all is ``und``;
-    repeated rows are judged each; no rows give no rows.  Columns named in
+    repeated rows are judged each; no rows give no rows; bytes that are not UTF-8 are read as the
+    replacement character.  Columns named in
     ``keep`` pass through unread.
     """
     source = labelled.select(labelled[id_col].alias("doc_id"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang"))
@@ -267,7 +268,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
         model = shared.value
         for batch in batches:
             for part in slices(batch, 1):
-                names, scores = model.predict(part.column(1).to_pylist())
+                names, scores = model.predict(texts(part.column(1)))
                 rest = [part.column(at) for at in places]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *rest], ["doc_id", "lang_pred", "score", *[f"k{i}" for i in range(len(keep))]])
 

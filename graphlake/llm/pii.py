@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, slices, texts as texts_of
 from .wordhash import _BYTE, _LOWER, Words, byte_ranges
 
 # ---------------------------------------------------------------- fixed patterns
@@ -425,7 +425,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for part in slices(batch, 1):
-                texts = part.column(1).to_pylist()
+                texts = texts_of(part.column(1))
                 base = [base_spans(t) if t else [] for t in texts]
                 added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
                 w = Words(part.column(1))

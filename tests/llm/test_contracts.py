@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from graphlake.llm import langid, mixing, pii, secrets
+from graphlake.llm import bpe, langid, mixing, pii, secrets
 
 # ---------------------------------------------------------------- the contract's patterns, word for word
 
@@ -244,3 +244,28 @@ def test_one_language_and_ties(spark):
     assert tied[100] == "a" and tied[101] == langid.UNDETERMINED
     single = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, docs.where(F.col("lang") == "b")).collect()}
     assert single[100] == ("b", 1.0) and single[101] == (langid.UNDETERMINED, 0.0)
+
+
+# ---------------------------------------------------------------- bytes that are not UTF-8, many labels
+
+
+def test_bytes_that_are_not_utf8_are_read_as_the_replacement_character(spark):
+    import public_tokenizers
+
+    raw = spark.createDataFrame([(1, bytearray(b"\xff mail a@b.org \xc3")), (2, bytearray(b"plain text")), (None, None)], "doc_id bigint, b binary")
+    docs = raw.selectExpr("doc_id", "cast(b as string) as text", "cast('en' as string) as lang")
+    assert {r.doc_id: [(s.kind, s.start) for s in r.base] for r in pii.find(docs).collect()} == {1: [("email", 7)], 2: [], None: []}
+    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True).collect()
+    plain = bpe.encode(spark.createDataFrame([(1, "� mail a@b.org �"), (2, "plain text"), (None, None)], "doc_id bigint, text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted(map(str, ids)) == sorted(map(str, plain))
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, docs).collect()} == {1: "en", 2: "en", None: "und"}
+
+
+def test_more_labels_than_the_bound(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} " * 30, f"l{i % 300:03}", None) for i in range(600)] + [(1000 + i, "etwas ganz anderes steht hier", "de", None) for i in range(9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taught = langid.training_texts(docs.select("doc_id", "text", "lang"), max_languages=20)
+    # the commonest labels, of equal ones the first by name
+    assert sorted(taught) == ["de", *[f"l{i:03}" for i in range(19)]]
+    got = langid.identify(docs, docs, per_language=2, max_chars=400).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id >= 1000} == {"de"}
