@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..scratch import Scratch
 
 
@@ -54,9 +55,39 @@ def grouped(found: DataFrame, places: DataFrame) -> DataFrame:
     return flows.groupBy(name("application", "?"), name("space", "no space")).agg(F.min("hops").alias("hops"), F.count("*").alias("flows"))
 
 
+def targets_of(refs: DataFrame, exposes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(ref, target): what depending on a node (ref, kind) means: the interfaces of an application (application, interface), what starts a flow (target, flow), else the node itself."""
+    kind = F.coalesce("kind", F.lit(""))
+    of_applications = refs.where(kind == "application").join(exposes.select(F.col("application").alias("ref"), F.col("interface").alias("target")), "ref").select("ref", "target")
+    of_flows = refs.where(kind == "flow").join(starts.select(F.col("flow").alias("ref"), "target"), "ref").select("ref", "target")
+    return refs.where(~kind.isin("application", "flow")).select("ref", F.col("ref").alias("target")).unionByName(of_applications).unionByName(of_flows).distinct()
+
+
+def by_call_site(found: DataFrame, effects: DataFrame) -> DataFrame:
+    """(flow, hops, type, target, operation, file, line): what ``upstream`` found, a row for each operation and call site.
+
+    ``effects`` is (flow, type, target, operation, file, line, sites): sites are texts of a line and, perhaps, an
+    operation (``120 upsert``); without any the effect's own line is its site.
+    """
+    sites = F.when(F.size("sites") > 0, text.call_sites(F.col("sites")))
+    at = effects.select("flow", "type", "target", "operation", "file", "line", F.explode_outer(sites).alias("site"))
+    placed = at.select("flow", "type", "target", F.coalesce("site.operation", "operation").alias("operation"), "file", F.when(F.col("site").isNull(), F.col("line")).otherwise(F.col("site.line")).alias("line")).distinct()
+    return found.join(placed, ["flow", "type", "target"]).select("flow", "hops", "type", "target", "operation", "file", "line")
+
+
 def possible_callers(unknown: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(call, endpoint): calls (call, method, shape) whose host is not known, and endpoints of the same method and shape of path."""
-    return unknown.join(endpoints.select("endpoint", "method", "shape"), ["method", "shape"]).select("call", "endpoint")
+    """(call, endpoint, exact): calls (call, method, shape) whose host is not known, and endpoints of the same method whose path they have or end with.
+
+    A base address may put segments before an endpoint's path, never half of one: each call
+    is looked up by its path and by every path that is left without its first segments.
+    Nothing ends with the bare root.
+    """
+    parts = F.slice(F.split("shape", "/"), 2, 1 << 20)
+    n = F.size(parts)
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.struct(F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.greatest(n - i + 1, F.lit(0))), "/")).alias("shape"), F.lit(False).alias("exact")))
+    keys = F.concat(F.array(F.struct(F.col("shape"), F.lit(True).alias("exact"))), F.filter(tails, lambda k: F.length(k["shape"]) > 1))
+    asked = unknown.select("call", F.upper("method").alias("method"), F.inline(keys))
+    return asked.join(endpoints.select("endpoint", "method", "shape"), ["method", "shape"]).groupBy("call", "endpoint").agg(F.bool_or("exact").alias("exact"))
 
 
 def target_place(targets: DataFrame) -> DataFrame:
@@ -69,8 +100,6 @@ def neighbours(edges: DataFrame, nodes: DataFrame, most: int = 40) -> DataFrame:
     ends = edges.select(F.col("dst").alias("node"), F.lit("in").alias("direction"), "type", F.col("src").alias("other")).unionByName(
         edges.select(F.col("src").alias("node"), F.lit("out").alias("direction"), "type", F.col("dst").alias("other"))
     )
-    from pyspark.sql import Window
-
     some = ends.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
     key = ["node", "direction", "type"]
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("other")))

@@ -48,3 +48,33 @@ def within_budget(rows: DataFrame, group: str, order: str, cost: Column, budget:
     w = Window.partitionBy(group).orderBy(order)
     running = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_spent", running).withColumn("_nth", F.row_number().over(w)).where((F.col("_spent") <= budget) | (F.col("_nth") <= least)).drop("_spent", "_nth")
+
+
+def cut_to_budget(items: DataFrame, inner: DataFrame, fixed: int, budget: int, first: str = "citations", least: int = 3) -> DataFrame:
+    """(answer, what, cut): how many items each list of an answer loses so that the answer takes ``budget`` bytes.
+
+    ``items`` is (answer, list, place, item, bytes): lists of an answer in order of ``place``, items in order of ``item``;
+    ``inner`` (item, inner, order, bytes) are lists inside items.  ``fixed`` bytes are in every answer.
+
+    Items go from the ends of lists: first of the list ``first``, down to ``least``; then always of the list
+    that takes most, down to one; then of lists inside the items that are left, down to one.
+    An answer may stay over its budget.  No loop is needed: a list's size before it loses an item is
+    the sum up to that item, so the items of all lists go in falling order of that sum,
+    and as many go as must to free what is over.
+    """
+    own = Window.partitionBy("answer", "list").orderBy("item")
+    parts = inner.withColumn("iat", F.row_number().over(Window.partitionBy("item", "inner").orderBy("order")))
+    inside = inner.groupBy("item").agg(F.sum("bytes").alias("inside"))
+    sized = items.join(inside, "item", "left").withColumn("bytes", F.col("bytes") + F.coalesce("inside", F.lit(0))).drop("inside")
+    sized = sized.withColumns({"at": F.row_number().over(own), "upto": F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    over = sized.groupBy("answer").agg((F.sum("bytes") + fixed - budget).alias("over"))
+    early = (F.col("list") == first) & (F.col("at") > least)
+    rank = lambda stage, *by: F.struct(F.lit(stage).alias("stage"), *[c.cast("bigint").alias(f"r{i}") for i, c in enumerate(by)])
+    zero = F.lit(0)
+    events = sized.where("at > 1").select("answer", F.col("list").alias("what"), F.when(early, rank(1, -F.col("at"), zero, zero, zero)).otherwise(rank(2, -F.col("upto"), F.col("place"), zero, zero)).alias("rank"), "bytes")
+    deep = sized.where("at = 1").select("answer", "list", "place", "item").join(parts, "item").where("iat > 1")
+    names = Window.partitionBy("answer", "item").orderBy("inner")
+    deep = deep.withColumn("which", F.dense_rank().over(names))
+    events = events.unionByName(deep.select("answer", F.concat_ws(".", "list", "inner").alias("what"), rank(3, F.col("place"), F.col("which"), -F.col("iat"), zero).alias("rank"), "bytes"))
+    freed = F.coalesce(F.sum("bytes").over(Window.partitionBy("answer").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), zero)
+    return events.withColumn("freed", freed).join(over, "answer").where("freed < over").groupBy("answer", "what").agg(F.count("*").alias("cut"))

@@ -67,11 +67,36 @@ def neighbours(t):
     return found.withColumn("others", F.array_join(F.col("others").cast("array<string>"), ","))
 
 
-@query("possible_callers", "with u as (select l_orderkey * 10 + l_linenumber as call, case when l_returnflag = 'N' then 'GET' else 'POST' end as method, '/p/' || (l_partkey % 40) as shape from lineitem), e as (select p_partkey as endpoint, case when p_size % 2 = 0 then 'GET' else 'POST' end as method, '/p/' || (p_partkey % 400) as shape from part where p_size > 45) select distinct u.call, e.endpoint from u join e using (method, shape)")
+_CALL_SHAPES = """u as (select l_orderkey * 10 + l_linenumber as call, case when l_returnflag = 'N' then 'GET' else 'POST' end as method, case l_linenumber % 3 when 0 then '' when 1 then '/v1' else '/v1/api' end || '/p/' || (l_partkey % 40) as shape from lineitem),
+  e as (select p_partkey as endpoint, case when p_size % 2 = 0 then 'GET' else 'POST' end as method, case when p_partkey % 3 = 0 then '/' || (p_partkey % 40) when p_partkey % 3 = 1 then '/p/' || (p_partkey % 400) when p_size = 47 then '/' else '/api/p/' || (p_partkey % 40) end as shape from part where p_size > 46)"""
+
+
+@query("possible_callers", f"with {_CALL_SHAPES} select call, endpoint, bool_or(u.shape = e.shape) as exact from u join e on u.method = e.method and (u.shape = e.shape or (length(e.shape) > 1 and ends_with(u.shape, e.shape))) group by call, endpoint")
 def possible_callers(t):
-    calls = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call"), F.when(F.col("l_returnflag") == "N", "GET").otherwise("POST").alias("method"), F.concat(F.lit("/p/"), F.col("l_partkey") % 40).alias("shape"))
-    endpoints = t.part.where("p_size > 45").select(F.col("p_partkey").alias("endpoint"), F.when(F.col("p_size") % 2 == 0, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/p/"), F.col("p_partkey") % 400).alias("shape"))
-    return dependents.possible_callers(calls, endpoints).distinct()
+    line, k, size = F.col("l_linenumber") % 3, F.col("p_partkey"), F.col("p_size")
+    shape = F.concat(F.when(line == 0, "").when(line == 1, "/v1").otherwise("/v1/api"), F.lit("/p/"), F.col("l_partkey") % 40)
+    calls = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call"), F.when(F.col("l_returnflag") == "N", "get").otherwise("POST").alias("method"), shape.alias("shape"))
+    path = F.when(k % 3 == 0, F.concat(F.lit("/"), k % 40)).when(k % 3 == 1, F.concat(F.lit("/p/"), k % 400)).when(size == 47, "/").otherwise(F.concat(F.lit("/api/p/"), k % 40))
+    return dependents.possible_callers(calls, t.part.where("p_size > 46").select(k.alias("endpoint"), F.when(size % 2 == 0, "GET").otherwise("POST").alias("method"), path.alias("shape")))
+
+
+@query("dependents_sites", f"""with {_up_sql(', '.join(map(repr, _EFFECTS)))}, fx as (select distinct flow, type, part as target, line from uses) select up.flow, hops, up.type, up.target, case when x.line % 3 = 0 then null when s.n = 2 then 'upsert' else 'op' || x.line end as operation, 'f' || x.line as file, cast(case when x.line % 3 = 0 then x.line else x.line * 10 + s.n end as integer) as line
+  from up join fx x using (flow, type, target) join (values (1), (2)) s(n) on x.line % 3 > 0 or s.n = 1""")
+def dependents_sites(t):
+    """Who touches the first part, a row for each call site."""
+    line = F.col("line")
+    sites = F.when(line % 3 > 0, F.array(F.concat((line * 10 + 1).cast("string")), F.concat((line * 10 + 2).cast("string"), F.lit(" upsert"))))
+    effects = model.uses(t).select("flow", "type", F.col("part").alias("target"), F.when(line % 3 > 0, F.concat(F.lit("op"), line)).alias("operation"), F.concat(F.lit("f"), line).alias("file"), "line", sites.alias("sites")).distinct()
+    return dependents.by_call_site(_up(t), effects)
+
+
+@query("targets_of", """with r as (select 'a' || s_suppkey as ref, 'application' as kind from supplier union all select 'f' || o_orderkey, 'flow' from orders union all select 'p' || p_partkey, null from part),
+  x as (select distinct 'a' || l_suppkey as ref, 'p' || l_partkey as target from lineitem where l_quantity > 40 union select 'f' || o_orderkey, 't' || o_custkey from orders where o_orderkey % 3 > 0) select ref, target from x join r using (ref) union select ref, ref from r where kind is null""")
+def targets_of(t):
+    name = lambda lead, c: F.concat(F.lit(lead), c)
+    refs = t.supplier.select(name("a", "s_suppkey").alias("ref"), F.lit("application").alias("kind")).unionByName(t.orders.select(name("f", "o_orderkey").alias("ref"), F.lit("flow").alias("kind"))).unionByName(t.part.select(name("p", "p_partkey").alias("ref"), F.lit(None).cast("string").alias("kind")))
+    exposes = t.lineitem.where("l_quantity > 40").select(name("a", "l_suppkey").alias("application"), name("p", "l_partkey").alias("interface"))
+    return dependents.targets_of(refs, exposes, t.orders.where("o_orderkey % 3 > 0").select(name("t", "o_custkey").alias("target"), name("f", "o_orderkey").alias("flow")))
 
 
 @query("target_place", "select p_partkey as part, coalesce(case when p_size % 5 = 0 then 'app' || p_size end, case when p_size % 3 = 0 then 'db' || p_size end, case when p_size % 2 = 0 then 'store' end, 'external') as place from part")
