@@ -157,10 +157,9 @@ def test_incremental_is_idempotent(spark, tmp_path):
         os.makedirs(source, exist_ok=True)
         shutil.move(glob.glob(f"{source}-{n}/part-*.parquet")[0], f"{source}/{n}.parquet")
         incremental.run(spark, source, schema, "id", "at", work).awaitTermination()
-    log = sorted((r.batch, r.id, r.change) for r in incremental.changes(spark, work).collect())
-    assert log == [(0, 1, "add"), (0, 2, "add"), (1, 2, "modify"), (1, 3, "add")]
-    last = spark.read.parquet(f"{work}/states/batch=0000000002")
-    assert sorted((r.id, r.v) for r in last.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    log = sorted((r.batch, r.id, r.change, r.old and r.old.v, r.new.v) for r in incremental.changes(spark, work).collect())
+    assert log == [(0, 1, "add", None, "a"), (0, 2, "add", None, "b"), (1, 2, "modify", "b", "c"), (1, 3, "add", None, "d")]
+    assert sorted((r.id, r.v, r["at"]) for r in incremental.current(spark, work, schema, "id").collect()) == [(1, "a", 1), (2, "c", 2), (3, "d", 2)]
 
 
 @pytest.fixture
