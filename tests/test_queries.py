@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from graphlake.plans import answer_queries, flow_queries, more_queries, search_queries, value_queries  # noqa: F401
+from graphlake.plans import answer_queries, flow_queries, more_queries, search_queries, value_queries, write_queries  # noqa: F401
 from graphlake.plans.queries import QUERIES, SQL
 
 FOLDER = os.environ.get("GRAPHLAKE_TABLES", "/root/testdata/sf0.001")
