@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, Scratch, key_filter, marked
+from .common import Scratch, key_filter, marked
+from .common import filter_bits as bits_for
 
 
 def normalised(text: Column) -> Column:
@@ -23,17 +24,17 @@ def exact_dedup(
     text_col: str = "text",
     carry: dict[str, Column] | None = None,
     prefix_chars: int = 64,
-    filter_bits: int = FILTER_BITS,
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, *carry): one row for every row of ``docs``.
 
     1. One scan gives (id, length, hash of the first ``prefix_chars`` characters);
        groups by length, then by length and prefix hash, lose all groups of one.
-    2. What survives is marked in a bitmap of ``filter_bits`` bits (1 MB by
-       default, whatever the input), broadcast to a second scan, which computes
+    2. What survives is counted while it is written and marked in a bitmap of eight bits a group (``filter_bits`` if
+       given; 1 MB at least, 32 MB at most), broadcast to a second scan, which computes
        the full SHA-256 of marked rows only.  A row marked by chance costs one
-       hash and changes nothing; past about ``filter_bits`` surviving groups the
-       filter lets most rows through, and the result is the same.
+       hash and changes nothing; past some tens of millions of surviving groups the
+       filter lets more and more rows through, and the result is the same.
     3. Rows with a full hash are grouped by it: map-side minimum and count.  Groups
        of two or more are written, then joined back, so that the planner may split
        the rows of a very large group.
@@ -50,11 +51,12 @@ def exact_dedup(
 
     by_length = scratch.keep(docs.select(n.alias("n"), p.alias("p")).groupBy("n", "p").agg(F.count("*").alias("rows")), "prefixes")
     lengths = by_length.groupBy("n").agg(F.sum("rows").alias("of_length")).where("of_length > 1")
-    survive = by_length.where("rows > 1").join(lengths, "n", "left_semi")
-    filters = key_filter(survive, "n", "p", bits=filter_bits)
+    survive, groups_left = scratch.keep_counted(by_length.where("rows > 1").join(lengths, "n", "left_semi").select("n", "p"), "survive")
+    bits = filter_bits or bits_for(groups_left)
+    filters = key_filter(survive, "n", "p", bits=bits)
 
     scanned = docs.select(docs[id_col].alias("doc_id"), text.alias("_text"), n.alias("n"), p.alias("p"), *[c.alias(k) for k, c in carry.items()])
-    tested = marked(scanned, "_some", filters, "n", "p", bits=filter_bits)
+    tested = marked(scanned, "_some", filters, "n", "p", bits=bits)
     hashed = tested.select("doc_id", F.when(F.col("_some"), F.sha2("_text", 256)).alias("full"), *carry)
     hashed = scratch.keep(hashed, "hashed")
 

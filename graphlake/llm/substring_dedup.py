@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, key_filter, marked, slices
+from .common import Scratch, bounded_batches, filter_bits, key_filter, marked, slices
 from .wordhash import Words
 
 
@@ -138,13 +138,14 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([_signed(x[keep]), _signed(y[keep]), pa.array(owner[keep])], ["x", "y", "doc_id"])
 
     # only texts that have an open run cross an exchange here, and only those with a list below
-    some = marked(source, "some", key_filter(open_docs, "doc_id"), "doc_id").where("some").select("doc_id", "text")
+    bits = filter_bits(open_docs.count())
+    some = marked(source, "some", key_filter(open_docs, "doc_id", bits=bits), "doc_id", bits=bits).where("some").select("doc_id", "text")
     opened = some.join(open_docs, "doc_id").select("doc_id", "text", "open").mapInArrow(windows, "x bigint, y bigint, doc_id bigint")
     opened = scratch.keep(opened, "windows")
     low = scratch.keep(opened.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("x", "y", "low"), "low")
     later = opened.join(low, ["x", "y"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("x", "y")).alias("later"))
     extra = lists.select("doc_id", "whole").join(later, "doc_id", "full_outer")
-    extra = scratch.keep(extra, "extra")
+    extra, listed_rows = scratch.keep_counted(extra, "extra")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_removed = total[w.first[1:]] - total[w.first[:-1]]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.counts().astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    both = marked(source, "some", key_filter(extra, "doc_id"), "doc_id")
+    bits = filter_bits(listed_rows)
+    both = marked(source, "some", key_filter(extra, "doc_id", bits=bits), "doc_id", bits=bits)
     none = F.lit(None)
     alone = both.where("not some").select("doc_id", "text", none.cast("array<struct<h:bigint,run:bigint>>").alias("whole"), none.cast("array<struct<x:bigint,y:bigint>>").alias("later"))
     listed = both.where("some").select("doc_id", "text").join(extra, "doc_id", "left").select("doc_id", "text", "whole", "later")
