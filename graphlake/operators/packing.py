@@ -30,6 +30,7 @@ def packed(nodes: DataFrame, edges: DataFrame, bound: int, shelf_rows: int = 102
     the later of its ends' pieces, an end that is not written now does not count, and an edge without any is left out; so
     a batch never holds an edge before both its ends.  A piece of more than half of the bound is a batch of its own, the only way in which a
     batch can pass the bound; others fill batches in order, those that begin in one half of the bound together.
+    Rows without a repository are left out.
     """
     scratch = Scratch(nodes.sparkSession, "packing")
     at = nodes.select("repo", "node", F.col("piece").cast("bigint").alias("ord"))

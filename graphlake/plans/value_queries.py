@@ -10,24 +10,22 @@ from .queries import query
 
 # ------------------------------------------------------------ passed functions
 
-#: An order's customer is a helper, its line a call: of its part's function, or of a parameter of its own.
-_PASSES_SQL = """passes as (select 'c' || (l_suppkey % 97) as caller, 'c' || (l_partkey % 97) as callee, 'p' || (l_linenumber % 3) as parameter,
-    case when l_quantity > 40 then 'f' || l_partkey end as function, case when l_quantity <= 40 then 'p' || (l_suppkey % 3) end as own, l_orderkey as line from lineitem where l_discount < 0.03),
-  wanted as (select 'e' || s_suppkey as edge, 'c' || (s_suppkey * 7 % 120) as helper, 'p' || (s_suppkey % 4) as parameter from supplier where s_suppkey <= 400),
+#: Part k is a helper that part k / 2 calls, once for each of its lines, with a function or with a parameter of its own; part 0 calls itself.
+_PASSES_SQL = """passes as (select 'p' || (l_partkey // 2) as caller, 'p' || l_partkey as callee, 'a' || (l_linenumber % 3) as parameter,
+    case when l_quantity <= 30 then 'f' || l_suppkey end as function, case when l_quantity > 30 then 'a' || (l_suppkey % 3) end as own, l_orderkey as line from lineitem),
+  wanted as (select 'e' || p_partkey as edge, 'p' || p_partkey as helper, 'a' || (p_size % 4) as parameter from part),
   r as (select edge, helper, parameter from wanted union select r.edge, p.caller, p.own from r join passes p on p.callee = r.helper and p.parameter = r.parameter where p.function is null),
   found as (select distinct r.edge, p.caller, p.function, p.line from r join passes p on p.callee = r.helper and p.parameter = r.parameter where p.function is not null)"""
 
 
 def _passed(t):
     name = lambda lead, c: F.concat(F.lit(lead), c)
-    own = F.col("l_quantity") <= 40
-    passes = t.lineitem.where("l_discount < 0.03").select(
-        name("c", F.col("l_suppkey") % 97).alias("caller"), name("c", F.col("l_partkey") % 97).alias("callee"), name("p", F.col("l_linenumber") % 3).alias("parameter"),
-        F.when(~own, name("f", F.col("l_partkey"))).alias("function"), F.when(own, name("p", F.col("l_suppkey") % 3)).alias("own"), F.col("l_orderkey").alias("line"),
+    own = F.col("l_quantity") > 30
+    passes = t.lineitem.select(
+        name("p", F.floor(F.col("l_partkey") / 2)).alias("caller"), name("p", F.col("l_partkey")).alias("callee"), name("a", F.col("l_linenumber") % 3).alias("parameter"),
+        F.when(~own, name("f", F.col("l_suppkey"))).alias("function"), F.when(own, name("a", F.col("l_suppkey") % 3)).alias("own"), F.col("l_orderkey").alias("line"),
     )
-    s = F.col("s_suppkey")
-    wanted = t.supplier.where("s_suppkey <= 400").select(name("e", s).alias("edge"), name("c", s * 7 % 120).alias("helper"), name("p", s % 4).alias("parameter"))
-    return values.passed_functions(wanted, passes)
+    return values.passed_functions(t.part.select(name("e", "p_partkey").alias("edge"), name("p", "p_partkey").alias("helper"), name("a", F.col("p_size") % 4).alias("parameter")), passes)
 
 
 @query("passed_functions", f"with recursive {_PASSES_SQL} select edge, count(*) as calls, count(distinct caller) as callers, count(distinct function) as functions, min(function) as first, max(line) as line from found group by edge")
@@ -48,9 +46,9 @@ def passed_unknown(t):
 
 
 @query("client_calls", """with recursive up as (select 't' || s_suppkey as node, 't' || s_suppkey as ancestor from supplier union select up.node, 't' || (cast(substr(up.ancestor, 2) as bigint) // 3) from up where cast(substr(up.ancestor, 2) as bigint) >= 3),
-  cl as (select 'k' || s_suppkey as client, 't' || s_suppkey as class, 'ext' || s_nationkey as target, s_nationkey % 2 = 0 as external, case when s_suppkey % 3 > 0 then 'http://h' || s_suppkey || '/' end as base, ['b' || (s_nationkey % 5), 'b9'] as bases from supplier where s_suppkey <= 60),
-  me as (select 'k' || s_suppkey as client, 'm' || (s_suppkey % 4) as method, case when s_suppkey % 5 = 0 then 'post' end as verb, case when s_suppkey % 2 = 0 then '/x/' || s_suppkey end as path, case when s_suppkey % 7 < 3 then 'read' when s_suppkey % 7 < 5 then 'write' end as operation from supplier where s_suppkey <= 60),
-  calls as (select distinct 'f' || (l_orderkey % 3000) as function, case when l_quantity > 45 then 'b' || (l_suppkey % 10) else 't' || l_suppkey end as receiver, 'm' || (l_partkey % 4) as method, l_linenumber as line from lineitem),
+  cl as (select 'k' || s_suppkey as client, 't' || s_suppkey as class, 'ext' || s_nationkey as target, s_nationkey % 2 = 0 as external, case when s_suppkey % 3 > 0 then 'http://h' || s_suppkey || '/' end as base, ['b' || (s_suppkey // 4), 'c' || s_suppkey] as bases from supplier),
+  me as (select 'k' || s_suppkey as client, 'm' || (s_suppkey % 4) as method, case when s_suppkey % 5 = 0 then 'post' end as verb, case when s_suppkey % 2 = 0 then '/x/' || s_suppkey end as path, case when s_suppkey % 7 < 3 then 'read' when s_suppkey % 7 < 5 then 'write' end as operation from supplier),
+  calls as (select distinct 'f' || (l_orderkey % 3000) as function, case when l_quantity > 45 then 'b' || (l_suppkey // 4) else 't' || l_suppkey end as receiver, 'm' || (l_partkey % 4) as method, l_linenumber as line from lineitem),
   sure as (select distinct c.*, cl.*, false as candidate, false as ambiguous from calls c join up on up.node = c.receiver join cl on cl.class = up.ancestor),
   ext as (select distinct client, target, external, base, unnest(bases) as receiver from cl), many as (select receiver, count(distinct client) > 1 as ambiguous from ext group by 1),
   met as (select function, receiver, method, line, client, target, external, base, candidate, ambiguous from sure union all select c.function, c.receiver, c.method, c.line, e.client, e.target, e.external, e.base, true, m.ambiguous from calls c join ext e using (receiver) join many m using (receiver)
@@ -63,11 +61,10 @@ def client_calls(t):
     s, n = F.col("s_suppkey"), F.col("s_nationkey")
     name = lambda lead, c: F.concat(F.lit(lead), c)
     parents = t.supplier.where(s >= 3).select(name("t", s).alias("node"), name("t", F.floor(s / 3)).alias("parent"))
-    few = t.supplier.where(s <= 60)
-    clients = few.select(name("k", s).alias("client"), name("t", s).alias("class"), name("ext", n).alias("target"), (n % 2 == 0).alias("external"), F.when(s % 3 > 0, F.format_string("http://h%d/", s)).alias("base"), F.array(name("b", n % 5), F.lit("b9")).alias("extends"))
+    clients = t.supplier.select(name("k", s).alias("client"), name("t", s).alias("class"), name("ext", n).alias("target"), (n % 2 == 0).alias("external"), F.when(s % 3 > 0, F.format_string("http://h%d/", s)).alias("base"), F.array(name("b", F.floor(s / 4)), name("c", s)).alias("extends"))
     operation = F.when(s % 7 < 3, "read").when(s % 7 < 5, "write")
-    methods = few.select(name("k", s).alias("client"), name("m", s % 4).alias("method"), F.when(s % 5 == 0, "post").alias("verb"), F.when(s % 2 == 0, name("/x/", s)).alias("path"), operation.alias("operation"))
-    receiver = F.when(F.col("l_quantity") > 45, name("b", F.col("l_suppkey") % 10)).otherwise(name("t", F.col("l_suppkey")))
+    methods = t.supplier.select(name("k", s).alias("client"), name("m", s % 4).alias("method"), F.when(s % 5 == 0, "post").alias("verb"), F.when(s % 2 == 0, name("/x/", s)).alias("path"), operation.alias("operation"))
+    receiver = F.when(F.col("l_quantity") > 45, name("b", F.floor(F.col("l_suppkey") / 4))).otherwise(name("t", F.col("l_suppkey")))
     calls = t.lineitem.select(name("f", F.col("l_orderkey") % 3000).alias("function"), receiver.alias("receiver"), name("m", F.col("l_partkey") % 4).alias("method"), F.col("l_linenumber").alias("line"))
     return values.client_calls(calls, graph.ancestors(parents), clients, methods)
 
