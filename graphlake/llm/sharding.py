@@ -67,30 +67,25 @@ class SlotMap:
         self._edit(changed)
 
     def rebalance(self, weight: dict[int, int], spread: float = 0.001, most_steps: int = 20_000) -> None:
-        """Move or swap slots between the fullest and the emptiest shard until they differ by ``spread`` of the mean, or nothing helps."""
+        """Move or swap slots between a fuller and an emptier shard until any two differ by ``spread`` of the mean, or nothing helps.
+
+        Each step takes the fullest and the emptiest shard, or the next ones where these can't be helped: a
+        record larger than a shard's share fills its shard, and the others are still made equal.
+        """
         held: list[list[tuple[int, int]]] = [[] for _ in range(self.shards)]
         for slot, size in weight.items():
             held[self.shard[slot]].append((size, slot))
         for one in held:
             one.sort()
         size = [sum(b for b, _ in one) for one in held]
-        changed: dict[int, int] = {}
+        enough, changed = spread * sum(size) / self.shards, {}
         for _ in range(most_steps):
-            full, low = max(range(self.shards), key=lambda i: (size[i], -i)), min(range(self.shards), key=lambda i: (size[i], i))
-            gap = size[full] - size[low]
-            if gap * self.shards <= spread * sum(size):
-                break
-            # what is moved is best near half the gap; a swap moves the difference of two slots
-            best = min(((abs(2 * held[full][i][0] - gap), i, None) for i in _about(held[full], gap / 2) if 0 < held[full][i][0] < gap), default=None)
-            if best is None or best[0] * 8 > gap:
-                for j, (there, _) in enumerate(held[low]):
-                    for i in _about(held[full], there + gap / 2):
-                        moved = held[full][i][0] - there
-                        if 0 < moved < gap and (best is None or abs(2 * moved - gap) < best[0]):
-                            best = abs(2 * moved - gap), i, j
-            if best is None:
+            order = sorted(range(self.shards), key=lambda i: (size[i], i))
+            pairs = ((full, low) for full in reversed(order) for low in order if size[full] - size[low] > enough)
+            step = next(((full, low, best) for full, low in pairs if (best := _better(held[full], held[low], size[full] - size[low]))), None)
+            if step is None:
                 break
-            _, i, j = best
+            full, low, (i, j) = step
             given, taken = held[full].pop(i), held[low].pop(j) if j is not None else None
             for to, one in ((low, given), (full, taken)):
                 if one is not None:
@@ -125,6 +120,18 @@ class SlotMap:
         self._edit(changed)
 
 
+def _better(full: list[tuple[int, int]], low: list[tuple[int, int]], gap: int) -> tuple[int, int | None] | None:
+    """What to move, as places in the two shards: the slot nearest to half the gap, or two to swap where no slot is near; None where nothing helps."""
+    best = min(((abs(2 * full[i][0] - gap), i, None) for i in _about(full, gap / 2) if 0 < full[i][0] < gap), default=None)
+    if best is None or best[0] * 8 > gap:
+        for j, (there, _) in enumerate(low):
+            for i in _about(full, there + gap / 2):
+                moved = full[i][0] - there
+                if 0 < moved < gap and (best is None or abs(2 * moved - gap) < best[0]):
+                    best = abs(2 * moved - gap), i, j
+    return best[1:] if best else None
+
+
 def _about(sizes: list[tuple[int, int]], value: float) -> range:
     """Places of the entries next below and above a size."""
     at = bisect.bisect_left(sizes, (value, -1))

@@ -57,7 +57,9 @@ def test_small_tables(spark):
     long = [(1, "x" * 500_000)] + [(i, "y") for i in range(2, 60)]
     rows = sharding.shard(table(spark, long), shards=4).collect()
     check_rows(rows, long)
-    assert [r.shard for r in rows if r.doc_id == 1] and sorted(held(rows, 4))[-1] == 500_016
+    # what is larger than a share has its shard to itself, and the others are equal
+    size = sorted(held(rows, 4))
+    assert size[-1] == 500_016 and size[2] - size[0] <= 17
 
 
 def test_map_versions(spark, tmp_path):
