@@ -266,10 +266,15 @@ def alias_history(stored: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def expected_missing(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Expected facts (kind, key, props map) without an actual fact of that kind and key that has all their properties."""
-    have = actual.select("kind", "key", F.col("props").alias("found"))
-    fits = F.forall(F.map_keys("props"), lambda k: F.try_element_at("found", k).eqNullSafe(F.element_at("props", k)))
-    met = expected.join(have, ["kind", "key"]).where(fits).select("kind", "key").distinct()
+    """Expected facts (kind, key, props map) without an actual fact of that kind and key that has all their properties.
+
+    Actual facts are cut to each set of names that some expected fact of their kind has, and meet by equal values:
+    the work grows with the facts, not with the pairs of one key.  A property that is absent counts as null.
+    """
+    held = lambda props: F.transform("names", lambda k: F.try_element_at(props, k)).alias("values")
+    asked = expected.withColumn("names", F.array_sort(F.map_keys("props"))).select("kind", "key", "names", held(F.col("props"))).distinct()
+    have = actual.join(asked.select("kind", "names").distinct(), "kind").select("kind", "key", "names", held(F.col("props"))).distinct()
+    met = asked.join(have, ["kind", "key", "names", "values"]).select("kind", "key").distinct()
     return expected.join(met, ["kind", "key"], "left_anti").select("kind", "key")
 
 

@@ -80,3 +80,16 @@ def test_names_of_symbols(spark):
     df = spark.createDataFrame([("org.acme.tax.Rates#of(int)",), ("core.run",), ("Rates",), ("",), (None,)], "s string")
     got = [tuple(r) for r in df.select(labels.container(F.col("s")), labels.library_of(F.col("s"))).collect()]
     assert got == [("org.acme.tax.Rates", "org.acme.tax"), ("core", "core.run"), ("Rates", "Rates"), ("", None), (None, None)]
+
+
+def test_expected_facts_meet_by_equal_properties(spark):
+    expected = spark.createDataFrame(
+        [("a", "1", {"x": "1"}), ("a", "1", {"x": "2"}), ("a", "2", {"x": "1", "y": None}), ("a", "3", {"x": "1", "y": "2"}), ("a", "4", {}), ("a", "5", None), ("a", "6", {"z": None}), (None, "1", {}), ("b", "1", {"x": "1"}), ("b", "1", {"x": "1"})],
+        "kind string, key string, props map<string, string>",
+    )
+    actual = spark.createDataFrame([("a", "1", {"x": "1", "n": "q"}), ("a", "2", {"x": "1"}), ("a", "3", {"y": "2"}), ("a", "3", {"x": "1"}), ("a", "4", {"k": "v"}), ("a", "5", {}), ("a", "6", None), (None, "1", {})], "kind string, key string, props map<string, string>")
+    missing = answers.expected_missing(expected, actual)
+    assert rows(missing) == rows(spark.createDataFrame([("a", "3"), ("a", "5"), (None, "1"), ("b", "1"), ("b", "1")], "kind string, key string"))
+    # no condition is left to test on the pairs of a key
+    joins = [line for line in missing._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not any("forall" in line for line in joins)
