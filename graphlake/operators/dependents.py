@@ -86,8 +86,12 @@ def possible_callers(unknown: DataFrame, endpoints: DataFrame) -> DataFrame:
     n = F.size(parts)
     tails = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.struct(F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.greatest(n - i + 1, F.lit(0))), "/")).alias("shape"), F.lit(False).alias("exact")))
     keys = F.concat(F.array(F.struct(F.col("shape"), F.lit(True).alias("exact"))), F.filter(tails, lambda k: F.length(k["shape"]) > 1))
-    asked = unknown.select("call", F.upper("method").alias("method"), F.inline(keys))
-    return asked.join(endpoints.select("endpoint", "method", "shape"), ["method", "shape"]).groupBy("call", "endpoint").agg(F.bool_or("exact").alias("exact"))
+    asked = unknown.select("call", F.upper("method").alias("method"), F.inline(keys)).groupBy("call", "method", "shape").agg(F.bool_or("exact").alias("exact"))
+    ends = endpoints.select("endpoint", "method", "shape").distinct().withColumn("ways", F.count("*").over(Window.partitionBy("endpoint")))
+    pairs = asked.join(ends, ["method", "shape"])
+    # a call meets an endpoint of one method and shape once, so only pairs of the others are grouped
+    once = pairs.where("ways = 1").select("call", "endpoint", "exact")
+    return once.unionByName(pairs.where("ways > 1").groupBy("call", "endpoint").agg(F.bool_or("exact").alias("exact")))
 
 
 def target_place(targets: DataFrame) -> DataFrame:

@@ -93,3 +93,15 @@ def test_expected_facts_meet_by_equal_properties(spark):
     # no condition is left to test on the pairs of a key
     joins = [line for line in missing._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
     assert joins and not any("forall" in line for line in joins)
+
+
+def test_possible_callers_are_not_dealt_out_as_pairs(spark):
+    calls = spark.createDataFrame([(1, "get", "/v1/p/3"), (1, "GET", "/p/3"), (2, "get", "/v1/p/3"), (2, "get", "/v1/p/3"), (3, "get", None), (None, "get", "/p/3")], "call int, method string, shape string")
+    endpoints = spark.createDataFrame([(10, "GET", "/p/3"), (10, "GET", "/p/3"), (11, "GET", "/3"), (11, "GET", "/p/3"), (12, "POST", "/p/3"), (None, "GET", "/v1/p/3")], "endpoint int, method string, shape string")
+    found = dependents.possible_callers(calls, endpoints)
+    want = [(c, e, x) for c, near in ((1, True), (2, False), (None, True)) for e, x in ((10, near), (11, near))] + [(1, None, True), (2, None, True)]
+    assert rows(found) == rows(spark.createDataFrame(want, "call int, endpoint int, exact boolean"))
+    # with one shape an endpoint, pairs leave the join as they are
+    single = dependents.possible_callers(calls, endpoints.where("endpoint <> 11").distinct())
+    plan = [line.strip(" +-:") for line in single._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    assert plan[0].startswith("Union") and plan[1].startswith("Project")
