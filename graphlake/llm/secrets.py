@@ -281,34 +281,31 @@ def thresholds(counts: list[tuple[str, int, int, int]], level: float) -> dict[tu
     return out
 
 
-def words_of_corpus(docs: DataFrame, text_col: str, sample_docs: int, most: int) -> list[str]:
-    """The commonest words of three to ten letters in a sample of about ``sample_docs`` texts, whatever their number; with fixed ones where these are few.
+def words_of_corpus(docs: DataFrame, text_col: str, most: int) -> list[str]:
+    """The commonest words of three to ten letters in all texts; with fixed ones where these are few.
 
-    Each text is drawn by itself, so no rows are gathered: words are counted in each task first.
+    Words are counted in each task first, so that no text is moved.
     """
-    rows = docs.count()
-    if not rows:
-        return list(WORDS)
-    sample = docs.select(docs[text_col].alias("text")).sample(min(1.0, sample_docs / rows), seed=7).where("text is not null")
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z0-9])([a-z]{3,10})(?![a-z0-9])"), 1)).alias("word"))
+    texts = docs.select(docs[text_col].alias("text")).where("text is not null")
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z0-9])([a-z]{3,10})(?![a-z0-9])"), 1)).alias("word"))
     found = [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
     return found if len(found) >= len(WORDS) else [*found, *WORDS]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refute: float = 0.001, level: float = 1e-3, sample_docs: int = 2000, vocabulary: int = 1000) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refute: float = 0.001, level: float = 1e-3, vocabulary: int = 1000) -> DataFrame:
     """(doc_id, base array<struct>, added array<struct>) for every row; structs are (kind, start, end) in code points.
 
     One scan of the texts writes base spans and candidates with the bin of their p-value; candidates that touch a
     base span are left out.  Bins are counted by encoding and length in each task first;
     the driver holds those counts, at most some hundred classes of 240 bins, and the words of
-    ``words_of_corpus``, at most ``vocabulary`` from ``sample_docs`` texts.
+    ``words_of_corpus``, at most ``vocabulary``, counted in a scan of its own.
 
     Null and empty texts have no spans; bytes that are not UTF-8 are read as the
     replacement character; repeated rows are searched each; no rows give no rows; other
     columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    model = Ordinary(words_of_corpus(docs, text_col, sample_docs, vocabulary))
+    model = Ordinary(words_of_corpus(docs, text_col, vocabulary))
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     test = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("name", pa.string()), ("length", pa.int32()), ("bin", pa.int32())])
 

@@ -269,3 +269,11 @@ def test_more_labels_than_the_bound(spark):
     assert sorted(taught) == ["de", *[f"l{i:03}" for i in range(19)]]
     got = langid.identify(docs, docs, per_language=2, max_chars=400).collect()
     assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id >= 1000} == {"de"}
+
+
+def test_words_of_the_corpus_are_counted_over_all_texts(spark):
+    # each word stands in two of 6,000 texts
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    docs = spark.createDataFrame([(i, f"q{letters(i % 3000)} 17", None, None) for i in range(6000)], SCHEMA)
+    assert set(secrets.words_of_corpus(docs, "text", most=5000)) == {f"q{letters(i)}" for i in range(3000)}
+    assert secrets.words_of_corpus(docs.limit(0), "text", most=5000) == list(secrets.WORDS)
