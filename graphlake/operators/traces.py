@@ -26,17 +26,24 @@ def depth_first(calls: DataFrame, roots: DataFrame, utilities: DataFrame | None
     anything; a visit below itself is ``recursive``; ``utilities`` (symbol) are listed,
     never expanded.  ``first`` marks the visits that are expanded.
 
+    Calls that all flows share are walked once for each root symbol, not once for each flow: the smallest paths of a flow are those
+    of its first root that reaches a function, whatever other roots it has.  A flow then lists the walks of its roots and leaves out
+    what is below functions that an earlier root of it expands.
+
     As many rounds as the deepest walk has levels; a round joins the functions
     whose path got smaller with their calls, and compares with the paths of all known
-    ones.  They are counted as they are written: at most ``few`` of them are broadcast,
-    so that late rounds do not deal out all calls again.  A flow is spread over its functions, and no task holds one.
+    ones.  They are counted as they are written: where they are at most ``few``, hashes of what they call are broadcast,
+    so that late rounds do not deal out all known paths again.  A flow is spread over its functions, and no task holds one.
 
     Defined results: rows without flow, caller or callee are left out; calls of one
     place go by the callee's name; equal calls are listed each; a root that is met
     below an earlier root is a repeat.
     """
     scratch = Scratch(calls.sparkSession, "traces")
-    own = ["flow"] if "flow" in calls.columns else []
+    per_flow = "flow" in calls.columns
+    own = ["walk"] if per_flow else []
+    if per_flow:
+        calls = calls.withColumnRenamed("flow", "walk")
     named = calls.dropna(subset=[*own, "caller", "callee"]).select(*own, F.col("caller").cast("string").alias("caller"), F.col("callee").cast("string").alias("callee"), "ord")
     edges = named.select(*own, "caller", "callee", F.row_number().over(Window.partitionBy(*own, "caller").orderBy("ord", "callee")).alias("n"))
     if utilities is not None:
@@ -46,34 +53,57 @@ def depth_first(calls: DataFrame, roots: DataFrame, utilities: DataFrame | None
     absent = {"ord": F.lit(0), "interceptor": F.lit(None).cast("string")}
     roots = roots.withColumns({c: v for c, v in absent.items() if c not in roots.columns}).dropna(subset=["flow", "symbol"])
     place = F.row_number().over(Window.partitionBy("flow").orderBy("ord", "symbol"))
-    starts = scratch.keep(roots.select("flow", F.col("symbol").cast("string").alias("symbol"), F.array(place).alias("path"), "interceptor"), "roots")
-
-    smaller, n = scratch.keep_counted(starts.groupBy("flow", "symbol").agg(F.min("path").alias("path")).withColumn("above", F.array().cast("array<string>")), "paths")
+    starts = scratch.keep(roots.select("flow", F.col("symbol").cast("string").alias("symbol"), place.alias("place"), "interceptor"), "roots")
+
+    if per_flow:
+        begun = starts.groupBy(F.col("flow").alias("walk"), "symbol").agg(F.array(F.min("place")).alias("path"))
+    else:
+        begun = starts.select(F.col("symbol").alias("walk"), "symbol", F.array().cast("array<int>").alias("path")).distinct()
+    at = _smallest_paths(scratch, edges, begun, own, compact_every, few)
+
+    listed = at.select("walk", F.col("symbol").alias("caller"), "path", F.concat("above", F.array("symbol")).alias("above")).join(edges, [*own, "caller"])
+    listed = listed.select("walk", "caller", F.concat("path", F.array("n")).alias("path"), F.col("callee").alias("symbol"), F.array_contains("above", F.col("callee")).alias("recursive"), F.lit(None).cast("string").alias("interceptor"))
+    tops = starts.select(F.col("flow").alias("walk"), F.array("place").alias("path"), "symbol", "interceptor") if per_flow else begun.select("walk", "path", "symbol", F.lit(None).cast("string").alias("interceptor"))
+    listed = listed.unionByName(tops.withColumns({"caller": F.lit(None).cast("string"), "recursive": F.lit(False)}))
+    calling = edges.select(*own, F.col("caller").alias("symbol"), F.lit(True).alias("calls")).distinct()
+    told = listed.join(at.select("walk", "symbol", F.col("path").alias("own")), ["walk", "symbol"], "left").join(calling, [*own, "symbol"], "left")
+    told = told.select("walk", "caller", "path", "symbol", "recursive", "interceptor", F.col("calls").isNotNull().alias("calls"), (F.col("path") == F.col("own")).alias("first"))
+    if per_flow:
+        out = told.withColumnRenamed("walk", "flow")
+    else:
+        walks = scratch.keep(told.select(F.col("walk").alias("root"), "caller", "path", "symbol", "recursive", "calls", "first"), "walks")
+        begins = F.col("caller").isNull()
+        every = starts.withColumnRenamed("symbol", "root").join(walks, "root").withColumn("interceptor", F.when(begins, F.col("interceptor")))
+        earliest = lambda c: F.min("place").over(Window.partitionBy("flow", c))
+        expanded = every.withColumn("by", earliest("caller")).where(begins | (F.col("by") == F.col("place")))
+        out = expanded.withColumns({"first": F.col("first") & (F.col("place") == earliest("symbol")), "path": F.concat(F.array("place"), "path")})
+    repeat = ~F.col("recursive") & ~F.col("first") & F.col("calls")
+    return out.select("flow", F.array_join("path", ".").alias("path"), F.size("path").alias("depth"), "symbol", repeat.alias("repeat"), "recursive", "first", "interceptor")
+
+
+def _smallest_paths(scratch: Scratch, edges: DataFrame, begun: DataFrame, own: list[str], compact_every: int, few: int) -> DataFrame:
+    """(walk, symbol, path, above): the smallest path to each function of a walk that starts at ``begun`` (walk, symbol, path)."""
+    smaller, n = scratch.keep_counted(begun.withColumn("above", F.array().cast("array<string>")), "paths")
     known = [smaller]
     everything = lambda: reduce(DataFrame.unionByName, known)
-    smallest = lambda df: df.groupBy("flow", "symbol").agg(F.min(F.struct("path", "above")).alias("at")).select("flow", "symbol", "at.*")
+    smallest = lambda df: df.groupBy("walk", "symbol").agg(F.min(F.struct("path", "above")).alias("at")).select("walk", "symbol", "at.*")
     while n:
-        visits = smaller.select("flow", F.col("symbol").alias("caller"), "path", F.concat("above", F.array("symbol")).alias("above"))
-        steps = edges.join(F.broadcast(visits) if n <= few else visits, [*own, "caller"])
-        steps = steps.where(~F.array_contains("above", F.col("callee")))
-        found = steps.select("flow", F.col("callee").alias("symbol"), F.struct(F.concat("path", F.array("n")).alias("path"), "above").alias("at"), F.lit(None).cast("array<int>").alias("had"))
-        before = everything().select("flow", "symbol", F.lit(None).cast(found.schema["at"].dataType).alias("at"), F.col("path").alias("had"))
-        met = found.unionByName(before).groupBy("flow", "symbol").agg(F.min("at").alias("at"), F.min("had").alias("had"))
-        smaller, n = scratch.keep_counted(met.where("at is not null and (had is null or at.path < had)").select("flow", "symbol", "at.path", "at.above"), "paths")
+        visits = smaller.select("walk", F.col("symbol").alias("caller"), "path", F.concat("above", F.array("symbol")).alias("above"))
+        steps = visits.join(edges.hint("shuffle_hash"), [*own, "caller"]).where(~F.array_contains("above", F.col("callee")))
+        found = steps.select("walk", F.col("callee").alias("symbol"), F.struct(F.concat("path", F.array("n")).alias("path"), "above").alias("at"), F.lit(None).cast("array<int>").alias("had"))
+        before = everything()
+        if n <= few:
+            met_now = smaller.select("walk", F.col("symbol").alias("caller")).join(edges.hint("shuffle_hash"), [*own, "caller"]).select(F.xxhash64("walk", "callee").alias("key")).distinct()
+            before = before.withColumn("key", F.xxhash64("walk", "symbol")).join(F.broadcast(met_now), "key", "left_semi")
+        before = before.select("walk", "symbol", F.lit(None).cast(found.schema["at"].dataType).alias("at"), F.col("path").alias("had"))
+        met = found.unionByName(before).groupBy("walk", "symbol").agg(F.min("at").alias("at"), F.min("had").alias("had"))
+        smaller, n = scratch.keep_counted(met.where("at is not null and (had is null or at.path < had)").select("walk", "symbol", "at.path", "at.above"), "paths")
         known.append(smaller)
         if len(known) > compact_every:
             merged = scratch.keep(smallest(everything()), "merged")
             scratch.drop(*[k for k in known if k is not smaller])
             known = [merged]
-
-    at = scratch.keep(smallest(everything()), "at")
-    listed = at.select("flow", F.col("symbol").alias("caller"), "path", F.concat("above", F.array("symbol")).alias("above")).join(edges, [*own, "caller"])
-    listed = listed.select("flow", F.concat("path", F.array("n")).alias("path"), F.col("callee").alias("symbol"), F.array_contains("above", F.col("callee")).alias("recursive"), F.lit(None).cast("string").alias("interceptor"))
-    listed = starts.select("flow", "path", "symbol", F.lit(False).alias("recursive"), "interceptor").unionByName(listed)
-    calling = edges.select(*own, F.col("caller").alias("symbol"), F.lit(True).alias("calls")).distinct()
-    out = listed.join(at.select("flow", "symbol", F.col("path").alias("own")), ["flow", "symbol"], "left").join(calling, [*own, "symbol"], "left")
-    first = F.col("path") == F.col("own")
-    return out.select("flow", F.array_join("path", ".").alias("path"), F.size("path").alias("depth"), "symbol", (~F.col("recursive") & ~first & F.col("calls").isNotNull()).alias("repeat"), "recursive", first.alias("first"), "interceptor")
+    return scratch.keep(smallest(everything()), "at")
 
 
 def with_interceptors(entries: DataFrame, interceptors: DataFrame) -> DataFrame:

@@ -101,3 +101,15 @@ def test_steps_gaps_outline_and_assembly(spark):
     # numbers go by the number, not by the letter
     wide = spark.createDataFrame([(1, f"1.{n}", True) for n in range(1, 13)] + [(1, "1", False)], "flow int, path string, shown boolean")
     assert {r.path: r.number for r in traces.outlined(wide).collect()} == {f"1.{n}": str(n) for n in range(1, 13)}
+
+
+def test_shared_calls_are_walked_once_for_each_root(spark, monkeypatch):
+    begun = []
+    walked = traces._smallest_paths
+    monkeypatch.setattr(traces, "_smallest_paths", lambda scratch, edges, starts, *rest: begun.append(starts.count()) or walked(scratch, edges, starts, *rest))
+    calls = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("i", "b", 1)], "caller string, callee string, ord int")
+    roots = spark.range(500).selectExpr("id as flow", "explode(array(named_struct('symbol', 'i', 'ord', 0), named_struct('symbol', 'a', 'ord', 1))) as r").select("flow", "r.*")
+    got = traces.depth_first(calls, roots)
+    assert begun == [2]
+    rows = {(r.path, r.symbol, r.repeat, r.recursive, r.n) for r in got.groupBy("path", "symbol", "repeat", "recursive").agg(F.count("*").alias("n")).collect()}
+    assert rows == {(p, s, repeat, recursive, 500) for p, s, repeat, recursive in [("1", "i", False, False), ("1.1", "b", False, False), ("1.1.1", "c", False, False), ("1.1.1.1", "a", False, False), ("1.1.1.1.1", "b", False, True), ("2", "a", True, False)]}
