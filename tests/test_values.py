@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphlake.operators import dependents, graph, query_texts, ranking, values
+from graphlake.scratch import Scratch
 
 
 def rows(df):
@@ -25,6 +26,17 @@ def test_functions_go_through_parameters_and_circles(spark):
     assert values.passed_functions(wanted.limit(0), given)[0].count() == 0
 
 
+def test_what_is_lost_is_told_without_rows_for_each_edge(spark, monkeypatch):
+    written = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.append(df.columns) or keep(self, df, name))
+    passes = spark.createDataFrame([("b", "a", "p", None, "q", 1), ("c", "b", "q", None, "p", 2), ("b", "c", "p", None, "q", 3), ("d", "c", "p", "named", None, 4), ("y", "x", "p", None, "p", 5)], "caller string, callee string, parameter string, function string, own string, line int")
+    wanted = spark.range(300).selectExpr("concat('e', id) as edge", "if(id % 3 = 0, 'x', 'a') as helper", "'p' as parameter")
+    lost = values.unknown_functions(wanted, passes)
+    assert sorted(r.edge for r in lost.collect()) == sorted(f"e{n}" for n in range(0, 300, 3))
+    assert written and not any("edge" in columns for columns in written)
+
+
 def test_clients(spark):
     ancestry = graph.ancestors(spark.createDataFrame([("MyIndex", "Index"), ("Deep", "MyIndex")], "node string, parent string"))
     clients = spark.createDataFrame([("k1", "Index", "store:v", False, None, None), ("k2", "Llm", "ext:chat", True, None, ["BaseLlm"]), ("k3", "Api", "x", False, "http://h/", ["BaseLlm"])], "client string, class string, target string, external boolean, base string, extends array<string>")
