@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphlake.api import Graph
 from graphlake.operators import coverage, graph, joins, ranking, state, traces
+from graphlake.scratch import Scratch
 from graphlake.sources import config, sink
 from graphlake.streaming import incremental
 
@@ -78,6 +79,15 @@ def test_prefix_chain_survives_a_cycle(spark):
     assert dict(graph.prefix_chain(mounts, starts).collect()) == {"c": "/n/m/x", "z": "/y"}
 
 
+def test_prefix_chain_sends_no_level_through_the_driver(spark, monkeypatch):
+    plans = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df, name))
+    mounts = spark.createDataFrame([("c", "m", "/m"), ("m", "n", "/n")], "node string, parent string, prefix string")
+    assert graph.prefix_chain(mounts.limit(2), spark.createDataFrame([("c", "/x")], "node string, path string")).first().path == "/n/m/x"
+    assert len(plans) == 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_keep_close_and_interleave(spark):
     s = spark.createDataFrame([(1, 0.4), (2, 0.3), (3, 0.1), (4, 0.0)], "id int, c double")
     assert sorted(r.id for r in ranking.keep_close(s, "c").collect()) == [1, 2]
