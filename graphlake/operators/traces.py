@@ -89,11 +89,11 @@ def _smallest_paths(scratch: Scratch, edges: DataFrame, begun: DataFrame, own: l
     smallest = lambda df: df.groupBy("walk", "symbol").agg(F.min(F.struct("path", "above")).alias("at")).select("walk", "symbol", "at.*")
     while n:
         visits = smaller.select("walk", F.col("symbol").alias("caller"), "path", F.concat("above", F.array("symbol")).alias("above"))
-        steps = visits.join(edges.hint("shuffle_hash"), [*own, "caller"]).where(~F.array_contains("above", F.col("callee")))
+        steps = visits.join(edges.hint("merge"), [*own, "caller"]).where(~F.array_contains("above", F.col("callee")))
         found = steps.select("walk", F.col("callee").alias("symbol"), F.struct(F.concat("path", F.array("n")).alias("path"), "above").alias("at"), F.lit(None).cast("array<int>").alias("had"))
         before = everything()
         if n <= few:
-            met_now = smaller.select("walk", F.col("symbol").alias("caller")).join(edges.hint("shuffle_hash"), [*own, "caller"]).select(F.xxhash64("walk", "callee").alias("key")).distinct()
+            met_now = smaller.select("walk", F.col("symbol").alias("caller")).join(edges.hint("merge"), [*own, "caller"]).select(F.xxhash64("walk", "callee").alias("key")).distinct()
             before = before.withColumn("key", F.xxhash64("walk", "symbol")).join(F.broadcast(met_now), "key", "left_semi")
         before = before.select("walk", "symbol", F.lit(None).cast(found.schema["at"].dataType).alias("at"), F.col("path").alias("had"))
         met = found.unionByName(before).groupBy("walk", "symbol").agg(F.min("at").alias("at"), F.min("had").alias("had"))
