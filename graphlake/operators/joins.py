@@ -66,9 +66,11 @@ def longest_prefix(items: DataFrame, prefixes: DataFrame, separator: str = "/")
 def innermost_range(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     """(file, line, scope): the shortest range (file, scope, first, last) around each point (file, line).
 
-    Ranges are put into buckets of ``width`` lines, so points meet only ranges of their bucket.
+    Ranges are put into buckets of ``width`` lines, so points meet only ranges of their bucket.  Of ranges with the same
+    lines only the smallest scope can be the answer, so the others meet no point, however many there are.
     """
-    r = ranges.select("file", "scope", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("_b"))
+    each = ranges.groupBy("file", "first", "last").agg(F.min("scope").alias("scope"))
+    r = each.select("file", "scope", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("_b"))
     p = points.select("file", "line", F.floor(F.col("line") / width).alias("_b"))
     inside = p.join(r, ["file", "_b"]).where("line between first and last")
     return inside.groupBy("file", "line").agg(F.min_by("scope", F.struct(F.col("last") - F.col("first"), F.col("scope"))).alias("scope"))
