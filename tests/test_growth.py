@@ -2,7 +2,8 @@
 
 import random
 
-from graphlake.operators import joins
+from graphlake.operators import graph, joins, values
+from graphlake.scratch import Scratch
 
 
 def rows(df):
@@ -22,3 +23,23 @@ def test_ranges_of_the_same_lines_meet_points_once(spark):
     assert rows(got) == sorted(((*k, scope) for k, (_, scope) in want.items()), key=str)
     joined = plan(got).split("Join ", 1)[1]
     assert "Aggregate" in joined and "min(scope" in joined
+
+
+def test_calls_are_not_repeated_for_the_types_above_them(spark, monkeypatch):
+    kept = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.update({name: keep(self, df, name)}) or kept[name])
+    ancestry = graph.ancestors(spark.createDataFrame([(f"t{n}", f"t{n // 2}") for n in range(2, 16)], "node string, parent string"))
+    clients = spark.createDataFrame([(f"k{n}", f"t{n}", "x", True, "http://h/", ["base"]) for n in range(1, 16)], "client string, class string, target string, external boolean, base string, extends array<string>")
+    methods = spark.createDataFrame([("k1", "m", None, "/p", None), ("k1", "m", "put", "/q", None)], "client string, method string, verb string, path string, operation string")
+    calls = spark.range(2000).selectExpr("concat('f', id % 900) as function", "if(id % 10 = 0, 'base', if(id % 10 = 1, null, concat('t', id % 16))) as receiver", "if(id % 3 = 0, 'm', if(id % 3 = 1, 'other', null)) as method", "int(id % 5) as line")
+    # a base reaches all clients; a type, the clients of itself and what is above it; k1 has two methods of one name and no others
+    above = lambda r: range(1, 16) if r == "base" else [n for k in range(4) if (n := int(r[1:]) >> k)]
+    want = []
+    for c in {tuple(c) for c in calls.collect()}:
+        for n in above(c[1]) if c[1] else []:
+            told = [("CALLS", "GET", "http://h/p"), ("CALLS", "PUT", "http://h/q")] if n == 1 and c[2] == "m" else [] if n == 1 else [("CALLS", None, "x")]
+            want += [(c[0], c[3], f"k{n}", *x, c[1] == "base", c[1] == "base") for x in told]
+    assert rows(values.client_calls(calls, ancestry, clients, methods)) == sorted(want, key=str)
+    assert all("function" not in df.columns for df in kept.values())
+    assert {name: kept[name].count() for name in ("asked", "sure")} == {"asked": len({(r.receiver, r.method) for r in calls.collect() if r.receiver}), "sure": sum(len(above(r)) for r in {r.receiver for r in calls.collect()} if r and r != "base")}
