@@ -1,10 +1,18 @@
 """Steps whose memory or time must not grow faster than their input."""
 
+import os
 import random
+import re
+
+import pytest
 
 from graphlake.operators import graph, joins, values
+from graphlake.plans import answer_queries, model  # noqa: F401
+from graphlake.plans.queries import QUERIES
 from graphlake.scratch import Scratch
 
+FOLDER = os.environ.get("GRAPHLAKE_SMALL_TABLES", "/root/testdata/sf0.001")
+
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
@@ -43,3 +51,13 @@ def test_calls_are_not_repeated_for_the_types_above_them(spark, monkeypatch):
     assert rows(values.client_calls(calls, ancestry, clients, methods)) == sorted(want, key=str)
     assert all("function" not in df.columns for df in kept.values())
     assert {name: kept[name].count() for name in ("asked", "sure")} == {"asked": len({(r.receiver, r.method) for r in calls.collect() if r.receiver}), "sure": sum(len(above(r)) for r in {r.receiver for r in calls.collect()} if r and r != "base")}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
+@pytest.mark.parametrize("name", ["unique_items"])
+def test_rows_are_dealt_by_their_number(spark, monkeypatch, name):
+    monkeypatch.setattr(model, "ROWS_PER_TASK", 500)
+    got = QUERIES[name](spark, FOLDER)
+    made = re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan(got))
+    assert made and {int(n) for n in made} == {12}  # of 6,000 lines
+    assert "Expand" not in plan(got)  # rows are not repeated for each thing that is counted
