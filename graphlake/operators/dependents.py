@@ -99,12 +99,16 @@ def target_place(targets: DataFrame) -> DataFrame:
     return targets.withColumn("place", F.coalesce("owner", "datastore", "store", F.lit("external")))
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, most: int = 40) -> DataFrame:
-    """(node, direction, type, n, others): the neighbours of each of ``nodes`` (node), at most ``most`` named, and how many there are."""
+def neighbours(edges: DataFrame, nodes: DataFrame, most: int = 40, parts: int | None = None) -> DataFrame:
+    """(node, direction, type, n, others): the neighbours of each of ``nodes`` (node), at most ``most`` named, and how many there are.
+
+    With ``parts``, ends are dealt once by node into so many parts, which all steps keep.
+    """
     ends = edges.select(F.col("dst").alias("node"), F.lit("in").alias("direction"), "type", F.col("src").alias("other")).unionByName(
         edges.select(F.col("src").alias("node"), F.lit("out").alias("direction"), "type", F.col("dst").alias("other"))
     )
-    some = ends.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
+    dealt = ends.repartition(parts, "node") if parts else ends
+    some = dealt.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
     key = ["node", "direction", "type"]
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("other")))
     return ranked.groupBy(*key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.col("other")))).alias("others"))

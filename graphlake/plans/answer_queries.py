@@ -63,7 +63,7 @@ def dependents_downstream(t):
 @query("neighbours", f"with {USES}, e as (select distinct part as node, 'in' as direction, type, flow as other from uses), k as (select *, row_number() over (partition by node, direction, type order by other) as n from e) select node, direction, type, count(*) as n, array_to_string(list(other order by other) filter (n <= 40), ',') as others from k group by 1, 2, 3")
 def neighbours(t):
     edges = model.uses(t).select("type", F.col("flow").alias("src"), F.col("part").alias("dst"))
-    found = dependents.neighbours(edges.where("src is not null"), t.part.select(F.col("p_partkey").alias("node"))).where("direction = 'in'")
+    found = dependents.neighbours(edges.where("src is not null"), t.part.select(F.col("p_partkey").alias("node")), parts=t.parts("lineitem")).where("direction = 'in'")
     return found.withColumn("others", F.array_join(F.col("others").cast("array<string>"), ","))
 
 
