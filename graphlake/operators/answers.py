@@ -211,11 +211,18 @@ def flows_assembled(entries: DataFrame, steps: DataFrame, inferred: DataFrame) -
     return roots.join(done, "flow", "left").select("flow", "trigger", F.coalesce("steps", F.lit(0)).alias("steps"), F.coalesce("effects", F.lit(0)).alias("effects"), F.coalesce("incomplete", F.lit(False)).alias("incomplete"), "inferred")
 
 
-def resource_view(flows: DataFrame, touches: DataFrame) -> DataFrame:
-    """(app, resource, flows, reads, writes): an application's flows (flow, app, resource) by resource, with what they touch (flow, type, target)."""
-    used = flows.join(touches, "flow", "left")
-    of = lambda kind: F.count_distinct(F.when(F.col("type") == kind, F.col("target")))
-    return used.groupBy("app", "resource").agg(F.count_distinct("flow").alias("flows"), of("READS_FROM").alias("reads"), of("WRITES_TO").alias("writes"))
+def resource_view(flows: DataFrame, touches: DataFrame, parts: int | None = None) -> DataFrame:
+    """(app, resource, flows, reads, writes): an application's flows (flow, app, resource) by resource, with what they touch (flow, type, target).
+
+    Flows and targets are made distinct as rows of one table and then counted.  With ``parts``, rows are dealt into so many parts.
+    """
+    dealt = lambda df, *keys: df.repartition(parts, *keys) if parts else df
+    touched = dealt(touches.where("type in ('READS_FROM', 'WRITES_TO') and target is not null"), "flow")
+    used = flows.join(touched, "flow").select("app", "resource", "type", "target", F.lit(None).alias("flow"))
+    own = flows.select("app", "resource", F.lit(None).cast("string").alias("type"), F.lit(None).alias("target"), "flow")
+    each = dealt(own.unionByName(used), "app", "resource", "type", "target", "flow").distinct()
+    of = lambda kind: F.count_if(F.col("type") == kind)
+    return each.groupBy("app", "resource").agg(F.count("flow").alias("flows"), of("READS_FROM").alias("reads"), of("WRITES_TO").alias("writes"))
 
 
 def file_nodes(functions: DataFrame) -> DataFrame:

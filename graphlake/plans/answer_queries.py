@@ -398,7 +398,7 @@ def flows_assembled(t):
 @query("resource_view", f"with {USES} select o_custkey as app, o_orderpriority as resource, count(distinct o_orderkey) as flows, count(distinct part) filter (type = 'READS_FROM') as reads, count(distinct part) filter (type = 'WRITES_TO') as writes from orders left join uses on flow = o_orderkey group by 1, 2")
 def resource_view(t):
     flows = t.orders.select(F.col("o_orderkey").alias("flow"), F.col("o_custkey").alias("app"), F.col("o_orderpriority").alias("resource"))
-    return answers.resource_view(flows, model.uses(t).select("flow", "type", F.col("part").alias("target")))
+    return answers.resource_view(flows, model.uses(t).select("flow", "type", F.col("part").alias("target")), t.parts("lineitem"))
 
 
 @query("file_nodes", "select lower(p_type) || '/src/' || p_brand as file, count(distinct p_name || p_partkey) as functions, count(*) filter (p_size > 25) as significant, lower(p_type) || '/src' as module from part group by 1, 4")

@@ -54,7 +54,7 @@ def test_calls_are_not_repeated_for_the_types_above_them(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
-@pytest.mark.parametrize("name", ["neighbours", "unique_items", "first_use"])
+@pytest.mark.parametrize("name", ["neighbours", "unique_items", "first_use", "resource_view"])
 def test_rows_are_dealt_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(model, "ROWS_PER_TASK", 500)
     got = QUERIES[name](spark, FOLDER)
