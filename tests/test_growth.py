@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from graphlake.operators import graph, joins, values
+from graphlake.operators import assembly, graph, joins, values
 from graphlake.plans import answer_queries, model  # noqa: F401
 from graphlake.plans.queries import QUERIES
 from graphlake.scratch import Scratch
@@ -53,6 +53,18 @@ def test_calls_are_not_repeated_for_the_types_above_them(spark, monkeypatch):
     assert {name: kept[name].count() for name in ("asked", "sure")} == {"asked": len({(r.receiver, r.method) for r in calls.collect() if r.receiver}), "sure": sum(len(above(r)) for r in {r.receiver for r in calls.collect()} if r and r != "base")}
 
 
+def test_rows_of_bound_calls_come_by_implementation_in_bounded_tasks(spark):
+    # 1,000 calls of 1, two of them not from a known caller, one of 2 and two of nothing; 1 has forty implementations and one that is not known
+    calls = spark.createDataFrame([(n if n > 1 else None, 1) for n in range(1000)] + [(7, 2), (7, 3), (8, None)], "caller long, callee long")
+    impl = spark.createDataFrame([(1, 100 + n % 40) for n in range(200)] + [(1, None), (2, 9), (None, 5)], "abstract long, concrete long")
+    got = assembly.bound_calls(calls, impl, rows_per_task=10_000)
+    want = [(n if n > 1 else None, c, True) for n in range(1000) for c in [1, *range(100, 140)]] + [(7, 9, False), (7, 3, False), (8, None, False)]
+    assert got.columns == ["caller", "callee", "candidate"] and rows(got) == sorted(want, key=str)
+    assert got.rdd.getNumPartitions() == 5
+    callees = [r.callee for part in got.rdd.glom().collect() for r in part]
+    assert sum(a != b for a, b in zip(callees, callees[1:])) <= len(callees) / 30
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
 @pytest.mark.parametrize("name", ["neighbours", "unique_items", "first_use", "resource_view"])
 def test_rows_are_dealt_by_their_number(spark, monkeypatch, name):
