@@ -35,26 +35,27 @@ def entities_of(found: DataFrame, entities: DataFrame, relations: DataFrame) ->
     ``entities`` is (entity), ``relations`` (entity, field, target).  A name whose head is an alias is a relation of
     what the alias stands for: the last source before it of that alias that has an entity, so that a nested select's
     alias hides an outer one.  Any other name is an entity by its last part.  A round decides
-    the sources whose aliases are decided; there are as many rounds as aliases lean on each other.
+    the sources whose aliases are decided; there are as many rounds as aliases lean on each other.  Sources are joined with
+    each other by sorting: a side that shuffles to few bytes holds millions of rows, and a broadcast would send them through the driver.
     """
     scratch = Scratch(found.sparkSession, "entities")
     simple = entities.select("entity", F.substring_index("entity", ".", -1).alias("last")).groupBy("last").agg(F.max("entity").alias("by_name"))
     related = relations.select(F.col("entity").alias("of"), F.col("field").alias("rest"), F.col("target").alias("by_relation")).groupBy("of", "rest").agg(F.min("by_relation").alias("by_relation"))
     rows = scratch.keep(found.where("not native").select("symbol", "at", "head", "rest", "last", "alias").join(simple, "last", "left"), "sources")
     # what may stand before a name: sources of its alias, nearest first
-    leans = rows.where("head is not null").select("symbol", "at", "head").join(rows.where("alias is not null").select("symbol", F.col("alias").alias("head"), F.col("at").alias("before")), ["symbol", "head"]).where("before < at")
+    leans = rows.where("head is not null").select("symbol", "at", "head").hint("merge").join(rows.where("alias is not null").select("symbol", F.col("alias").alias("head"), F.col("at").alias("before")), ["symbol", "head"]).where("before < at")
     leans = scratch.keep(leans.select("symbol", "at", "before"), "leans")
-    open_rows = leans.select("symbol", "at").distinct()
+    open_rows = leans.select("symbol", "at").distinct().hint("merge")
     decided = scratch.keep(rows.join(open_rows, ["symbol", "at"], "left_anti").select("symbol", "at", F.col("by_name").alias("entity")), "decided")
     waiting, n = scratch.keep_counted(rows.join(open_rows, ["symbol", "at"], "left_semi"), "waiting")
     while n:
-        state = leans.join(waiting.select("symbol", "at"), ["symbol", "at"], "left_semi").join(decided.select("symbol", F.col("at").alias("before"), F.col("entity").alias("of"), F.lit(True).alias("known")), ["symbol", "before"], "left")
+        state = leans.join(waiting.select("symbol", "at").hint("merge"), ["symbol", "at"], "left_semi").join(decided.select("symbol", F.col("at").alias("before"), F.col("entity").alias("of"), F.lit(True).alias("known")).hint("merge"), ["symbol", "before"], "left")
         # the nearest that is not known to have no entity
         nearest = state.groupBy("symbol", "at").agg(F.max(F.when(F.col("known").isNull() | F.col("of").isNotNull(), F.struct("before", F.coalesce("known", F.lit(False)).alias("known"), "of"))).alias("n"))
-        ready = waiting.join(nearest.where("n is null or n.known").select("symbol", "at", F.col("n.of").alias("of")), ["symbol", "at"]).join(related, ["of", "rest"], "left")
+        ready = waiting.join(nearest.where("n is null or n.known").select("symbol", "at", F.col("n.of").alias("of")).hint("merge"), ["symbol", "at"]).join(related, ["of", "rest"], "left")
         new = scratch.keep(ready.select("symbol", "at", F.when(F.col("of").isNull(), F.col("by_name")).otherwise(F.col("by_relation")).alias("entity")), "decided")
         decided = decided.unionByName(new)
-        waiting, n = scratch.keep_counted(waiting.join(new.select("symbol", "at"), ["symbol", "at"], "left_anti"), "waiting")
+        waiting, n = scratch.keep_counted(waiting.join(new.select("symbol", "at").hint("merge"), ["symbol", "at"], "left_anti"), "waiting")
     return decided
 
 
@@ -69,7 +70,7 @@ def tables(queries: DataFrame, mapped: DataFrame, relations: DataFrame) -> tuple
     found = scratch.keep(sources(queries.where("query is not null").select("symbol", "query", F.coalesce("native", F.lit(False)).alias("native"))), "sources")
     of = entities_of(found, mapped.select("entity"), relations).join(mapped.groupBy("entity").agg(F.min("table").alias("table")), "entity", "left")
     named = found.where("native").select("symbol", "at", F.lit(None).cast("string").alias("entity"), F.col("last").alias("table")).unionByName(of.select("symbol", "at", "entity", "table"))
-    both = scratch.keep(found.join(named, ["symbol", "at"]), "named")
+    both = scratch.keep(found.join(named.hint("merge"), ["symbol", "at"]), "named")
     first = both.where("table is not null").groupBy("symbol", "table").agg(F.min(F.struct("at", "opens", "verb")).alias("f")).select("symbol", "table", "f.*")
     lead = F.row_number().over(Window.partitionBy("symbol").orderBy("at")) == 1
     written = lead & F.col("opens") & F.col("verb").isin("update", "delete", "insert")

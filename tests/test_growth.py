@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from graphlake.operators import assembly, graph, joins, values
+from graphlake.operators import assembly, graph, joins, query_texts, values
 from graphlake.plans import answer_queries, model  # noqa: F401
 from graphlake.plans.queries import QUERIES
 from graphlake.scratch import Scratch
@@ -65,6 +65,22 @@ def test_rows_of_bound_calls_come_by_implementation_in_bounded_tasks(spark):
     assert sum(a != b for a, b in zip(callees, callees[1:])) <= len(callees) / 30
 
 
+def test_sources_of_query_texts_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    keep = Scratch.keep
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: plans.append(physical(df)) or keep(self, df, name))
+    queries = spark.createDataFrame([(1, "select c from A c join c.items i join i.parts p", False), (2, "delete from A c where exists (select 1 from B c join c.parts q)", False), (3, "insert into s.log select * from s.x", True)], "symbol int, query string, native boolean")
+    mapped = spark.createDataFrame([("com.A", "ta"), ("com.B", "tb")], "entity string, table string")
+    relations = spark.createDataFrame([("com.A", "items", "com.B"), ("com.B", "parts", "com.A")], "entity string, field string, target string")
+    touched, lost = query_texts.tables(queries, mapped, relations)
+    got = rows(touched.select("symbol", "table", "type"))
+    assert got == sorted([(1, "ta", "READS_FROM"), (1, "tb", "READS_FROM"), (2, "ta", "WRITES_TO"), (2, "tb", "READS_FROM"), (3, "log", "WRITES_TO"), (3, "x", "READS_FROM")], key=str)
+    assert lost.isEmpty()
+    assert len(plans) > 6 and any("SortMergeJoin" in p for p in plans)
+    assert not re.search(r"Broadcast\w*Join \[symbol", "".join(plans))
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
 @pytest.mark.parametrize("name", ["neighbours", "unique_items", "first_use", "resource_view"])
 def test_rows_are_dealt_by_their_number(spark, monkeypatch, name):
