@@ -6,6 +6,7 @@ joined by token.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import re
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..scratch import Scratch
 
+#: Most tokens that stand for a word, though they don't begin with it, which are broadcast to the index.
+OTHERS_BROADCAST = 100_000
+
 
 def index(named: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, id): the inverted index of a text column."""
@@ -26,6 +30,10 @@ def _stem(word: str) -> str:
     return next((word[: -len(s)] for s in text.SUFFIXES if word.endswith(s) and len(word) - len(s) >= text.STEM_MIN), word)
 
 
+def _begins(word: str) -> Column:
+    return F.col("token").startswith(word) | F.col("token").startswith(_stem(word))
+
+
 def distinct_tokens(tokens: DataFrame) -> DataFrame:
     """(token): every token of an index once; words are matched against these, not against the index."""
     return tokens.select("token").distinct()
@@ -75,14 +83,15 @@ def matches(vocabulary: DataFrame, words: list[str], typo: DataFrame | None = No
     """(token, word, weight): the tokens that stand for a query word (its place): itself 4, an abbreviation 2, a prefix, stem or typo 1.
 
     Abbreviations are the closest ``most`` of the vocabulary's tokens without digits.  Typos are found by a join
-    with ``typo`` (of ``typo_index``); only tokens that share a variant are compared with the word.
+    with ``typo`` (of ``typo_index``); only tokens that share a variant are compared with the word.  The vocabulary is
+    written once, since it may be made of whole texts; without an index, only tokens about as long as some word get variants.
     """
     spark = vocabulary.sparkSession
+    vocabulary = Scratch(spark, "vocabulary").keep(vocabulary.select("token"), "tokens")
     place = {w: i for i, w in enumerate(words)}
     plain = []
     for w, i in place.items():
-        loose = F.col("token").startswith(w) | F.col("token").startswith(_stem(w))
-        plain.append(F.when(loose, F.struct(F.lit(i).alias("word"), F.when(F.col("token") == w, 4).otherwise(1).alias("weight"))))
+        plain.append(F.when(_begins(w), F.struct(F.lit(i).alias("word"), F.when(F.col("token") == w, 4).otherwise(1).alias("weight"))))
     found = vocabulary.select("token", F.explode(F.filter(F.array(*plain), lambda m: m.isNotNull())).alias("m")).select("token", "m.word", "m.weight")
 
     names = vocabulary.where(~F.col("token").rlike("[0-9]"))
@@ -95,7 +104,8 @@ def matches(vocabulary: DataFrame, words: list[str], typo: DataFrame | None = No
     if fuzzy:
         # variants of at most six words; what shares one is compared
         probes = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"variant": v, "word": i} for v, i in fuzzy])), "array<struct<variant string, word int>>")))
-        met = (typo_index(vocabulary) if typo is None else typo).join(F.broadcast(probes), "variant").select("token", "word").distinct()
+        lengths = sorted({n for w in place for n in range(len(w) - _typos(w), len(w) + _typos(w) + 1) if _typos(w)})
+        met = (typo_index(vocabulary.where(F.length("token").isin(lengths))) if typo is None else typo).join(F.broadcast(probes), "variant").select("token", "word").distinct()
         near = F.lit(False)
         for w, i in place.items():
             if _typos(w):
@@ -123,7 +133,8 @@ def search(tokens: DataFrame, words: list[str], typo: DataFrame | None = None, l
 
     A thing's matched words are bits of one number, made in one pass over the tokens
     (token, id) that stand for some word; the sets of bits that occur, at most 63, decide which set of words
-    wins.  ``levels`` (id) are containers, such as applications, whose texts hold words of all that is in them: they do
+    wins.  What the words stand for is found first: only tokens that begin with a word, or are among the few others,
+    are then moved to meet it.  ``levels`` (id) are containers, such as applications, whose texts hold words of all that is in them: they do
     not end the search, but those of the first set that finds any are added.  The score is the sum of the best weights of the kept words.
     """
     spark = tokens.sparkSession
@@ -132,8 +143,11 @@ def search(tokens: DataFrame, words: list[str], typo: DataFrame | None = None, l
     if not n:
         return spark.range(0).select(*[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in empty.split(", ")])
     scratch = Scratch(spark, "search")
-    meaning = matches(distinct_tokens(tokens), words, typo)
-    best = tokens.join(meaning, "token").groupBy("id").agg(*[F.max(F.when(F.col("word") == i, F.col("weight"))).alias(f"w{i}") for i in range(n)])
+    meaning = scratch.keep(matches(distinct_tokens(tokens), words, typo), "meanings")
+    begins = functools.reduce(Column.__or__, map(_begins, words))
+    others, found = scratch.keep_counted(meaning.where(~begins).select("token", F.lit(True).alias("other")).distinct(), "others")
+    asked = tokens.join(F.broadcast(others), "token", "left").where(begins | F.col("other")) if found <= OTHERS_BROADCAST else tokens
+    best = asked.join(meaning, "token").groupBy("id").agg(*[F.max(F.when(F.col("word") == i, F.col("weight"))).alias(f"w{i}") for i in range(n)])
     bits = sum((F.when(F.col(f"w{i}").isNotNull(), 1 << i).otherwise(0) for i in range(n)), F.lit(0))
     best = best.withColumn("bits", bits)
     best = best.join(levels.select("id", F.lit(True).alias("level")).distinct(), "id", "left").withColumn("level", F.coalesce("level", F.lit(False))) if levels is not None else best.withColumn("level", F.lit(False))

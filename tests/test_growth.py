@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from graphlake.operators import assembly, graph, joins, query_texts, values
+from graphlake.operators import assembly, graph, joins, query_texts, search, values
 from graphlake.plans import answer_queries, model  # noqa: F401
 from graphlake.plans.queries import QUERIES
 from graphlake.scratch import Scratch
@@ -81,6 +81,21 @@ def test_sources_of_query_texts_are_never_broadcast(spark, monkeypatch):
     assert not re.search(r"Broadcast\w*Join \[symbol", "".join(plans))
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_texts_are_split_twice_by_a_search_and_only_tokens_of_its_words_move(spark, monkeypatch, tmp_path, most):
+    plans = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(self, df, name))
+    monkeypatch.setattr(search, "OTHERS_BROADCAST", most, raising=False)
+    said = [(1, "a small widget here"), (2, "smlal widgets"), (3, "widegt"), (4, None), (5, "wigdte smell"), (6, "nothing 0123456789")]
+    spark.createDataFrame(said, "doc int, said string").write.parquet(path := str(tmp_path / "texts"))
+    got = search.search(search.index(spark.read.parquet(path), "doc", "said"), ["small", "widget"])
+    assert rows(got.select("id", "score", "kept")) == [(1, 8, "small widget"), (2, 2, "small widget")]
+    assert sum(len(re.findall(r"FileScan parquet \[[^\]]*said", p)) for p in plans.values()) == 2
+    # what is not asked for is left out before any join moves it
+    assert ("LeftOuter, BuildRight" in plans["matched"] and "other#" in plans["matched"]) == (most > 0)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
 @pytest.mark.parametrize("name", ["neighbours", "unique_items", "first_use", "resource_view"])
 def test_rows_are_dealt_by_their_number(spark, monkeypatch, name):
