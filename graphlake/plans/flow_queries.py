@@ -64,28 +64,29 @@ def _flows(t):
     interceptors = t.part.where("p_size <= 2").select(
         symbol(k).alias("symbol"), (k % 1000).alias("application"), F.when(k % 2 == 0, "filter").otherwise("aspect").alias("kind"), (F.col("p_size") == 1).alias("http"), F.when(F.col("p_size") == 2, F.col("p_brand")).alias("validates")
     )
-    return traces.depth_first(calls, traces.with_interceptors(entries, interceptors), utilities), significant, utilities
+    return traces.shared(calls, traces.with_interceptors(entries, interceptors), utilities), significant, utilities
 
 
 def _dressed(t):
-    entries, significant, utilities = _flows(t)
+    """Entries of parts of flows, dressed, and the parts that flows have."""
+    (heads, tails, members), significant, utilities = _flows(t)
     k = F.col("p_partkey")
     method = F.when(k % 4 == 0, "readFile").when(k % 4 == 1, F.concat(F.lit("helper"), "p_size")).when(k % 4 == 2, "mapAll").otherwise("rowWrite")
     unresolved = t.part.select(k.cast("string").alias("symbol"), F.col("p_size").alias("line"), method.alias("method"), F.when(k % 6 == 0, "library type").otherwise("unknown receiver").alias("reason"))
     own = t.part.where("p_size < 10").select(F.concat(F.lit("helper"), "p_size").alias("name"))
-    return traces.dressed(entries, significant, traces.kept_gaps(unresolved, own, IO_WORDS), utilities)
+    return traces.dressed(heads.unionByName(tails), significant, traces.kept_gaps(unresolved, own, IO_WORDS), utilities), members
 
 
 @query("flow_traces", f"with recursive {_FLOW_SQL}, {_FLOW_PATHS}, {_GAPS_SQL} select flow, path, depth, symbol, repeat, recursive, interceptor, utility, step, array_to_string(gaps, '; ') as gaps from dressed")
 def flow_traces(t):
     """Interceptors, then the handler's calls; utilities closed, steps numbered, gaps kept."""
-    return _dressed(t).select("flow", "path", "depth", "symbol", "repeat", "recursive", "interceptor", "utility", "step", F.array_join("gaps", "; ").alias("gaps"))
+    return traces.of_flows(*_dressed(t)).select("flow", "path", "depth", "symbol", "repeat", "recursive", "interceptor", "utility", "step", F.array_join("gaps", "; ").alias("gaps"))
 
 
 @query("flow_assembly", f"""with recursive {_FLOW_SQL}, {_FLOW_PATHS}, {_GAPS_SQL} select flow, count(distinct symbol) as functions, count(step) as steps, count(*) as entries, count(interceptor) as interceptors, cast(sum(coalesce(len(gaps), 0)) as bigint) as unresolved,
   sum(coalesce(len(gaps), 0)) > 0 as incomplete, array_to_string(list_sort(list_distinct(list(symbol))), ',') as symbols from dressed group by flow""")
 def flow_assembly(t):
-    return traces.assembled(_dressed(t)).withColumn("symbols", F.array_join("symbols", ","))
+    return traces.assembled_parts(*_dressed(t)).withColumn("symbols", F.array_join("symbols", ","))
 
 
 @query("flow_outline", f"""with recursive {_FLOW_SQL}, {_FLOW_PATHS}, shown as (select flow, path, place from entries where symbol in (select symbol from significant)),
@@ -95,6 +96,6 @@ def flow_assembly(t):
   select flow, path, parent, number from tree""")
 def flow_outline(t):
     """The significant entries under their nearest significant ancestors, numbered."""
-    entries, significant, _ = _flows(t)
-    shown = entries.join(significant.withColumn("shown", F.lit(True)), "symbol", "left").select("flow", "path", F.coalesce("shown", F.lit(False)).alias("shown"))
-    return traces.outlined(shown)
+    (heads, tails, members), significant, _ = _flows(t)
+    shown = lambda entries: entries.join(significant, "symbol", "left_semi").withColumn("shown", F.lit(True)).select("flow", "path", "chunk", "shown")
+    return traces.of_flows(traces.outlined_parts(shown(heads), shown(tails), members), members).select("flow", "path", "parent", "number")
