@@ -57,6 +57,17 @@ def test_outlines_of_parts(spark, flows):
     assert got == sorted(each, key=str)
 
 
+def test_steps_of_parts(spark, flows):
+    calls, starts, closed, _ = flows
+    significant = spark.createDataFrame([(f"s{n}",) for n in range(0, 14, 2)], "symbol string")
+    gaps = spark.createDataFrame([(f"s{n}", ["x (y)"] * (n % 3 + 1)) for n in range(0, 14, 3)], "symbol string, gaps array<string>")
+    heads, tails, members = traces.shared(calls, starts, closed)
+    parts = traces.dressed(heads.unionByName(tails), significant, gaps, closed)
+    plain = traces.dressed(traces.depth_first(calls, starts, closed), significant, gaps, closed)
+    columns = ["flow", "path", "depth", "symbol", "repeat", "recursive", "first", "interceptor", "utility", "step", "gaps"]
+    assert rows(traces.of_flows(parts, members), *columns) == rows(plain, *columns)
+
+
 def test_what_flows_have_in_common_is_listed_once(spark):
     calls = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("i", "b", 1), ("i", "d", 2)], "caller string, callee string, ord int")
     roots = spark.range(500).selectExpr("id as flow", "inline(array(struct('i' as symbol, 0 as ord), struct(if(id % 2 = 0, 'a', 'c') as symbol, 1 as ord)))")
