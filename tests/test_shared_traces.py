@@ -57,7 +57,7 @@ def test_outlines_of_parts(spark, flows):
     assert got == sorted(each, key=str)
 
 
-def test_steps_of_parts(spark, flows):
+def test_steps_and_sums_of_parts(spark, flows):
     calls, starts, closed, _ = flows
     significant = spark.createDataFrame([(f"s{n}",) for n in range(0, 14, 2)], "symbol string")
     gaps = spark.createDataFrame([(f"s{n}", ["x (y)"] * (n % 3 + 1)) for n in range(0, 14, 3)], "symbol string, gaps array<string>")
@@ -66,6 +66,8 @@ def test_steps_of_parts(spark, flows):
     plain = traces.dressed(traces.depth_first(calls, starts, closed), significant, gaps, closed)
     columns = ["flow", "path", "depth", "symbol", "repeat", "recursive", "first", "interceptor", "utility", "step", "gaps"]
     assert rows(traces.of_flows(parts, members), *columns) == rows(plain, *columns)
+    sums = ["flow", "functions", "steps", "entries", "interceptors", "unresolved", "incomplete", "symbols"]
+    assert rows(traces.assembled_parts(parts, members), *sums) == rows(traces.assembled(plain), *sums)
 
 
 def test_what_flows_have_in_common_is_listed_once(spark):
