@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -75,23 +75,52 @@ def by_call_site(found: DataFrame, effects: DataFrame) -> DataFrame:
     return found.join(placed, ["flow", "type", "target"]).select("flow", "hops", "type", "target", "operation", "file", "line")
 
 
-def possible_callers(unknown: DataFrame, endpoints: DataFrame) -> DataFrame:
+def possible_callers(unknown: DataFrame, endpoints: DataFrame, block: int = 128, rows_per_task: int = 20_000_000) -> DataFrame:
     """(call, endpoint, exact): calls (call, method, shape) whose host is not known, and endpoints of the same method whose path they have or end with.
 
     A base address may put segments before an endpoint's path, never half of one: each call
     is looked up by its path and by every path that is left without its first segments.
     Nothing ends with the bare root.
+
+    Calls that look up the same path meet its endpoints in blocks, and a block's rows come endpoint by endpoint: an endpoint stands in a run and the
+    calls repeat, so that files of the result hold a small part of a byte for each row. With one shape an endpoint, no pair is dealt out. Tasks are as many as the
+    rows of the result ask for.
     """
-    parts = F.slice(F.split("shape", "/"), 2, 1 << 20)
-    n = F.size(parts)
-    tails = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.struct(F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.greatest(n - i + 1, F.lit(0))), "/")).alias("shape"), F.lit(False).alias("exact")))
-    keys = F.concat(F.array(F.struct(F.col("shape"), F.lit(True).alias("exact"))), F.filter(tails, lambda k: F.length(k["shape"]) > 1))
-    asked = unknown.select("call", F.upper("method").alias("method"), F.inline(keys)).groupBy("call", "method", "shape").agg(F.bool_or("exact").alias("exact"))
-    ends = endpoints.select("endpoint", "method", "shape").distinct().withColumn("ways", F.count("*").over(Window.partitionBy("endpoint")))
-    pairs = asked.join(ends, ["method", "shape"])
+    spark = unknown.sparkSession
+    scratch = Scratch(spark, "callers")
+    ends = endpoints.select("endpoint", "method", "shape").dropna(subset=["method", "shape"]).distinct().withColumn("ways", F.count("*").over(Window.partitionBy("endpoint")))
+    ends = scratch.keep(ends, "endpoints")
+    paths = scratch.keep(ends.groupBy("method", "shape").agg(F.count("*").alias("ends")).withColumn("key", F.monotonically_increasing_id()), "paths")
+
+    def keys(ask: Column) -> Column:
+        parts = F.slice(F.split(ask["shape"], "/"), 2, 1 << 20)
+        n = F.size(parts)
+        tails = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.greatest(n - i + 1, F.lit(0))), "/")))
+        key = lambda shape, exact: F.struct(ask["method"].alias("method"), shape.alias("shape"), F.lit(exact).alias("exact"))
+        return F.concat(F.array(key(ask["shape"], True)), F.transform(F.filter(tails, lambda t: F.length(t) > 1), lambda t: key(t, False)))
+
+    asks = unknown.where("method is not null and shape is not null").groupBy("call").agg(F.collect_set(F.struct(F.upper("method").alias("method"), "shape")).alias("asks"))
+    every = asks.select("call", F.array_distinct(F.flatten(F.transform("asks", keys))).alias("every"))
+    exact = lambda k: F.struct(k["method"].alias("method"), k["shape"].alias("shape"), F.lit(True).alias("exact"))
+    asked = every.select("call", F.inline(F.filter("every", lambda k: k["exact"] | ~F.array_contains("every", exact(k)))))
+    # rows of a task are sorted, so that each block is made there and their numbers are always the same
+    looked_up = asked.join(paths.drop("ends"), ["method", "shape"]).select("key", "exact", "call").sortWithinPartitions("key", "exact", "call")
+    numbered = looked_up.withColumn("block", F.floor(F.monotonically_increasing_id() / block))
+    # collected lists leave out a call that is not known
+    calls = F.concat(F.collect_list("call"), F.array_repeat(F.lit(None).cast(unknown.schema["call"].dataType), (F.count("*") - F.count("call")).cast("int")))
+    blocks = scratch.keep(numbered.groupBy("key", "exact", "block").agg(calls.alias("calls")), "blocks")
+
+    sizes = blocks.groupBy("key").agg(F.sum(F.size("calls")).alias("calls")).join(paths.select("key", "ends"), "key").select("key", (F.col("calls") * F.col("ends")).alias("rows"))
+    sizes = scratch.keep(sizes.withColumn("lanes", F.ceil(F.col("rows") / (rows_per_task // 4))), "sizes")
+    rows = sizes.agg(F.sum("rows")).first()[0] or 0
+    tasks = max(-(-rows // rows_per_task), min(spark.sparkContext.defaultParallelism, -(-rows // (rows_per_task // 20))), 1)
+    lanes = sizes.select("key", "lanes")
+    dealt = lambda df: df.repartition(tasks, "key", "lane")
+    ends = ends.join(paths.drop("ends"), ["method", "shape"]).join(lanes, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"), "endpoint", "ways")
+    laid = dealt(blocks.join(lanes, "key").select("key", F.pmod(F.xxhash64("block"), F.col("lanes")).alias("lane"), "exact", "calls"))
+    pairs = lambda ends: laid.join(dealt(ends).hint("merge"), ["key", "lane"]).select(F.explode("calls").alias("call"), "endpoint", "exact")
     # a call meets an endpoint of one method and shape once, so only pairs of the others are grouped
-    once = pairs.where("ways = 1").select("call", "endpoint", "exact")
-    return once.unionByName(pairs.where("ways > 1").groupBy("call", "endpoint").agg(F.bool_or("exact").alias("exact")))
+    return pairs(ends.where("ways = 1")).unionByName(pairs(ends.where("ways > 1")).groupBy("call", "endpoint").agg(F.bool_or("exact").alias("exact")))
 
 
 def target_place(targets: DataFrame) -> DataFrame:

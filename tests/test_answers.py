@@ -105,3 +105,14 @@ def test_possible_callers_are_not_dealt_out_as_pairs(spark):
     single = dependents.possible_callers(calls, endpoints.where("endpoint <> 11").distinct())
     plan = [line.strip(" +-:") for line in single._jdf.queryExecution().optimizedPlan().toString().split("\n")]
     assert plan[0].startswith("Union") and plan[1].startswith("Project")
+
+
+def test_possible_callers_come_endpoint_by_endpoint_in_bounded_tasks(spark):
+    # 4,000 calls of one path and 40 of another; 60 endpoints that the first ends with, ten of them by two shapes, and 5 of both
+    calls = spark.range(4040).selectExpr("id as call", "'get' as method", "if(id < 4000, '/v1/p/3', '/q/3') as shape")
+    ends = [(n, "GET", "/p/3") for n in range(60)] + [(n, "GET", "/v1/p/3") for n in range(10)] + [(n, "GET", "/3") for n in range(60, 65)] + [(99, "POST", "/p/3"), (98, "GET", "/")]
+    got = dependents.possible_callers(calls, spark.createDataFrame(ends, "endpoint int, method string, shape string"), rows_per_task=40_000)
+    assert rows(got) == rows(spark.range(4040).selectExpr("id as call", "explode(if(id < 4000, sequence(0, 64), sequence(60, 64))) as endpoint").selectExpr("call", "endpoint", "endpoint < 10 as exact"))
+    tasks = [[r.endpoint for r in part] for part in got.rdd.glom().collect()]
+    assert sum(len(t) > 0 for t in tasks) > 4 and max(map(len, tasks)) < 130_000
+    assert sum(a != b for t in tasks for a, b in zip(t, t[1:])) <= sum(map(len, tasks)) / 20
