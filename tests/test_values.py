@@ -127,3 +127,25 @@ def test_call_sites(spark):
     got = dependents.by_call_site(found, effects)
     assert rows(got) == [(1, 1, "W", 10, "save", "a.py", 30), (1, 1, "W", 10, "upsert", "a.py", 12), (2, 2, "R", 10, None, "b.py", 7)]
     assert got.where(F.col("line").isNull()).count() == 0
+
+
+def test_sums_of_passed_functions_without_their_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    pick = lambda n, lead: f"{lead}{rng.randrange(n)}"
+    # circles of any length, calls of one line named at several parameters, what is not known, edges that want several or nothing
+    given = [(rng.choice([pick(12, "p"), None]), pick(12, "p"), pick(3, "a"), *rng.choice([(pick(5, "f"), None), (None, pick(3, "a")), (None, None)]), rng.choice([rng.randrange(4), None])) for _ in range(160)]
+    passes = spark.createDataFrame([*given, ("p0", "p0", "a0", None, "a0", 1), (None, None, "a1", "f1", None, 1), ("p1", "p2", None, "f1", None, 1)], "caller string, callee string, parameter string, function string, own string, line int")
+    wanted = spark.createDataFrame([(pick(30, "e"), pick(14, "p"), pick(4, "a")) for _ in range(50)] + [("e1", None, "a0"), (None, "p1", "a1")], "edge string, helper string, parameter string")
+    plain = values.found_functions(wanted, passes).groupBy("edge").agg(F.count("*").alias("calls"), F.count_distinct("caller").alias("callers"), F.count_distinct("function").alias("functions"), F.min("function").alias("first"), F.max("line").alias("line"))
+    got = values.found_sums(wanted, passes, items=3)
+    assert rows(got) == rows(plain) and got.count() > 10
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in text and "RepartitionByExpression [start" in text
+    # a chain: a hop compares with the two before it, and with all of them in every eighth only
+    read = []
+    kept = graph.Scratch.keep_counted
+    monkeypatch.setattr(graph.Scratch, "keep_counted", lambda self, df, name: read.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")) or kept(self, df, name))
+    chain = spark.range(20).selectExpr("id as src", "if(id = 19, 0, id + 1) as dst")
+    reached = graph.reach_each(spark.createDataFrame([("x", 0), ("x", 0), ("y", 15), (None, 3)], "start string, node long"), chain)
+    assert rows(reached) == rows(spark.range(20).selectExpr("explode(array('x', 'y')) as start", "id as node"))
+    assert max(n for hop, n in enumerate(read) if hop % 8) <= 4 < max(read)
